@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import bpe, packing, rules, secret_scan, simhash
+from sitewright.llm import ann, bpe, chat, html_extract, packing, quality_model, rules, secret_scan, shards, simhash
+from sitewright.shared import scratch_path
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +30,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, read back from the compacted store that they arrived in."""
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, scratch_path(spark, "shards"), docs.schema)
+    for arrival in shards.arrivals(docs, spark):
+        store.append(arrival)
+    return store.read(store.compact_all()).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP5_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,6 +63,44 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+#: Said by both turns of the conversation that is added to the table.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    turns = chat.canonical_turns(chat.gather(rows.unionByName(added)), id_col="conv_id", record_col="record")
+    out = chat.format_turns(turns.select("conv_id", "turns"))
+    back = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learnt"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP8_SQL = r"""
+WITH all_turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), c AS (
+  SELECT *, regexp_replace(role, '[~<|[]', '00', 'g') AS r, regexp_replace(text, '[~<|[]', '00', 'g') AS t FROM all_turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(r) + length(t) + 13) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -99,8 +162,9 @@ FROM f
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op9_secrets": op9_secrets, "op10_rules": op10_rules}
+    found = (op1_bpe, op2_quality, op3_neighbours, op4_html, op5_shards, op6_simhash, op7_packing, op8_chat, op9_secrets, op10_rules)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_rules": OP10_SQL}
+    return {"op5_shards": OP5_SQL, "op8_chat": OP8_SQL, "op10_rules": OP10_SQL}
