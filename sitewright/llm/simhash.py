@@ -143,31 +143,130 @@ def assign(prints: DataFrame) -> DataFrame:
     return prints.join(found, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the least id.
+#: For similarity by share of common shingles: words of a shingle, the least similarity, and
+#: the signature's positional bytes, of which KEYS groups of four are indexed.
+SHINGLE, SIMILARITY, POSITIONS, KEYS = 5, 0.8, 128, 16
+#: Estimates above and below which no exact check is needed (three standard errors).
+SURE, NEVER = 0.9, 0.69
 
-    Ids that are null come last; of rows that repeat an id and a fingerprint one stays. The
-    columns stay as they are.
+
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text, as sorted hashes; one for a text without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)))
+    return np.sort(np.fromiter(map(xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64, count=len(shingles)))
+
+
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(64).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature_of(text: str | None, multipliers: np.ndarray) -> bytes:
+    """A byte for each position: of the least shingle hash in that position's order."""
+    h = shingle_hashes(text)
+    h = h ^ (h >> np.uint64(31))
+    least = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 2048):
+        np.minimum(least, (h[at : at + 2048, None] * multipliers).min(0), out=least)
+    # The product's least value has small high bits; its low bits tell which hash it was.
+    return (((least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """``(a, b)`` pairs of classes that share a key of four positional bytes.
+
+    Lists up to MAX_LIST are paired. In a longer one (a dense group of near copies) each
+    class is paired with the list's least, and again within the lists of eight bytes that it
+    falls into, so the pairs stay in proportion to the rows.
+    """
+
+    def keyed(rows: DataFrame, width: int) -> DataFrame:
+        keys = F.array(*(F.struct(F.lit(k).alias("k"), F.substring(F.concat("sig", "sig"), 4 * k + 1, width).alias("key")) for k in range(KEYS)))
+        return rows.select("cid", F.explode(keys).alias("p")).select("cid", "p.k", "p.key")
+
+    def pairs(postings: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("cid").alias("least")).where("n > 1"), label)
+        short = postings.join(lists.where(F.col("n") <= MAX_LIST), ["k", "key"]).groupBy("k", "key").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
+        one = short.select("cids", F.posexplode("cids").alias("at", "a"))
+        close = one.select("a", F.explode(F.slice("cids", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"))
+        long = postings.join(lists.where(F.col("n") > MAX_LIST), ["k", "key"])
+        return close.unionByName(long.where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b"))), long.select("cid").distinct()
+
+    first, dense = pairs(keyed(classes, 4), "similar-lists")
+    second, _ = pairs(keyed(classes.join(dense, "cid", "left_semi"), 8), "similar-lists")
+    return first.unionByName(second).distinct()
+
+
+def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b)`` pairs of ``classes(cid, sig)`` whose shingles have SIMILARITY or more in common.
+
+    The equal positional bytes of each candidate pair are tallied; pairs that cannot reach
+    the similarity are dropped, and those near it verified on their shingles, made anew from
+    ``texts(cid, text)``.
+    """
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, POSITIONS) for k in (2, 3))
+            share = (left == right).mean(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((share - 1 / 256) / (1 - 1 / 256))], names=["a", "b", "share"])
+
+    sig = lambda side: classes.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"))
+    tallied = _candidates(classes).join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, share double")
+    likely = materialize(tallied.where(F.col("share") >= NEVER), "similar-pairs")
+    unsure = likely.where(F.col("share") < SURE).select("a", "b")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "set"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), "<u8") for v in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= SIMILARITY * (len(x) + len(y) - common))
+            kept = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in (0, 1)], names=["a", "b"])
+
+    asked = unsure.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sets = materialize(texts.join(asked, "cid", "left_semi").mapInArrow(shingled, "cid long, set binary"), "similar-sets")
+    own = lambda side: sets.select(F.col("cid").alias(side), F.col("set").alias(f"set_{side}"))
+    verified = unsure.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+    return likely.where(F.col("share") >= SURE).select("a", "b").unionByName(verified)
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the least id.
+
+    Near copies have SIMILARITY or more of their five-word shingles in common, over whole
+    texts; groups are what such links connect. A 64-bit SimHash cannot tell that similarity
+    (at 0.8 some ten of its bits differ), so the positional bytes here are min-wise, two
+    texts agreeing at a position as often as their shingles do; index, tally and
+    verification are the same. Ids that are null come last; of rows that repeat one stays.
+    Columns stay as they are.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
     row = "__row"
     while row in docs.columns:
         row += "_"
-    schema = f"doc_id {id_type}, fp long, `{row}` struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema) + ">"
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
+    multipliers = _multipliers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint_of(t.as_py()) for t in batch.column(1)), dtype=np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), batch.column(2)], names=["doc_id", "fp", row])
-
-    whole = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row)).mapInArrow(run, schema),
-        "simhash-rows",
-    )
-    found = assign(whole.select("doc_id", "fp"))
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
-    # A kept id and fingerprint can stand on repeated rows: of those the first stays.
-    alone = Window.partitionBy("fp", "doc_id").orderBy(F.lit(0))
-    same_id = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
-    chosen = whole.alias("d").join(kept.alias("k"), (F.col("d.fp") == F.col("k.fp")) & same_id, "left_semi")
-    return chosen.withColumn("__n", F.row_number().over(alone)).where("__n = 1").select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns))
+            sig = [signature_of(t.as_py(), multipliers) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), batch.column(1)], names=["sig", row])
+
+    signed = docs.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row)).mapInArrow(run, f"sig binary, `{row}` struct<{fields}>")
+    whole = materialize(signed.withColumn("rid", F.monotonically_increasing_id()), "similar-rows")
+    doc_id, text = F.col(f"`{row}`.`{id_col}`"), F.col(f"`{row}`.`{text_col}`").cast("string")
+    ids = whole.select("rid", "sig", doc_id.alias("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    classes = materialize(ids.groupBy("sig").agg(least.alias("first")).select("sig", "first", F.col("first.rid").alias("cid")), "similar-classes")
+    edges = similar_links(classes.select("cid", "sig"), whole.select(F.col("rid").alias("cid"), text.alias("text")))
+    rooted = classes.join(components(edges), F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    return whole.join(kept, "rid", "left_semi").select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns))
