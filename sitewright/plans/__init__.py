@@ -1 +1 @@
-"""Part of sitewright."""
+"""Patch planning between snapshots."""
