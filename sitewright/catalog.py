@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sitewright.catalog_snapshots import R as SNAPSHOTS
+from sitewright.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+REGISTRIES = (SNAPSHOTS,)
 
-from sitewright import views
-from sitewright.operators import diff
 
-
-def j1_diff_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_index(views.old_index(spark, sf_dir), views.new_index(spark, sf_dir)).select("path", "change")
-
-
-J1_SQL = (
-    views.INDEX_SQL
-    + """
-SELECT coalesce(o.path, n.path) AS path,
-  CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted'
-       WHEN o.type <> n.type OR o.size <> n.size OR o.ctime <> n.ctime THEN 'modified' ELSE 'unchanged' END AS change
-FROM old_index o FULL JOIN new_index n ON o.path = n.path
-"""
-)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"j1_diff_index": j1_diff_index}
+def queries() -> dict[str, Query]:
+    return {name: f for r in REGISTRIES for name, f in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"j1_diff_index": J1_SQL}
+    return {name: sql for r in REGISTRIES for name, sql in r.sql.items()}

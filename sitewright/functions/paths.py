@@ -143,7 +143,7 @@ ROT13 = "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 
 def path_token(path: Column) -> Column:
     """Path text that filters on the way leave alone."""
-    return F.concat(F.lit("rp."), F.translate(F.base64(path.cast("binary")), PLAIN, ROT13))
+    return F.concat(F.lit("rp."), F.translate(F.base64(path.cast("binary")), PLAIN + "\r\n", ROT13))
 
 
 def from_path_token(token: Column) -> Column:

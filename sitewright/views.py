@@ -53,3 +53,48 @@ WITH base_entry AS (
   UNION ALL SELECT 'd6', 0, 1, 'file' FROM region WHERE r_regionkey = 0
 )
 """
+
+
+def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes and upserts of single paths, and the delete of a whole directory."""
+    base = _base_entry(spark, sf_dir).where("k % 17 = 0 OR k % 19 = 0")
+    rows = base.select(F.col("k").alias("seq"), F.when(F.col("k") % 17 == 0, "-").otherwise("+").alias("op"), "path", "ctime", (F.col("size") + 7).alias("size"), "type")
+    none = lambda t: F.lit(None).cast(t)
+    one = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit(0).cast("long").alias("seq"), F.lit("-").alias("op"), F.lit("d8").alias("path"), none("long").alias("ctime"), none("long").alias("size"), none("string").alias("type"))
+    return rows.unionByName(one)
+
+
+#: ``own, path`` rows: each path with itself and its ancestors.
+CLOSURE_SQL = """, {name} AS (
+  SELECT own, array_to_string(parts[1:n], '/') AS path
+  FROM (SELECT path AS own, string_split(path, '/') AS parts, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM {source})
+)
+"""
+
+#: The patch rules over old_index and new_index, whole selection.
+PLAN_SQL = (
+    CLOSURE_SQL.format(name="old_chain", source="old_index")
+    + CLOSURE_SQL.format(name="new_chain", source="new_index")
+    + """, both_sides AS (
+  SELECT coalesce(o.path, n.path) AS path, o.path IS NULL AS added, n.path IS NULL AS deleted,
+    o.path IS NOT NULL AND n.path IS NOT NULL AND (o.type <> n.type OR o.size <> n.size OR o.ctime <> n.ctime) AS modified
+  FROM old_index o FULL JOIN new_index n ON o.path = n.path
+), replaced_dirs AS (
+  SELECT path FROM both_sides WHERE added AND path IN (SELECT path FROM old_chain WHERE own <> path)
+), missing AS (
+  SELECT own, min_by(path, length(path)) AS path FROM old_chain
+  WHERE own IN (SELECT path FROM both_sides WHERE deleted) AND path NOT IN (SELECT path FROM new_chain) GROUP BY own
+), candidates AS (
+  SELECT DISTINCT coalesce(m.path, b.path) AS path FROM both_sides b LEFT JOIN missing m ON b.path = m.own WHERE b.deleted
+), below_replaced AS (
+  SELECT DISTINCT c.path FROM candidates c, replaced_dirs r WHERE starts_with(c.path, r.path || '/')
+), deletes AS (
+  SELECT path FROM candidates WHERE path NOT IN (SELECT path FROM below_replaced) UNION SELECT path FROM replaced_dirs
+), copies AS (
+  SELECT path FROM both_sides WHERE added OR modified
+), plan AS (
+  SELECT coalesce(c.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'copy' WHEN c.path IS NULL THEN 'delete' ELSE 'replace' END AS op
+  FROM copies c FULL JOIN deletes d ON c.path = d.path
+)
+"""
+)
