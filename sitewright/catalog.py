@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from sitewright.catalog_rewrite import R as REWRITE
+from sitewright.catalog_site import R as SITE
 from sitewright.catalog_snapshots import R as SNAPSHOTS
 from sitewright.registry import Query
 
-REGISTRIES = (SNAPSHOTS,)
+REGISTRIES = (SNAPSHOTS, SITE, REWRITE)
 
 
 def queries() -> dict[str, Query]:

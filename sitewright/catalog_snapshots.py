@@ -87,12 +87,14 @@ def s7_write_plan(spark: SparkSession, d: str) -> DataFrame:
     return copies.unionByName(deletes)
 
 
-@R.query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@R.query("SELECT o_orderkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def s8_stage_and_publish(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and customers published together, and joined as the live version has them."""
     target = scratch_path(spark, "publish")
-    publish.stage_and_publish(spark, {t: table(spark, d, t) for t in ("nation", "region")}, target)
-    nation, region = publish.read_live(spark, target, "nation"), publish.read_live(spark, target, "region")
-    return nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    both = {"orders": table(spark, d, "orders").select("o_orderkey", "o_custkey"), "customer": table(spark, d, "customer").select("c_custkey", "c_mktsegment")}
+    publish.stage_and_publish(spark, both, target)
+    orders, customer = publish.read_live(spark, target, "orders"), publish.read_live(spark, target, "customer")
+    return orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "c_mktsegment")
 
 
 @R.query("SELECT 'sync_report' AS kind, 1 AS version, event_id FROM events WHERE event_id % 3 = 0 AND event_id % 5 <> 0")

@@ -58,7 +58,7 @@ def project_encoded(value: Column, kind: str) -> Column:
 
 def float_text(value: Column) -> Column:
     """A double's text with 17 significant digits, which read back as the same value."""
-    return F.format_string("%.16e", value.cast("double"))
+    return F.when(value.isNotNull(), F.format_string("%.16e", value.cast("double")))
 
 
 def may_contain_url(value: Column, hosts: list[str], tags: tuple[str, ...] = ("vc_raw_html", "vc_raw_js")) -> Column:

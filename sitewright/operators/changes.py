@@ -18,14 +18,14 @@ def rewrite_changes(df: DataFrame, keys: list[str], columns: list[str], mapping:
     if not keys:
         return df.limit(0).select(F.lit("").alias("column"), F.lit("").alias("old"), F.lit("").alias("new"))
     hints = hints or {}
-    done, found = df, []
+    done, found, intact = df, [], F.lit(True)
     for k in (k for k in keys if dict(df.dtypes)[k] == "string"):
-        new = rewrite_column(done, k, mapping, hint=hints.get(k), base=base, out=f"__key_{k}")
+        done = rewrite_column(done, k, mapping, hint=hints.get(k), base=base, out=f"__key_{k}")
         same = F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-        done = new.withColumn(k, F.when(same, F.col(k)).otherwise(F.raise_error(F.concat(F.lit("a key would change: "), F.col(k))).cast("string"))).drop(f"__key_{k}")
+        intact = intact & F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("a key would change: "), F.col(k))).cast("boolean"))
     for c in columns:
         new = rewrite_column(done, c, mapping, hint=hints.get(c), base=base, out="__new")
-        found.append(new.where(~F.col(c).eqNullSafe(F.col("__new"))).select(*keys, F.lit(c).alias("column"), F.col(c).alias("old"), F.col("__new").alias("new")))
+        found.append(new.where(intact & ~F.col(c).eqNullSafe(F.col("__new"))).select(*keys, F.lit(c).alias("column"), F.col(c).alias("old"), F.col("__new").alias("new")))
     return reduce(DataFrame.unionByName, found)
 
 

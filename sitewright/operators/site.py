@@ -176,7 +176,7 @@ def table_order(catalog: DataFrame, base_prefix: str, id_only: list[str] = ()) -
     group = F.when(F.col("name") == base_prefix + "users", 2).when(F.col("name") == base_prefix + "usermeta", 3).when(F.col("name").isin(list(id_only)), 1).otherwise(0)
     from pyspark.sql import Window
 
-    return catalog.select(F.row_number().over(Window.orderBy(group, "position")).alias("place"), "name")
+    return catalog.select(F.row_number().over(Window.orderBy(group, "position")).cast("long").alias("place"), "name")
 
 
 def snapshot_difference(a: DataFrame, b: DataFrame) -> DataFrame:
