@@ -45,7 +45,7 @@ NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 #: Share of the best path's ratio that passes, share of the bulk that keeps to one element,
 #: share of link text from which a block is a menu.
-PASS, BULK, LINKS = 0.2, 0.6, 0.6
+PASS, BULK, LINKS = 0.2, 0.9, 0.6
 
 
 @dataclass
@@ -178,7 +178,7 @@ def content_of(blocks: list[Block]) -> list[Block]:
     # Down from the page to the last element that holds the bulk and is no block of its own.
     root: tuple[str, ...] = ()
     inner = {b.path[:k] for b in own for k in range(len(b.path))}
-    while True:
+    while not marked:  # where the page marks its content, all of that is the content
         below = [p for p in inner if len(p) == len(root) + 1 and p[: len(root)] == root and mass[p] >= BULK * mass[()]]
         if not below:
             break
