@@ -43,6 +43,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+#: Open elements beyond which further ones open none, as browsers do it.
+DEEPEST = 512
 #: Share of the best path's ratio that passes, share of the bulk that keeps to one element,
 #: share of link text from which a block is a menu.
 PASS, BULK, LINKS = 0.2, 0.9, 0.6
@@ -122,7 +124,7 @@ def blocks_of(page: str) -> list[Block]:
             close(("p",), SCOPES)
         if tag in CLOSES_OWN:
             close(CLOSES_OWN[tag], SCOPES - {tag})
-        if tag not in VOID and not (tag in ("html", "body") and any(x[0] == tag for x in open_)):
+        if tag not in VOID and len(open_) < DEEPEST and not (tag in ("html", "body") and any(x[0] == tag for x in open_)):
             label, boiler = label_of(tag, attributes)
             # A title block inside the content is no site header.
             if tag == "header" and any(x[0] in CONTENT_TAGS for x in open_):
