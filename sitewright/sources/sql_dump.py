@@ -60,7 +60,7 @@ def dump_statements(df: DataFrame, table: str, keys: list[str], max_rows: int =
                     batch, size = [], 0
                 batch.append(t)
                 size += len(t) + 1
-            yield pd.DataFrame({"value": out})
+            yield pd.DataFrame({"value": out}, dtype=object)
         if batch:
             yield pd.DataFrame({"value": [head + ",".join(batch) + tail + ";"]})
 
@@ -83,10 +83,14 @@ def parse_statements(statements: DataFrame, table: str, schema: T.StructType) ->
                 if m is None or m[1] != table:
                     continue
                 names = [c.strip(" `") for c in m[2].split(",")]
-                for line in re.finditer(r"\(((?:[^()']|\([^()]*\)|\((?:[^()]|\([^()]*\))*\)|'[^']*')*)\)", m[3]):
-                    cells = [v[0] for v in VALUE.finditer(line[1])]
-                    rows.append([dict(zip(names, cells, strict=True)).get(f.name) for f in schema])
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
+                places = [names.index(f.name) if f.name in names else None for f in schema]
+                # Separators hold no value's text, so a statement is its values in order.
+                cells = [v[0] for v in VALUE.finditer(m[3])]
+                if len(cells) % len(names):
+                    raise ValueError(f"a statement on {table} has {len(cells)} values for {len(names)} columns")
+                for at in range(0, len(cells), len(names)):
+                    rows.append([None if k is None else cells[at + k] for k in places])
+            yield pd.DataFrame(rows, columns=[f.name for f in schema], dtype=object)
 
     cells = statements.mapInPandas(parse, fields)
 
