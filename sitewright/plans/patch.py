@@ -8,11 +8,13 @@ Build sides are made distinct before the shuffle, so one huge directory is one r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.functions.paths import ancestors, is_below, is_under, with_self
-from sitewright.operators.diff import diff_index
+from sitewright.functions.paths import is_under, with_self
+from sitewright.shared import materialize
 
 
 def allowed(path: Column, includes: list[str], excludes: list[str]) -> Column:
@@ -34,43 +36,60 @@ def closure(index: DataFrame) -> DataFrame:
     return index.select(F.explode(with_self(F.col("path"))).alias("path")).distinct()
 
 
+#: Row types as numbers, so that aggregates stay in hash tables.
+TYPES = ("file", "link", "dir")
+
+
+def _sides(base: DataFrame, head: DataFrame) -> DataFrame:
+    """What each path of either closure is: its row on each side, and what lies below it.
+
+    One shuffle: rows are exploded to ancestors and counted per path before they move, so a
+    directory costs a row a task however much it holds.
+    """
+
+    def exploded(df: DataFrame, side: str) -> DataFrame:
+        kind = F.coalesce(F.array_position(F.array(*map(F.lit, TYPES)), F.col("type")), F.lit(1))
+        chain = df.select("path", "size", "ctime", F.when(kind == 0, 1).otherwise(kind).cast("int").alias("kind"), F.explode(with_self(F.col("path"))).alias("p"))
+        own = F.col("p") == F.col("path")
+        mine = [F.when(own, F.col(c)).alias(f"{side}_{c}") for c in ("kind", "size", "ctime")]
+        return chain.select(F.col("p").alias("path"), *mine, (~own).alias(f"{side}_below"))
+
+    both = exploded(base, "old").unionByName(exploded(head, "new"), allowMissingColumns=True)
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    return both.groupBy("path").agg(*(F.max(f"{s}_{c}").alias(f"{s}_{c}") for s in ("old", "new") for c in ("kind", "size", "ctime")), flag("old_below"), flag("new_below"))
+
+
 def plan_patch(base: DataFrame, head: DataFrame, includes: list[str] = (), excludes: list[str] = ()) -> DataFrame:
     """``path, op, type, size, ctime`` with one op a path: copy, delete or replace.
 
     Deletes run before copies. A directory that vanished whole is deleted at its highest
-    missing ancestor, if the selection allows that; there is no fallback to a lower one.
+    missing ancestor, if the selection allows that; there is no fallback to a lower one. Two
+    shuffles in all: one makes what each path is, and the paths that the head lacks meet
+    their parents in another: one whose parent is still there is the top of what vanished.
     """
     ok = allowed(F.col("path"), list(includes), list(excludes))
-    kind = lambda c: F.coalesce(F.col(c), F.lit("file"))
-    both = diff_index(base, head)
-    is_file_old, is_file_new = kind("old_type") != "dir", kind("new_type") != "dir"
-
-    below_base = base.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
-    added = both.where("change = 'added'").where(ok)
-    replaced_dirs = added.select("path").join(below_base, "path", "left_semi")
-
-    live = closure(head)
-    gone = both.where("change = 'deleted'")
-    # An empty directory that the head still implies only lost its row.
-    gone = gone.where(is_file_old).select("path").unionByName(gone.where(~is_file_old).select("path").join(live, "path", "left_anti"))
-    # The highest missing ancestor: the shortest of a path's missing ancestors, else itself.
-    chain = gone.select(F.col("path").alias("own"), F.explode(with_self(F.col("path"))).alias("path"))
-    missing = chain.join(live, "path", "left_anti").groupBy("own").agg(F.min_by("path", F.char_length("path")).alias("path"))
-    candidates = gone.select(F.col("path").alias("own")).join(missing, "own", "left").select(F.coalesce("path", "own").alias("path")).where(ok)
-
-    kept = both.where("change IN ('modified', 'unchanged')").where(ok)
-    crossed = kept.where(is_file_old != is_file_new)
-    copied = kept.where((~is_file_new & is_file_old) | (is_file_new & (F.col("change") == "modified")))
-
-    # Deletes strictly below a replaced directory go with it.
-    deletes = candidates.unionByName(crossed.select("path")).distinct()
-    under = deletes.select("path", F.explode(ancestors(F.col("path"))).alias("above")).join(replaced_dirs.withColumnRenamed("path", "above"), "above", "left_semi").select("path").distinct()
-    deletes = deletes.join(under, "path", "left_anti").unionByName(replaced_dirs).distinct().withColumn("d", F.lit(True))
-
-    new = lambda df: df.select("path", F.col("new_type").alias("type"), F.col("new_size").alias("size"), F.col("new_ctime").alias("ctime"), F.lit(True).alias("c"))
-    copies = new(added).unionByName(new(copied))
-    op = F.when(F.col("c") & F.col("d"), "replace").when(F.col("c"), "copy").otherwise("delete")
-    return copies.join(deletes, "path", "full_outer").select("path", op.alias("op"), "type", "size", "ctime")
+    known = materialize(_sides(base, head), "plan-sides")  # read twice below, made once
+    old, new = F.col("old_kind").isNotNull(), F.col("new_kind").isNotNull()
+    live = new | F.col("new_below")
+    replaced = new & ~old & F.col("old_below")  # a row in a directory's place
+    is_dir = lambda side: F.col(f"{side}_kind") == TYPES.index("dir") + 1
+    modified = ~reduce(lambda a, b: a & b, (F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}")) for c in ("kind", "size", "ctime")))
+
+    copy = new & (~old | (is_dir("new") & ~is_dir("old")) | (~is_dir("new") & modified))
+    # Of what the head only implies, an empty directory just lost its row.
+    delete = replaced | (old & new & (is_dir("old") != is_dir("new"))) | (old & ~new & ~is_dir("old"))
+    named = F.get(F.array(*map(F.lit, TYPES)), F.col("new_kind") - 1)
+    op = F.when(copy & delete, "replace").when(copy, "copy").otherwise("delete")
+    put = lambda c, t: F.when(copy, c).cast(t)
+    stays = known.where(live & ok & (copy | delete)).select("path", op.alias("op"), put(named, "string").alias("type"), put(F.col("new_size"), "long").alias("size"), put(F.col("new_ctime"), "long").alias("ctime"))
+
+    parent = F.when(F.col("path").rlike("[^/]/"), F.regexp_replace("path", "/[^/]*$", ""))
+    gone = known.where(~live).select("path", parent.alias("parent"))
+    # What lies below a replaced directory goes with it.
+    parents = known.where(live & ~replaced).select(F.col("path").alias("parent"), F.lit(True).alias("found"))
+    top = gone.join(parents, "parent", "left").where("parent is null OR found")
+    none = lambda t: F.lit(None).cast(t)
+    return stays.unionByName(top.where(ok).select("path", F.lit("delete").alias("op"), none("string").alias("type"), none("long").alias("size"), none("long").alias("ctime")))
 
 
 def plan_sync(mode: str, last: DataFrame, now: DataFrame, destination: DataFrame, **selection) -> DataFrame:
@@ -109,6 +128,3 @@ def apply_plan(base: DataFrame, plan: DataFrame) -> DataFrame:
     gone = chain.join(deletes, "path", "left_semi").select(F.col("own").alias("path")).distinct()
     left = base.select("path", "ctime", "size", "type").join(gone, "path", "left_anti")
     return left.join(copies.select("path"), "path", "left_anti").unionByName(copies)
-
-
-__all__ = ["allowed", "apply_plan", "closure", "is_below", "plan_patch", "plan_summary", "plan_sync", "require_copies", "select_paths"]
