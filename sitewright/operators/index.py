@@ -35,9 +35,13 @@ def path_neighbours(diff: DataFrame, buckets: int | None = None) -> DataFrame:
     order = Window.orderBy("bucket")
     earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     edges = edges.select("bucket", *(F.max(f"max_{c}").over(earlier).alias(f"prior_{c}") for c in ("old", "new")), *(F.min(f"min_{c}").over(later).alias(f"next_{c}") for c in ("old", "new")))
-    own = Window.partitionBy("bucket").orderBy("path")
-    back, ahead = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(1, Window.unboundedFollowing)
-    filled = rows.select("path", "change", "bucket", *(F.last(c, ignorenulls=True).over(back).alias(f"b_{c}") for c in ("old", "new")), *(F.first(c, ignorenulls=True).over(ahead).alias(f"a_{c}") for c in ("old", "new")))
+    # Both ways as running frames, each in its own order: a frame that ends at the last row
+    # would be read again for every row.
+    own = Window.partitionBy("bucket")
+    back = own.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = own.orderBy(F.desc("path")).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda c, w, tag: F.last(c, ignorenulls=True).over(w).alias(f"{tag}_{c}")
+    filled = rows.select("path", "change", "bucket", *(last(c, back, "b") for c in ("old", "new")), *(last(c, ahead, "a") for c in ("old", "new")))
     both = filled.where("change IN ('added', 'deleted')").join(edges, "bucket")
     side = lambda old, new: F.when(F.col("change") == "added", old).otherwise(new)
     return both.select(

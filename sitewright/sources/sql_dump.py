@@ -18,7 +18,8 @@ from sitewright.functions.values import float_text, project_encoded
 
 #: Fixed shape of a value in a statement, and of a statement.
 VALUE = re.compile(r"NULL|''|-?\d[\d.eE+-]*|FROM_BASE64\('([A-Za-z0-9+/=]*)'\)|CONVERT\(FROM_BASE64\('([A-Za-z0-9+/=]*)'\) USING utf8mb4\)")
-STATEMENT = re.compile(r"\s*(?:--[^\n]*\n\s*)*INSERT INTO `([^`]+)` \(([^)]*)\) VALUES\s+(.*?)(?:\s+ON DUPLICATE KEY UPDATE .*)?\s*\Z", re.DOTALL)
+STATEMENT = re.compile(r"\s*(?:--[^\n]*\n\s*)*INSERT INTO `([^`]+)` \(([^)]*)\) VALUES\s+")
+UPSERT = " ON DUPLICATE KEY UPDATE "
 
 
 def kind_of(field: T.StructField) -> str:
@@ -85,7 +86,8 @@ def parse_statements(statements: DataFrame, table: str, schema: T.StructType) ->
                 names = [c.strip(" `") for c in m[2].split(",")]
                 places = [names.index(f.name) if f.name in names else None for f in schema]
                 # Separators hold no value's text, so a statement is its values in order.
-                cells = [v[0] for v in VALUE.finditer(m[3])]
+                end = text.rfind(UPSERT)
+                cells = [v[0] for v in VALUE.finditer(text, m.end(), end if end > 0 else len(text))]
                 if len(cells) % len(names):
                     raise ValueError(f"a statement on {table} has {len(cells)} values for {len(names)} columns")
                 for at in range(0, len(cells), len(names)):
