@@ -20,8 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files make fewer splits than there are cores, dealt over all of them.
+
+    Larger tables stay as their splits are, so at scale nothing shuffles here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_decoded=True)
+    coded = bpe.encode(spread(table(spark, sf_dir, "documents")), vocabulary("word_bpe_49k.json"), with_decoded=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -31,7 +40,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_model.classify(table(spark, sf_dir, "documents"))
+    return quality_model.classify(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +48,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return html_extract.extract(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +64,12 @@ OP5_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FRO
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(spread(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.json"))
 
 
 #: Said by both turns of the conversation that is added to the table.
@@ -106,7 +115,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    found = secret_scan.scan(spread(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.tiktoken"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "dense")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
@@ -117,7 +126,7 @@ POLICY = "prose-1"
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), POLICY)
+    rows = rules.apply_policy(rules.ledger(spread(table(spark, sf_dir, "documents"))), POLICY)
     base = F.col("failed").bitwiseAND(F.lit(rules.mask_of("base-1"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
