@@ -14,7 +14,7 @@ import html
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from urllib.parse import quote, unquote, urljoin, urlsplit
 
 import pandas as pd
@@ -81,10 +81,12 @@ TAG = re.compile(r"<!--(?P<comment>.*?)-->|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>`]+))")
 CSS_URL = re.compile(r"url\(\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"')\s]*))\s*\)|@import\s+(?:\"([^\"]*)\"|'([^']*)')|image-set\(([^)]*)\)", re.IGNORECASE)
 JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\.)*"')
+COLON = re.compile(r"\s*:")
 BLOCK = re.compile(r"(\s*/?wp:[a-z][a-z0-9/_-]*\s+)(\{.*\})(\s*/?\s*)", re.DOTALL)
 SHORTCODE = re.compile(r"\[(?P<tag>[A-Za-z][\w-]*)(?P<attrs>(?:[^\[\]\"']|\"[^\"]*\"|'[^']*')*)\](?:(?P<body>[^\[]*)\[/(?P=tag)\])?")
 SHORTCODE_ATTRIBUTE = re.compile(r"([\w-]+)=(\"([^\"]*)\"|'([^']*)')")
 SERIAL_SCALAR = re.compile(rb"N;|b:[01];|i:[+-]?\d+;|d:[^;]+;|[rR]:\d+;")
+SERIAL_STRING, SERIAL_CLASS = re.compile(rb"s:(\d+):\""), re.compile(rb"\":(\d+):\{")
 SERIAL_OPEN = re.compile(rb"a:(\d+):\{|O:(\d+):\"")
 
 
@@ -201,8 +203,8 @@ class Rewriter:
             return text
         edits = []
         for m in JSON_STRING.finditer(text):
-            if re.match(r"\s*:", text[m.end() :]) and self._is_key(text, m.start()):
-                continue
+            if COLON.match(text, m.end()):
+                continue  # a key
             old = json.loads(m[0])
             new = self.value(old, depth=depth + 1)
             if new != old:
@@ -212,11 +214,6 @@ class Rewriter:
                 edits.append((m.start(), m.end(), coded.replace("/", "\\/") if "\\/" in m[0] else coded))
         return spliced(text, edits)
 
-    @staticmethod
-    def _is_key(text: str, at: int) -> bool:
-        before = text[:at].rstrip()
-        return before[-1:] in "{,"
-
     def serialized(self, raw: bytes, depth: int = 0) -> bytes | None:
         """String values (not keys) of a serialized value with their byte lengths; None if malformed."""
         out, at = [], 0
@@ -236,7 +233,7 @@ class Rewriter:
             if m := SERIAL_SCALAR.match(raw, at):
                 out.append(m[0])
                 at = m.end()
-            elif m := re.compile(rb"s:(\d+):\"").match(raw, at):
+            elif m := SERIAL_STRING.match(raw, at):
                 end = m.end() + int(m[1])
                 body = raw[m.end() : end]
                 if len(body) != int(m[1]) or raw[end : end + 2] != b'";':
@@ -248,7 +245,7 @@ class Rewriter:
             elif not key and (m := SERIAL_OPEN.match(raw, at)):
                 head, count = m.end(), m[1]
                 if m[2] is not None:
-                    more = re.compile(rb"\":(\d+):\{").match(raw, m.end() + int(m[2]))
+                    more = SERIAL_CLASS.match(raw, m.end() + int(m[2]))
                     if more is None:
                         return None
                     head, count = more.end(), more[1]
@@ -256,16 +253,12 @@ class Rewriter:
                     return raw  # beyond the nesting limit the whole value stays
                 out.append(raw[at:head])
                 at = head
-                top[0] -= 1
+                top[0], top[1] = top[0] - 1, len(stack) > 1  # after a container's value comes a key
                 stack.append([2 * int(count), True])
                 continue
             else:
                 return None
-            top[0] -= 1
-            if len(stack) > 1:
-                top[1] = not key
-            if key is False and len(stack) > 1:
-                top[1] = True
+            top[0], top[1] = top[0] - 1, len(stack) > 1 and not key
         return b"".join(out) if at == len(raw) else None
 
     def blocks(self, comment: str, depth: int) -> str:
@@ -361,28 +354,23 @@ class Rewriter:
         return self.text(self.shortcodes(value, depth))
 
 
-@lru_cache(maxsize=8)
-def rewriter(mapping: tuple[tuple[str, str], ...], base: str | None) -> Rewriter:
-    return Rewriter(dict(mapping), base)
-
-
 FORMATS = ("value", "text", "url", "html", "css", "json", "serialized", "shortcodes", "blocks")
 
 
-def rewrite_column(df: DataFrame, column: str, mapping: dict[str, str], *, hint: str | None = None, form: str = "value", base: str | None = None, out: str | None = None) -> DataFrame:
+def rewrite_column(df: DataFrame, column: str, mapping: dict[str, str], *, hint: str | None = None, form: str = "value", base: str | None = None, out: str | None = None, codecs: dict[str, dict[str, Codec]] | None = None, children: dict[str, frozenset[str]] | None = None) -> DataFrame:
     """``df`` with ``column`` rewritten (into ``out`` if given), by the dispatcher or one format.
 
-    Rows that cannot hold a source address never reach Python. Null stays null.
+    ``codecs`` adds encoded shortcode bodies and attributes by tag, ``children`` the paths of
+    child sites by host, whose links stay. Rows that cannot hold a source address never reach
+    Python. Null stays null.
     """
     if form not in FORMATS:
         raise ValueError(f"unknown form: {form}")
     if hint == "skip":
         return df if out is None else df.withColumn(out, F.col(column))
-    rules = tuple(mapping.items())
-
     @F.pandas_udf("string")
     def change(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        r = rewriter(rules, base)
+        r = Rewriter(mapping, base, codecs, children)  # prepared once for a partition
         for values in batches:
             yield values.map(lambda v: one(r, v))
 
@@ -400,7 +388,7 @@ def rewrite_column(df: DataFrame, column: str, mapping: dict[str, str], *, hint:
 
     hosts = sorted({urlsplit(s).netloc for s in mapping})
     value = F.col(f"`{column}`")
-    test = may_contain_url(value, hosts)
+    test = may_contain_url(value, hosts, tuple(CODECS | (codecs or {})))
     if base is not None and form in ("url", "html", "css"):
         test = test | value.contains("/")
     return df.withColumn(out or column, F.when(test, change(F.when(test, value))).otherwise(value))

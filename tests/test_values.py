@@ -7,6 +7,8 @@ import json
 from urllib.parse import quote
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sitewright.functions import paths, values
@@ -166,3 +168,47 @@ def test_rewrite_column_keeps_nulls(spark):
     df = spark.createDataFrame([(None,), ("https://old.com/a",), ("none",)], "v string")
     assert [r[0] for r in rewrite_column(df, "v", {"https://old.com": "https://new.com"}).collect()] == [None, "https://new.com/a", "none"]
     assert rewrite_column(df, "v", {"https://old.com": "https://new.com"}, hint="skip").collect() == df.collect()
+
+
+def test_callers_codecs_and_child_sites(spark):
+    rot = lambda change, text: change(text[::-1])[::-1]
+    df = spark.createDataFrame([("[mine]" + "https://old.com/a"[::-1] + "[/mine]",)], "v string")
+    assert rewrite_column(df, "v", {"https://old.com": "https://new.com"}, codecs={"mine": {"": rot}}).first()[0] == "[mine]" + "https://new.com/a"[::-1] + "[/mine]"
+    r = Rewriter({"https://old.com": "https://new.com"}, children={"old.com": frozenset({"/shop"})})
+    assert [r.url(u) for u in ("https://old.com/shop/x", "https://old.com/SHOP", "https://old.com/shopping")] == ["https://old.com/shop/x", "https://old.com/SHOP", "https://new.com/shopping"]
+    assert r.text("see https://old.com/a") == "see https://old.com/a"
+
+
+def test_base64_filter_misses_no_alignment(spark):
+    rows = [(base64.b64encode(bytes([b]) * k + s + b"://h").decode(),) for b in range(256) for k in range(4) for s in (b"http", b"https")]
+    df = spark.createDataFrame(rows, "v string")
+    assert df.where(~values.b64_may_contain_http(F.col("v"))).count() == 0
+
+
+leaves = st.one_of(st.integers(-9, 99), st.text(alphabet="ab\";:{}é ", max_size=6), st.sampled_from(["https://old.com/x", "at https://old.com", "https://old.community"]))
+trees = st.recursive(leaves, lambda inner: st.dictionaries(st.one_of(st.integers(0, 9), st.sampled_from(["k", "https://old.com"])), inner, max_size=3), max_leaves=8)
+
+
+def moved(o):
+    if isinstance(o, dict):
+        return {k: moved(v) for k, v in o.items()}
+    return o.replace("https://old.com", "https://new.example") if isinstance(o, str) and "community" not in o else o
+
+
+@settings(max_examples=200, deadline=None)
+@given(trees)
+def test_serialized_lengths_hold(tree):
+    raw = serialized(tree)
+    assert Rewriter({"https://old.com": "https://new.example"}).serialized(raw) == serialized(moved(tree))
+
+
+@pytest.mark.parametrize("raw", [b"", b"s:5:\"abc\";", b"a:1:{i:0;", b"a:2:{i:0;i:1;}", b"i:1;x", b"s:3:\"abc\""])
+def test_malformed_serialized_values(raw):
+    assert Rewriter({"https://old.com": "https://new.example"}).serialized(raw) is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(trees, st.sampled_from([None, 1]), st.booleans())
+def test_json_values_move_and_keys_stay(tree, indent, ascii_only):
+    text = lambda o: json.dumps(o, indent=indent, ensure_ascii=ascii_only)
+    assert json.loads(Rewriter({"https://old.com": "https://new.example"}).json(text(tree))) == json.loads(text(moved(tree)))
