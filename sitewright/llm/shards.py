@@ -126,6 +126,28 @@ class ShardStore:
             continue
         return before
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the files that none of the last ``keep`` versions names; older versions go too.
+
+        Run it when no writer is between its data and its commit.
+        """
+        known = self.versions()
+        named = {s.path for v in known[-keep:] for s in self.manifest(v)}
+        fs, data = self._fs(f"{self.path}/data")
+        gone = 0
+        for folder in fs.listStatus(data) if fs.exists(data) else []:
+            name = folder.getPath().getName()
+            files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
+            stale = [f for f in files if f"{self.path}/data/{name}/{f.getName()}" not in named]
+            for f in stale:
+                fs.delete(f, False)
+            gone += len(stale)
+            if len(stale) == len(files):
+                fs.delete(folder.getPath(), True)
+        for v in known[:-keep]:
+            fs.delete(self._fs(f"{self.path}/manifest/v{v:012d}")[1], True)
+        return gone
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
         paths = [s.path for s in self.manifest(version)]

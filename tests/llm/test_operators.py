@@ -187,6 +187,10 @@ def test_shards_compact_and_conflict(spark, odd):
     assert store.compact() == 4
     with pytest.raises(shards.Conflict):
         store.commit(3, [])
+    store.vacuum(keep=2)  # the empty arrival's files go
+    assert store.versions() == [3, 4] and count(store.read(3)) == count(store.read())
+    assert store.vacuum(keep=1) == 6 and store.versions() == [4]
+    assert count(store.read()) == count(odd.unionByName(odd))
 
 
 def test_tiers_merge_similar_sizes():
