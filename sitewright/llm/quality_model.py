@@ -173,7 +173,7 @@ def fit(rows: DataFrame, *, key: Column, train_rows: int = TRAIN_ROWS) -> Qualit
     train = materialize(sample.select("features", F.explode(soft).alias("s")).select("features", "s.label", "s.w").where("w > 0.0001"), "quality-train")
     if train.select("label").distinct().count() < 2:
         return model
-    scorer = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=60, regParam=1e-6, standardization=True).fit(train)
+    scorer = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=30, regParam=1e-6, standardization=True).fit(train)
     return QualityModel(labels, scorer)
 
 
