@@ -267,15 +267,6 @@ def w4_fixed_batches(spark: SparkSession, d: str) -> DataFrame:
     return rows.fixed_batches(table(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 5)
 
 
-TABLE_LIST = ("n_users", "n_7_posts", "n_usermeta", "n_7_options", "n_7_links", "n_7_orders")
-
-
-def _table_list(spark: SparkSession, d: str) -> DataFrame:
-    """A catalog out of region's rows: ``position, name``."""
-    listed = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(n).alias("name")) for i, n in enumerate(TABLE_LIST)))
-    return table(spark, d, "region").where("r_regionkey = 0").select(F.explode(listed).alias("t")).select("t.*")
-
-
 @R.query(f"WITH {NAMES_SQL} SELECT row_number() OVER (ORDER BY CASE name WHEN 'n_usermeta' THEN 3 WHEN 'n_blogs' THEN 1 ELSE 0 END, p) AS place, name FROM (SELECT name, min(k) AS p FROM names GROUP BY 1)")
 def w5_table_order(spark: SparkSession, d: str) -> DataFrame:
     catalog = _names(spark, d).groupBy("name").agg(F.min("k").alias("position"))
