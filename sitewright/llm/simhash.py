@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,6 +147,8 @@ def assign(prints: DataFrame) -> DataFrame:
 #: For similarity by share of common shingles: words of a shingle, the least similarity, and
 #: the signature's positional bytes, of which KEYS groups of four are indexed.
 SHINGLE, SIMILARITY, POSITIONS, KEYS = 5, 0.8, 128, 16
+#: Rows of a block in which the members of a long list are compared.
+BLOCK = 512
 #: Estimates above and below which no exact check is needed (three standard errors).
 SURE, NEVER = 0.9, 0.69
 
@@ -172,33 +175,102 @@ def signature_of(text: str | None, multipliers: np.ndarray) -> bytes:
     return (((least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """``(a, b)`` pairs of classes that share a key of four positional bytes.
+def _postings(rows: DataFrame, width: int = 4) -> DataFrame:
+    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.substring(F.concat("sig", "sig"), 4 * k + 1, width).alias("key")) for k in range(KEYS)))
+    return rows.select("cid", F.explode(keys).alias("p")).select("cid", "p.k", "p.key")
 
-    Lists up to MAX_LIST are paired. In a longer one (a dense group of near copies) each
-    class is paired with the list's least, and again within the lists of eight bytes that it
-    falls into, so the pairs stay in proportion to the rows.
-    """
 
-    def keyed(rows: DataFrame, width: int) -> DataFrame:
-        keys = F.array(*(F.struct(F.lit(k).alias("k"), F.substring(F.concat("sig", "sig"), 4 * k + 1, width).alias("key")) for k in range(KEYS)))
-        return rows.select("cid", F.explode(keys).alias("p")).select("cid", "p.k", "p.key")
+def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` pairs of classes that share a key of four positional bytes, and the lists
+    ``(k, key)`` of which not all pairs are among them.
+
+    Lists up to MAX_LIST are paired. In a longer one each class is paired with the list's
+    least, and again within the lists of eight bytes that it falls into, which links most of
+    a dense group of near copies; ``_strays`` compares what that leaves apart.
+    """
 
-    def pairs(postings: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    def pairs(postings: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("cid").alias("least")).where("n > 1"), label)
         short = postings.join(lists.where(F.col("n") <= MAX_LIST), ["k", "key"]).groupBy("k", "key").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
         one = short.select("cids", F.posexplode("cids").alias("at", "a"))
         close = one.select("a", F.explode(F.slice("cids", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"))
-        long = postings.join(lists.where(F.col("n") > MAX_LIST), ["k", "key"])
-        return close.unionByName(long.where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b"))), long.select("cid").distinct()
+        over = lists.where(F.col("n") > MAX_LIST)
+        long = postings.join(over, ["k", "key"])
+        return close.unionByName(long.where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b"))), long.select("cid").distinct(), over.select("k", "key")
 
-    first, dense = pairs(keyed(classes, 4), "similar-lists")
-    second, _ = pairs(keyed(classes.join(dense, "cid", "left_semi"), 8), "similar-lists")
-    return first.unionByName(second).distinct()
+    first, dense, over = pairs(_postings(classes), "similar-lists")
+    second, _, _ = pairs(_postings(classes.join(dense, "cid", "left_semi"), 8), "similar-lists")
+    return first.unionByName(second).distinct(), over
+
+
+def _strays(classes: DataFrame, texts: DataFrame, over: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(a, b)`` links between members of a long list that ``roots(node, root)`` leaves apart.
+
+    Members already in the group of the list's least are connected; each other one, a stray,
+    is compared with every member on the shingles, exactly, a block of rows by a block. A
+    block pair gives no more links than connect its rows.
+    """
+    members = _postings(classes).join(over, ["k", "key"]).join(roots, F.col("cid") == F.col("node"), "left").select("k", "key", "cid", F.coalesce("root", "cid").alias("root"))
+    members = materialize(members, "similar-members")
+    homes = members.groupBy("k", "key").agg(F.min_by("root", "cid").alias("home"))
+    placed = members.join(homes, ["k", "key"]).withColumn("stray", F.col("root") != F.col("home"))
+    sizes = placed.groupBy("k", "key").agg(F.count_if("stray").alias("strays"), F.count_if(~F.col("stray")).alias("rest")).where("strays > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    sizes = sizes.select("k", "key", blocks("strays").alias("n"), blocks("rest").alias("m"))
+    # Blocks of strays come first; they meet all blocks, the others those of strays only.
+    block = F.when(F.col("stray"), F.pmod(F.xxhash64("cid"), F.col("n"))).otherwise(F.col("n") + F.pmod(F.xxhash64("cid"), F.col("m"))).cast("int")
+    placed = materialize(placed.join(sizes, ["k", "key"]).select("k", "key", "cid", "root", block.alias("block"), F.when(F.col("stray"), F.col("n") + F.col("m")).otherwise(F.col("n")).alias("meets")), "similar-strays")
+
+    sets = materialize(texts.join(placed.select("cid").distinct(), "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
+    met = F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")
+    dealt = placed.join(sets, "cid").select("k", "key", "cid", "root", "block", "set", met).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["block"] == rows["i"]], rows[rows["block"] == rows["j"]]
+        return pd.DataFrame(_block_links(*((side["cid"].to_numpy(), side["root"].to_numpy(), [np.frombuffer(v, "<u8") for v in side["set"]]) for side in (left, right))), columns=["a", "b"], dtype="int64")
+
+    return dealt.drop("other").groupBy("k", "key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _block_links(left: tuple, right: tuple) -> list[tuple[int, int]]:
+    """Links between two blocks of ``(ids, roots, shingle sets)`` that connect their groups."""
+    (ids, roots, sets), (other_ids, other_roots, other_sets) = left, right
+    if not len(ids) or not len(other_ids):
+        return []
+    group: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while group.setdefault(x, x) != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    length = np.array([len(x) for x in other_sets])
+    hashes, owner = np.concatenate(other_sets), np.repeat(np.arange(len(other_sets)), length)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    links = []
+    for own, root, x in zip(ids.tolist(), roots.tolist(), sets, strict=True):
+        low, high = np.searchsorted(hashes, x), np.searchsorted(hashes, x, "right")
+        n = high - low
+        at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        common = np.bincount(owner[at], minlength=len(length))
+        for k in np.flatnonzero((common >= SIMILARITY * (len(x) + length - common)) & (other_roots != root)).tolist():
+            p, q = find(root), find(int(other_roots[k]))
+            if p != q:
+                group[p] = q
+                links.append((own, int(other_ids[k])))
+    return links
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "set"])
 
 
 def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(a, b)`` pairs of ``classes(cid, sig)`` whose shingles have SIMILARITY or more in common.
+    """``(a, b)`` pairs of ``classes(cid, sig)`` that connect those whose shingles have SIMILARITY or more in common.
 
     The equal positional bytes of each candidate pair are tallied; pairs that cannot reach
     the similarity are dropped, and those near it verified on their shingles, made anew from
@@ -212,16 +284,11 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((share - 1 / 256) / (1 - 1 / 256))], names=["a", "b", "share"])
 
     sig = lambda side: classes.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"))
-    tallied = _candidates(classes).join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, share double")
+    candidates, over = _candidates(classes)
+    tallied = candidates.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, share double")
     likely = materialize(tallied.where(F.col("share") >= NEVER), "similar-pairs")
     unsure = likely.where(F.col("share") < SURE).select("a", "b")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "set"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -233,10 +300,12 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in (0, 1)], names=["a", "b"])
 
     asked = unsure.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = materialize(texts.join(asked, "cid", "left_semi").mapInArrow(shingled, "cid long, set binary"), "similar-sets")
+    sets = materialize(texts.join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
     own = lambda side: sets.select(F.col("cid").alias(side), F.col("set").alias(f"set_{side}"))
     verified = unsure.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
-    return likely.where(F.col("share") >= SURE).select("a", "b").unionByName(verified)
+    found = components(likely.where(F.col("share") >= SURE).select("a", "b").unionByName(verified))
+    roots = materialize(found, "similar-roots")
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_strays(classes, texts, over, roots))
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
