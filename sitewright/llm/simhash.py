@@ -146,11 +146,12 @@ def assign(prints: DataFrame) -> DataFrame:
 
 #: For similarity by share of common shingles: words of a shingle, the least similarity, and
 #: the signature's positional bytes, of which KEYS groups of four are indexed.
-SHINGLE, SIMILARITY, POSITIONS, KEYS = 5, 0.8, 128, 16
+SHINGLE, SIMILARITY, POSITIONS, KEYS = 5, 0.8, 128, 32
 #: Rows of a block in which the members of a long list are compared.
 BLOCK = 512
-#: Estimates above and below which no exact check is needed (three standard errors).
-SURE, NEVER = 0.9, 0.69
+#: Estimate below which a pair is dropped unverified: at similarity 0.8 that happens to one
+#: pair in ten million, and one in twenty million shares none of the KEYS keys.
+NEVER = 0.6
 
 
 def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
@@ -273,7 +274,7 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b)`` pairs of ``classes(cid, sig)`` that connect those whose shingles have SIMILARITY or more in common.
 
     The equal positional bytes of each candidate pair are tallied; pairs that cannot reach
-    the similarity are dropped, and those near it verified on their shingles, made anew from
+    the similarity are dropped, and all others verified on their shingles, made anew from
     ``texts(cid, text)``.
     """
 
@@ -286,8 +287,7 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     sig = lambda side: classes.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"))
     candidates, over = _candidates(classes)
     tallied = candidates.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, share double")
-    likely = materialize(tallied.where(F.col("share") >= NEVER), "similar-pairs")
-    unsure = likely.where(F.col("share") < SURE).select("a", "b")
+    likely = materialize(tallied.where(F.col("share") >= NEVER).select("a", "b"), "similar-pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,12 +299,11 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
             kept = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in (0, 1)], names=["a", "b"])
 
-    asked = unsure.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    asked = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     sets = materialize(texts.join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
     own = lambda side: sets.select(F.col("cid").alias(side), F.col("set").alias(f"set_{side}"))
-    verified = unsure.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
-    found = components(likely.where(F.col("share") >= SURE).select("a", "b").unionByName(verified))
-    roots = materialize(found, "similar-roots")
+    verified = likely.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+    roots = materialize(components(verified), "similar-roots")
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_strays(classes, texts, over, roots))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -288,6 +289,22 @@ def test_similar_copies_on_one_template(spark):
     assert len(got) == 401 and got == list(range(0, 802, 2))
 
 
+def test_similar_pairs_are_verified(spark):
+    # Signatures that agree in full and in 0.66 of their bytes, of texts under and at the similarity.
+    w = [f"w{k}" for k in range(100)]
+    texts = [w, [*w[:88], *(f"x{k}" for k in range(12))], [f"y{k}" for k in range(100)], [*(f"y{k}" for k in range(92)), *(f"z{k}" for k in range(8))]]
+    sig = bytes(range(128))
+    sigs = [sig, sig[:127] + b"x", bytes(range(128, 256)), bytes(range(128, 128 + 85)) + bytes(43)]
+    classes = spark.createDataFrame(list(enumerate(map(bytearray, sigs))), "cid long, sig binary")
+    links = simhash.similar_links(classes, spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "cid long, text string"))
+    assert {(r["a"], r["b"]) for r in links.collect() if r["a"] != r["b"]} == {(3, 2)}
+    # What the index and the tally miss at the similarity itself.
+    p = simhash.SIMILARITY + (1 - simhash.SIMILARITY) / 256
+    least = simhash.NEVER + (1 - simhash.NEVER) / 256
+    under = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(math.ceil(128 * least)))
+    assert under < 1e-6 and (1 - p**4) ** simhash.KEYS < 1e-6
+
+
 # 7: packing
 
 
