@@ -2,8 +2,9 @@
 
 A document's tokens fill whole windows of their own as far as they go; its remainder, under
 a window long, seeds a window or fills another's. The remainders are indexed in shards: a
-shard holds about SHARD_DOCS documents dealt by a hash of their id and content, so no source,
-copy group or long document can make one large. In a shard, an inverted index over token ids
+shard holds about SHARD_DOCS documents that are lexically close: a tree of splits, fitted on
+a sample of bounded size, deals them by their BM25 weights, and what lands in one leaf beyond
+that number (a large copy group) is dealt over further shards by a hash. In a shard, an inverted index over token ids
 with BM25 weights (document frequencies and mean length taken over the whole corpus) scores
 the unused remainders against the seed's; they fill the seed's window greedily, nearest
 first. The one that no longer fits whole is cut, and its rest seeds the next window, so only
@@ -17,7 +18,6 @@ are not carried.
 
 from __future__ import annotations
 
-import math
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,6 +33,8 @@ from sitewright.shared import materialize
 
 #: Tokens of a window, documents of a shard (about), and the rarest tokens a seed searches by.
 WINDOW, SHARD_DOCS, QUERY_TERMS = 1024, 1024, 16
+#: Directions that weights are projected on, sampled remainders a leaf of the dealing tree, and leaves at most.
+DIRECTIONS, LEAF_SAMPLE, MOST_LEAVES = 64, 32, 1024
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Units (a word with the space before it) that a worker keeps; then it starts anew.
@@ -176,6 +178,81 @@ def token_statistics(rests: DataFrame) -> tuple[int, float, np.ndarray]:
     return n, (total or 0) / max(n, 1), df
 
 
+def bm25(weight_of: np.ndarray, terms: np.ndarray, tf: np.ndarray, lengths: np.ndarray, mean: float) -> np.ndarray:
+    return (weight_of[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / max(mean, 1e-9)))).astype(np.float32)
+
+
+@lru_cache(maxsize=1)
+def _directions(tokens: int) -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((tokens, DIRECTIONS), dtype=np.float32)
+
+
+def projected(ids: list[bytes], lengths: list[int], weight_of: np.ndarray, mean: float) -> np.ndarray:
+    """A unit row for each remainder: its BM25 weights on the fixed directions."""
+    out = np.zeros((len(ids), DIRECTIONS), dtype=np.float32)
+    directions = _directions(len(weight_of))
+    for k, (own, n) in enumerate(zip(ids, lengths, strict=True)):
+        terms, tf = np.unique(_numbers(own, n), return_counts=True)
+        out[k] = bm25(weight_of, terms, tf.astype(np.float32), n, mean) @ directions[terms]
+    return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
+
+
+def fit_tree(x: np.ndarray, leaves: int, first: int = 0) -> tuple | int:
+    """Nested ``(direction, threshold, below, above)`` splits by principal directions; numbered leaves."""
+    if leaves == 1 or len(x) < 2:
+        return first
+    _, vectors = np.linalg.eigh(np.cov(x, rowvar=False))
+    at = x @ vectors[:, -1]
+    half = leaves // 2
+    threshold = float(np.quantile(at, half / leaves))
+    return vectors[:, -1].astype(np.float32), threshold, fit_tree(x[at <= threshold], half, first), fit_tree(x[at > threshold], leaves - half, first + half)
+
+
+def leaves_of(tree: tuple | int, x: np.ndarray) -> np.ndarray:
+    if isinstance(tree, int):
+        return np.full(len(x), tree, dtype=np.int64)
+    direction, threshold, below, above = tree
+    low, out = x @ direction <= threshold, np.empty(len(x), dtype=np.int64)
+    out[low], out[~low] = leaves_of(below, x[low]), leaves_of(above, x[~low])
+    return out
+
+
+def deal(rests: DataFrame, n: int, mean: float, weights) -> DataFrame:
+    """``rests`` with the ``shard`` of each: of about SHARD_DOCS remainders close to each other.
+
+    The driver holds the sample's projections and a count for each leaf.
+    """
+    leaves = min(max(1, round(n / SHARD_DOCS)), MOST_LEAVES)
+    salt = F.xxhash64("doc_id", "shard_key")
+    if leaves == 1:
+        return rests.withColumn("shard", F.lit(0).cast("long"))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = projected(batch.column(0).to_pylist(), batch.column(1).to_pylist(), weights.value, mean)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary())], names=["x"])
+
+    every = max(1, n // (LEAF_SAMPLE * leaves))
+    rows = rests.where(F.pmod(salt, F.lit(every)) == 0).select("ids", "length").mapInArrow(sample, "x binary").collect()
+    sampled = np.frombuffer(b"".join(sorted(bytes(r["x"]) for r in rows)), "<f4").reshape(-1, DIRECTIONS)
+    tree = fit_tree(sampled.astype(np.float64), leaves)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lengths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ids", "length"))
+            leaf = leaves_of(tree, projected(ids, lengths, weights.value, mean))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], names=[*batch.schema.names, "leaf"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rests.schema)
+    routed = materialize(rests.mapInArrow(route, f"{fields}, leaf long"), "packing-leaves")
+    counts = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}
+    parts = [max(1, round(counts.get(k, 0) / SHARD_DOCS)) for k in range(leaves)]
+    firsts = np.cumsum([0, *parts[:-1]]).tolist()
+    leaf = F.col("leaf").cast("int")
+    pick = lambda numbers: F.get(F.array(*map(F.lit, numbers)), leaf).cast("long")
+    return routed.withColumn("shard", pick(firsts) + F.pmod(salt, pick(parts))).drop("leaf")
+
+
 def order_by_neighbours(tokens: list[np.ndarray], weight_of: np.ndarray, mean: float, window: int) -> Iterator[tuple[int, int, int, int]]:
     """``(sequence, document, start, length)`` of a shard's pieces, window by window."""
     n = len(tokens)
@@ -184,7 +261,7 @@ def order_by_neighbours(tokens: list[np.ndarray], weight_of: np.ndarray, mean: f
     terms = np.concatenate([t for t, _ in found])
     owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in found])
     tf = np.concatenate([c for _, c in found]).astype(np.float32)
-    weight = (weight_of[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / max(mean, 1e-9)))).astype(np.float32)
+    weight = bm25(weight_of, terms, tf, lengths[owner], mean)
     by_term = np.argsort(terms, kind="stable")
     terms, owner, weight = terms[by_term], owner[by_term], weight[by_term]
     starts = np.searchsorted(terms, np.arange(int(terms[-1]) + 2))
@@ -235,7 +312,6 @@ def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: st
     rests = pieces.where("ids is not null")
     n, mean, frequency = token_statistics(rests)
     weights = spark.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))
-    shards = max(1, math.ceil(n / SHARD_DOCS))
     schema = PIECE.format(id=df.schema[id_col].dataType.simpleString()) + ", sequence_id long, offset long"
 
     def fill(shard: pd.DataFrame) -> pd.DataFrame:
@@ -272,8 +348,7 @@ def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: st
         of = shard.iloc[d].reset_index(drop=True)
         return pd.DataFrame({"doc_id": of["doc_id"], "start": of["start"] + a, "length": k, "ids_crc32": crc, "doc_tokens": of["doc_tokens"], "sequence_id": number, "offset": offset})
 
-    dealt = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id", "shard_key"), F.lit(shards)))
-    packed = dealt.groupBy("shard").applyInPandas(fill, schema)
+    packed = deal(rests, n, mean, weights).groupBy("shard").applyInPandas(fill, schema)
     # Full windows: their sequence is their own; negative numbers keep clear of the shards'.
     full = pieces.where("ids is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return full.unionByName(packed)

@@ -349,6 +349,19 @@ def test_neighbours_share_a_window():
     assert all(len(w) == 1 for w in windows.values())
 
 
+def test_neighbours_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 32)
+    rng = np.random.default_rng(1)
+    words = rng.permutation([f"{a}{b}" for a in "bcdfghjklm" for b in ("ark", "end", "ill", "ost", "unt", "ash", "eel", "ive")])
+    rows = [(k, " ".join(rng.choice(words[10 * (k % 8) : 10 * (k % 8) + 10], 60))) for k in range(512)] + [(1000 + k, "one text") for k in range(200)]
+    pieces = packing.pack(spark.createDataFrame([(int(i), str(t)) for i, t in rows], "doc_id long, text string"), BYTE_BPE).toPandas()
+    pieces["shard"] = pieces["sequence_id"] // (1 << 32)
+    own = pieces[pieces["doc_id"] < 512].drop_duplicates("doc_id")
+    topics = own.groupby("shard")["doc_id"].agg(lambda d: np.bincount(d % 8).max())
+    assert topics.sum() >= 0.8 * 512  # one in eight or so if dealt at random
+    assert pieces.groupby("shard")["doc_id"].nunique().max() <= 128
+
+
 # 8: chat
 
 
