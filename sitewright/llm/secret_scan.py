@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a token-efficiency test for what they miss.
 
 Prose takes few tokens for its length, a random string many. So each run of key characters
-outside the patterns' spans that mixes letters and digits is encoded with a byte-level
+outside the patterns' spans that has letters is encoded with a byte-level
 vocabulary, and a low number of characters a token exposes it, unless it is a known kind of
 digest (bare hexadecimal of a digest's length), an identifier (UUID, timestamp, version) or
 part of an address.
@@ -35,7 +35,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MOST_CHARS_A_TOKEN = 2.2
 #: Known digests' lengths in hexadecimal, and identifiers.
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
-IDENTIFIER = re.compile(r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d[T_-].*|v?\d+(?:[._-]\d+)+[A-Za-z0-9._-]*|[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?\d{1,6})\Z")
+IDENTIFIER = re.compile(r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d(?:[T_-]\d{1,9}){0,5}(?:[TZ_-][A-Za-z0-9]{0,6})?|v?\d+(?:[._-]\d+)+[._-]?[A-Za-z0-9]{0,8}|[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?\d{1,6})\Z")
+#: Addresses: what starts one (a scheme, a host with a path or of three parts), the host after
+#: an @, what a run of one cannot contain, and how far it reaches.
+ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,15}://|(?<![a-zA-Z0-9-])(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,6}/|(?<![a-zA-Z0-9-])(?:[a-z0-9-]{1,63}\.){2,8}[a-z]{2,6}(?=:|\Z)")
+MAILED = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z]")
+BREAKS, REACH = re.compile(r"[\s\"'`<>(){}\[\],;|?&#]"), 2048
 #: The byte-level vocabularies' split (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,19 +67,29 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+def in_address(text: str, a: int, b: int) -> bool:
+    """Whether ``text[a:b]`` is part of a URL, an e-mail address or a host."""
+    before, after = text[max(0, a - REACH) : a], text[b : b + REACH]
+    cut = BREAKS.search(before[::-1])
+    before = before[len(before) - cut.start() :] if cut else before
+    cut = BREAKS.search(after)
+    after = after[: cut.start()] if cut else after
+    first = ADDRESS.search(before + text[a:b] + after)
+    return bool(first and first.start() < len(before) + b - a) or before.endswith("@") or bool(MAILED.search(after))
+
+
 def dense_spans(text: str, vocabulary: str, found: list[Span]) -> list[Span]:
     """Random-looking strings that touch no span in ``found``."""
     out: list[Span] = []
     for m in CANDIDATE.finditer(text):
         s, a, b = m[0], m.start(), m.end()
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or DIGEST.match(s) or IDENTIFIER.match(s):
+        if not any(c.isalpha() for c in s) or DIGEST.match(s) or IDENTIFIER.match(s):
             continue
         if any(x < b and a < y for x, _, y in found):
             continue
-        if text[a - 1 : a] in ("@", ".") or text[b : b + 1] == "@" or text[b : b + 3] == "://" or "//" in s:
-            continue  # part of an address
         if len(s) <= MOST_CHARS_A_TOKEN * len(encoder(vocabulary).encode_ordinary(s)):
-            out.append((a, 3, b))
+            if not in_address(text, a, b):
+                out.append((a, 3, b))
     return out
 
 

@@ -422,6 +422,19 @@ def test_secrets_base_and_dense(spark, sf_dir, docs):
     assert spans('TOKEN = "abcdefghijkl"') == [("assign", 'TOKEN = "abcdefghijkl')] and spans("token=short") == [] and spans("tooken: abcdefghijkl") == []
 
 
+def test_secrets_beside_dots_and_slashes():
+    found = lambda t: [t[a:b] for a, _, b in secret_scan.spans_of(t, RANKS)]
+    one, two = "xK9fQ2mZ7pL4vT8wR1sB6nY3", "Hq7Wc3Zt9Lr2Vb8Nx5Jd1Mg6Ks4Py0Fa"
+    assert found(f"SG.{one}.{two} x") == [one, two] and found(f"The end.{one} and") == [one]
+    assert found(f"eyJhbGciOiJIUzI1NiJ9.{one}.{two}")[-2:] == [one, two]
+    assert found(f"x {one}//{two}") == [f"{one}//{two}"] and found(f"2024-01-02-{two}") == [f"2024-01-02-{two}"]
+    letters = "xKfQzmZqpLjvTgwRhsBnYcWd"
+    assert found(f"use {letters} now") == [letters] and found(f"12-34-{two}") == [f"12-34-{two}"]
+    assert found('{"u":"https://a.example/b","k":"' + one + '"}') == [one] and found(f"https://a.example/p?k={one}") != []
+    for t in (f"https://a.example/{one}", f"see a.example.com/{one}/b", f"{one}@mail.example", f"ftp://user:{one}@host.example", "-" * 40, "2024-01-02T03-04-05-123456Z", "getElementsByTagNameAndClass"):
+        assert found(t) == [], t
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secret_scan.scan(odd, RANKS).count() == len(ODD) and secret_scan.scan(empty, RANKS).count() == 0
     done = secret_scan.redact(odd, RANKS)
