@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,6 +171,61 @@ def test_html_cases(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+LONG = "Some long text, with punctuation. And more of it here, really; much more."
+
+
+def long_blocks(n):
+    return f"<p>{LONG}</p>" * n, [LONG] * n
+
+
+def test_html_ratios_decide(spark, sf_dir, monkeypatch):
+    """With all paths' ratios equal, every page's text is another."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    texts, real = [html_extract.main_text(p) for p in pages], html_extract.path_ratios
+    monkeypatch.setattr(html_extract, "path_ratios", lambda *a: tuple(dict.fromkeys(x, 1.0) for x in real(*a)))
+    assert all(html_extract.main_text(p) != t for p, t in zip(pages, texts, strict=True))
+
+
+def test_html_pages_without_marks(spark, sf_dir):
+    """Without article, nav and footer elements, ratios and names find most texts."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    for swaps, share in (((("article", "div"),), 1.0), ((("article", "div"), ("nav>", "div>"), ("footer>", "section>"), ('"ad"', '"x1"')), 0.6)):
+        same = 0
+        for page in pages:
+            bare = page
+            for a, b in swaps:
+                bare = bare.replace(a, b)
+            same += html_extract.main_text(bare) == html_extract.main_text(page)
+        assert same >= share * len(pages)
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        (f"<article><h2><a href=1>A heading that links</a></h2><p>{LONG}</p><p><a href=2>A paragraph that is one link</a></p><p>{LONG}</p></article>", ["A heading that links", LONG, "A paragraph that is one link", LONG]),
+        (f'<article><div class="side-by-side"><p>{LONG}</p></div><p>{LONG}</p><div class="related-work"><p>{LONG}</p></div></article>', [LONG] * 3),
+        (f'<article><p>{LONG}</p><p>Text <span class="ad">Buy now!</span> goes on.</p></article>', [LONG, "Text goes on."]),
+        (f"<main><p>{LONG}</p><ol><li><a href=1>Smith, J. A title. Journal, 2019.</a></li><li><a href=1>Doe, A. A title. Journal, 2020.</a></li></ol></main>", [LONG, "Smith, J. A title. Journal, 2019.", "Doe, A. A title. Journal, 2020."]),
+        ("<article><h1>T</h1><p><a href=1>all of it a link</a></p></article>", ["T", "all of it a link"]),
+        (f"<div><p>{LONG}</p><a name=top><p>{LONG}</p><p>{LONG}</p></div><div class=comments><p>{'Nice post, I like it. ' * 40}</p></div>", [LONG] * 3),
+        (f"<div id=c><h1>Title</h1><div class=b><p>{LONG}</p><p>{LONG}</p><ul><li>One</li><li>Two</li></ul></div></div><div class=x><ul>{'<li><a href=1>Menu</a></li>' * 6}</ul></div><div><p>Small promo.</p></div>", ["Title", LONG, LONG, "One", "Two"]),
+        (f'<article><p>{LONG}</p><p class="x>Raw, text.</p><p>{LONG}</p></article>', [LONG, "Raw, text.", LONG]),
+        ("<div><a href=1>Home page</a> <a href=2>About us</a></div>", []),
+        ("a < b, and c > d", ["a < b, and c > d"]),
+        (f"<article><p>{LONG}</p>" + "<div>" * 5000 + "<nav>menu, one.</nav>" + "</div>" * 5000 + "</article>", [LONG]),
+    ],
+)
+def test_html_by_ratio(page, blocks):
+    assert html_extract.main_text(page) == "\n\n".join(blocks)
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<div>x" * 150_000, '<a x=">"' * 120_000, "<td><ul>" + "<x>" * 60_000 + "<td></td>" * 60_000, "<svg>" * 200_000, "<p>" * 300_000, "</a" * 300_000, "<!-- " * 200_000])
+def test_html_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 8  # a second or two on an idle core
+
+
 # 5: sharding
 
 
