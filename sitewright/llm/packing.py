@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from sitewright.shared import materialize
 
-#: Tokens of a window, documents of a shard (about), and the rarest tokens a seed searches by.
-WINDOW, SHARD_DOCS, QUERY_TERMS = 1024, 1024, 16
+#: Tokens of a window, documents of a shard (about), and postings from which a token's are kept as a row.
+WINDOW, SHARD_DOCS, DENSE = 1024, 1024, 24
 #: Directions that weights are projected on, sampled remainders a leaf of the dealing tree, and leaves at most.
 DIRECTIONS, LEAF_SAMPLE, MOST_LEAVES = 64, 32, 1024
 #: BM25's usual parameters.
@@ -223,7 +223,7 @@ def deal(rests: DataFrame, n: int, mean: float, weights) -> DataFrame:
     The driver holds the sample's projections and a count for each leaf.
     """
     leaves = min(max(1, round(n / SHARD_DOCS)), MOST_LEAVES)
-    salt = F.xxhash64("doc_id", "shard_key")
+    salt = F.xxhash64("row")  # by row: repeated rows spread too
     if leaves == 1:
         return rests.withColumn("shard", F.lit(0).cast("long"))
 
@@ -264,7 +264,23 @@ def order_by_neighbours(tokens: list[np.ndarray], weight_of: np.ndarray, mean: f
     weight = bm25(weight_of, terms, tf, lengths[owner], mean)
     by_term = np.argsort(terms, kind="stable")
     terms, owner, weight = terms[by_term], owner[by_term], weight[by_term]
-    starts = np.searchsorted(terms, np.arange(int(terms[-1]) + 2))
+    known, starts, counts = np.unique(terms, return_index=True, return_counts=True)
+    # Frequent tokens' postings are rows of a table, the others' stay lists.
+    dense = np.flatnonzero(counts >= DENSE)
+    row_of = np.full(len(known), -1)
+    row_of[dense] = np.arange(len(dense))
+    table = np.zeros((len(dense), n), dtype=np.float32)
+    held = row_of[np.repeat(np.arange(len(known)), counts)]
+    table[held[held >= 0], owner[held >= 0]] = weight[held >= 0]
+
+    def scores(own: np.ndarray) -> np.ndarray:
+        """Every document's BM25 score against all of a seed's tokens."""
+        at = np.searchsorted(known, own)
+        rows, lists = row_of[at], at[row_of[at] < 0]
+        size = counts[lists]
+        places = np.arange(size.sum()) + np.repeat(starts[lists] - np.cumsum(size) + size, size)
+        return table[rows[rows >= 0]].sum(0) + np.bincount(owner[places], weights=weight[places], minlength=n).astype(np.float32)
+
     free = np.ones(n, dtype=bool)
     rest: tuple[int, int] | None = None  # a cut document and where its rest starts
     seed_order, at, sequence = np.argsort(-lengths, kind="stable"), 0, 0
@@ -281,12 +297,7 @@ def order_by_neighbours(tokens: list[np.ndarray], weight_of: np.ndarray, mean: f
         room = window - (lengths[seed] - start)
         yield sequence, seed, start, int(lengths[seed] - start)
         if room > 0 and free.any():
-            own = found[seed][0]
-            rare = own if len(own) <= QUERY_TERMS else own[np.argsort(-weight_of[own], kind="stable")[:QUERY_TERMS]]
-            score = np.zeros(n, dtype=np.float32)
-            for t in rare:
-                a, b = starts[t], starts[t + 1]
-                score[owner[a:b]] += weight[a:b]
+            score = scores(found[seed][0])
             score[~free] = -1
             while room > 0:
                 k = int(score.argmax())
@@ -308,7 +319,7 @@ def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: st
     shuffle once, by shard. The driver holds document frequencies only.
     """
     spark = df.sparkSession
-    pieces = materialize(tokenize(df, vocabulary, id_col=id_col, text_col=text_col, window=window), "packing-tokens")
+    pieces = materialize(tokenize(df, vocabulary, id_col=id_col, text_col=text_col, window=window).withColumn("row", F.monotonically_increasing_id()), "packing-tokens")
     rests = pieces.where("ids is not null")
     n, mean, frequency = token_statistics(rests)
     weights = spark.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))

@@ -405,6 +405,39 @@ def test_neighbours_share_a_window():
     assert all(len(w) == 1 for w in windows.values())
 
 
+def test_neighbours_equal_plain_bm25():
+    """Each window's fills are the best unused ones by scores computed pair by pair."""
+    rng = np.random.default_rng(3)
+    docs = [rng.zipf(1.3, rng.integers(5, 300)).clip(max=900).astype("<u4") for _ in range(150)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=901)
+    weights, mean = np.log1p((150 - df + 0.5) / (df + 0.5)).astype("f4"), float(np.mean([len(d) for d in docs]))
+    counts = [Counter(d.tolist()) for d in docs]
+
+    def score(a, b):
+        k1, b_ = packing.K1, packing.B
+        return sum(weights[t] * n * (k1 + 1) / (n + k1 * (1 - b_ + b_ * len(docs[b]) / mean)) for t, n in counts[b].items() if t in counts[a])
+
+    windows, used, fills = defaultdict(list), set(), 0
+    for s, d, start, n in packing.order_by_neighbours(docs, weights, mean, 1024):
+        windows[s].append((d, start, n))
+    for s in sorted(windows):
+        (seed, _, _), *filled = windows[s]
+        used.add(seed)
+        for d, start, _ in filled:
+            best = max(score(seed, x) for x in range(150) if x not in used)
+            assert start == 0 and score(seed, d) >= best * (1 - 1e-4) > 0
+            used.add(d)
+            fills += 1
+    assert used == set(range(150)) and fills > 100
+
+
+def test_packing_spreads_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 32)
+    rows = spark.range(600).select(F.when(F.col("id") < 300, 7).alias("doc_id"), F.when(F.col("id") < 300, "the same row").alias("text"))
+    pieces = packing.pack(rows, BYTE_BPE).toPandas()
+    assert pieces["length"].sum() == 300 * 4 + 300 and (pieces.groupby(pieces["sequence_id"] // (1 << 32))["length"].sum() < 1024).all()
+
+
 def test_neighbours_share_a_shard(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCS", 32)
     rng = np.random.default_rng(1)
