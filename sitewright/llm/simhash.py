@@ -1,12 +1,14 @@
 """SimHash near-duplicates: fingerprints, and links by a byte-position inverted index.
 
 Two fingerprints of eight bytes that differ in at most two bits agree in at least six bytes
-at the same positions. Postings are keyed by such positional bytes, four at a time (two of
-the four two-byte blocks: any linked pair shares at least one of the six keys). For each
-pair of a posting list the shared positional bytes are tallied, pairs below the guaranteed
-minimum of six are dropped, and the rest verified bit by bit.
-
-Only distinct fingerprints are indexed, so copies cost nothing. A posting list longer than
+at the same positions. The inverted index is keyed by positions with their bytes. A list of
+one position would hold a 256th of all fingerprints, so a key takes four positions: the 14
+sets of four whose numbers' XOR is 0, of which any six positions contain three that cover
+them. Each list that a pair shares adds its positions to the pair's tally of shared bytes;
+pairs below the guaranteed minimum of six are dropped, and the rest verified bit by bit.
+
+Only distinct fingerprints are indexed, so copies cost nothing; fingerprints that many rows
+share are joined back by broadcast, at most HOT of them. A posting list longer than
 MAX_LIST (a dense group of near copies) is not paired: each of its fingerprints lists itself
 and its 64 one-bit neighbours instead, and fingerprints that list the same value, at most 65
 of them, link to the least. That finds the same links, exactly, in linear work.
@@ -20,7 +22,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,8 +38,10 @@ from sitewright.shared import materialize
 MAX_LIST = 24
 #: Differing bits that still link, and the positional bytes that such pairs share at least.
 MAX_BITS, MIN_BYTES = 2, 6
-#: The pairs of two-byte blocks that key the postings.
-BLOCK_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+#: The sets of four positions that key the postings.
+QUADS = [q for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
+#: Fingerprints held by more than one row in HOT, so fewer than HOT, are joined by broadcast.
+HOT = 1000
 
 
 def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -65,32 +70,22 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _block(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 16 * k).bitwiseAND(F.lit(0xFFFF))
-
-
-def _shared_bytes(x: Column) -> Column:
-    """Positional bytes in which two fingerprints agree, from their XOR."""
-    return sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for k in range(8))
+def _byte(fp: Column, k: int) -> Column:
+    return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(0xFF))
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """``(a, b)`` pairs of ``fp`` values at most MAX_BITS apart that connect all such pairs."""
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), (F.shiftleft(_block(F.col("fp"), i), 16) + _block(F.col("fp"), j)).alias("key")) for k, (i, j) in enumerate(BLOCK_PAIRS)))
-    postings = distinct.select("fp", F.explode(keys).alias("p")).select("fp", "p.k", "p.key")
-    lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-lists")
-    short = postings.join(lists.where(F.col("n") <= MAX_LIST), ["k", "key"]).groupBy("k", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    one = short.select("k", "fps", F.posexplode("fps").alias("at", "a"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    first_key = F.coalesce(*(F.when((_block(x, i) == 0) & (_block(x, j) == 0), F.lit(k)) for k, (i, j) in enumerate(BLOCK_PAIRS)))
-    paired = (
-        one.select("k", "a", F.explode(F.slice("fps", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"))
-        .where(first_key == F.col("k"))  # a pair that shares several keys comes from the first
-        .where(_shared_bytes(x) >= MIN_BYTES)
-        .where(F.bit_count(x) <= MAX_BITS)
-        .select("a", "b")
-    )
-    dense = postings.join(lists.where(F.col("n") > MAX_LIST), ["k", "key"], "left_semi").select("fp").distinct()
+    key = lambda q: reduce(lambda v, k: F.shiftleft(v, 8) + _byte(F.col("fp"), k), q[1:], _byte(F.col("fp"), q[0]))
+    keys = F.array(*(F.struct(F.lit(sum(1 << k for k in q)).alias("places"), key(q).alias("key")) for q in QUADS))
+    postings = distinct.select("fp", F.explode(keys).alias("p")).select("fp", "p.places", "p.key")
+    lists = materialize(postings.groupBy("places", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-lists")
+    short = postings.join(lists.where(F.col("n") <= MAX_LIST), ["places", "key"]).groupBy("places", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    one = short.select("places", "fps", F.posexplode("fps").alias("at", "a"))
+    met = one.select("places", "a", F.explode(F.slice("fps", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"))
+    tally = met.groupBy("a", "b").agg(F.bit_count(F.bit_or("places")).alias("shared"))
+    paired = tally.where(F.col("shared") >= MIN_BYTES).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+    dense = postings.join(lists.where(F.col("n") > MAX_LIST), ["places", "key"], "left_semi").select("fp").distinct()
     near = F.concat(F.array("fp"), F.array(*(F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63))) for k in range(64))))
     starred = (
         dense.select("fp", F.explode(near).alias("v"))
@@ -137,11 +132,15 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def assign(prints: DataFrame) -> DataFrame:
     """Components for a table of ``doc_id`` and ``fp``."""
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-classes")
     rooted = classes.join(components(links(classes.select("fp"))), F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "simhash-components")
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id", "root")
+    rows = classes.agg(F.sum("n")).first()[0] or 0
+    hot = found.join(classes.where(F.col("n") * HOT > rows).select("fp"), "fp")
+    # Fewer than HOT rows in all, by their condition; the other keys are of bounded size.
+    joined = [prints.join(F.broadcast(hot), "fp"), prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(found, "fp")]
+    return joined[0].unionByName(joined[1]).select("doc_id", "fp", "component_id", "root")
 
 
 #: For similarity by share of common shingles: words of a shingle, the least similarity, and

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -307,6 +308,21 @@ def test_simhash_dense_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.assign(df).collect()} == want
 
 
+def test_simhash_fingerprint_of_most_rows(spark):
+    """Rows of a fingerprint that a third of all rows and more share are joined back whole."""
+    rows = [(k, "" if k % 3 else f"word{k} one two three") for k in range(6000)] + [(None, "")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(got) == 6001 and (got["fp"] == 0).sum() >= 4001
+    assert set(got[got["fp"] == 0]["component_id"]) == {got[got["fp"] == 0]["doc_id"].min()}
+
+
+def test_simhash_positions_cover_six_of_eight():
+    assert len(simhash.QUADS) == 14
+    for left in combinations(range(8), 6):
+        inside = [set(q) for q in simhash.QUADS if set(q) <= set(left)]
+        assert len(inside) >= 3 and set().union(*inside) == set(left)
+
+
 def test_simhash_odd_rows(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (2, 3, 4)} == {2}
@@ -485,6 +501,26 @@ def test_chat_rows(spark):
     assert chat.gather(df.limit(0)).count() == 0
 
 
+def test_chat_roles_stay_and_null_ids_stand_alone(spark):
+    """Other role names keep their spelling and stay out of the loss; extra columns may have any name."""
+    said = [(7, 0, "human"), (7, 1, "gpt"), (7, 2, "assistant"), (8, 0, "bot"), (8, 1, "model"), (None, 0, "user"), (None, 0, "user"), (None, 1, "assistant")]
+    rows = [(c, t, r, f"{r} says", 1, "x", 2, "y", "z") for c, t, r in said]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, t long, record string, alone long, turns string, content string")
+    turns = chat.canonical_turns(chat.gather(df), id_col="conv_id", record_col="record")
+    out = chat.format_turns(turns.select("conv_id", "turns")).select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l")).collect()
+    found = {r["conv_id"]: ([t["role"] for t in r["t"]], r["l"]) for r in out if r["conv_id"]}
+    assert found == {7: (["human", "gpt", "assistant"], "assistant says"), 8: (["bot", "model"], "")}
+    assert sorted(r["l"] for r in out if r["conv_id"] is None) == ["", "", "assistant says"]
+
+
+def test_chat_long_conversation(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|~["), F.col("id").cast("string")).alias("text"))
+    turns = chat.canonical_turns(chat.gather(df), id_col="conv_id", record_col="record")
+    (r,) = chat.format_turns(turns.select("conv_id", "turns")).select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l")).collect()
+    assert [t["text"] for t in r["t"]] == [f"<|~[{k}" for k in range(20_000)]
+    assert r["l"] == "".join(f"<|~[{k}" for k in range(1, 20_000, 2))
+
+
 # 9: secrets
 
 
