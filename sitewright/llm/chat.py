@@ -7,9 +7,11 @@ marks cannot occur inside a text: the characters that marks are made of are esca
 reversibly. A loss mask of code-point spans marks the assistants' texts.
 
 Everything is a built-in expression, with one shuffle where rows of turns are gathered into
-conversations (a conversation's string is one value, so its turns meet in one row). Results
-by case: null texts and roles are empty; a null id is a conversation of its own; turns with
-equal numbers stand by role and text, null numbers first; a record whose layout is unknown
+conversations (a conversation's string is one value, so its turns meet in one row). Roles
+stay as they stand, but for layouts whose records name the speaker with ``from``: their names
+are brought to the canonical ones. Results by case: null texts and roles are empty; a row
+with a null id is a conversation of its own, of one turn; turns with equal numbers stand by
+role and text, null numbers first; a record whose layout is unknown
 gives no turns and a null layout; repeated records are formatted each; an empty table gives
 an empty result; other columns are not carried.
 """
@@ -27,7 +29,7 @@ TURN = "struct<role:string,text:string>"
 #: Characters that template marks are made of, with their escapes; the escape sign is first.
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), ("|", "~3"))
 OPEN, ROLE_END, CLOSE = "<|", "|>\n", "<|end|>\n"
-#: Names of roles that are brought to the canonical ones.
+#: Speakers' names in ``from`` records, with the canonical roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -71,7 +73,8 @@ def _turns(layout: Layout, record: Column) -> Column:
     if layout.turns:
         listed = F.variant_get(record, f"$.{layout.turns}", f"array<struct<{layout.role}:string,{layout.text}:string>>")
         known = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
-        role = lambda t: F.coalesce(F.try_element_at(known, F.coalesce(t[layout.role], empty)), t[layout.role], empty)
+        plain = lambda t: F.coalesce(t[layout.role], empty)
+        role = (lambda t: F.coalesce(F.try_element_at(known, plain(t)), plain(t))) if layout.role == "from" else plain
         return F.transform(listed, lambda t: F.struct(role(t).alias("role"), F.coalesce(t[layout.text], empty).alias("text")))
     own = lambda f: F.coalesce(F.variant_get(record, f"$.{f}", "string"), empty)
     texts = lambda fs: F.array_join(F.filter(F.array(*map(own, fs)), lambda x: x != ""), "\n\n") if len(fs) > 1 else own(fs[0])
@@ -157,7 +160,9 @@ def gather(df: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", ro
         F.col(id_col).alias("conv_id"),
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), empty).alias("role"), F.coalesce(F.col(text_col).cast("string"), empty).alias("content")).alias("t"),
     )
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    # Rows without an id never meet: each has a number of its own.
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    convs = rows.withColumn("alone", alone).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("t")).drop("alone")
     roles, text = F.transform("t", lambda t: t["role"]), lambda k: F.get("t", k)["content"]
     messages = F.to_variant_object(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")))
     pair = F.to_variant_object(F.struct(text(0).alias("prompt"), text(1).alias("response")))

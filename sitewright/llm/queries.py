@@ -95,9 +95,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH all_turns AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), c AS (
   SELECT *, regexp_replace(role, '[~<|[]', '00', 'g') AS r, regexp_replace(text, '[~<|[]', '00', 'g') AS t FROM all_turns
 )
@@ -106,7 +106,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(r) + length(t) + 13) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM c GROUP BY conv_id, alone
 """
 
 
