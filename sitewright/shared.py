@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,3 +51,56 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file appear at ``path`` whole; False, and nothing changes, if it is there.
+
+    Of several writers exactly one wins: the text is written aside and then given its name by
+    an operation that fails where the name is taken, a link on local file systems and a rename
+    without overwriting (atomic on file systems like HDFS) elsewhere.
+    """
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    final = hadoop.Path(path)
+    fs = final.getFileSystem(conf)
+    fs.mkdirs(final.getParent())
+    draft = hadoop.Path(final.getParent(), f".draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            paths = spark._jvm.java.nio.file.Paths
+            local = lambda p: paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 0))
+            spark._jvm.java.nio.file.Files.createLink(local(final), local(draft))
+        else:
+            kind = hadoop.Options.Rename
+            options = spark.sparkContext._gateway.new_array(kind, 1)
+            options[0] = kind.NONE
+            hadoop.FileContext.getFileContext(final.toUri(), conf).rename(draft, final, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        if fs.exists(draft):
+            fs.delete(draft, False)
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).open(jpath)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, none where there is no folder; drafts are left out."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    return sorted(n for n in found if not n.startswith("."))

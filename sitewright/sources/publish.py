@@ -1,41 +1,35 @@
-"""Publishing many tables at once: staged privately, then swapped live by one pointer."""
+"""Publishing many tables at once: staged privately, then swapped live by one pointer.
+
+Each publisher stages into a folder of its own, so none can change what another made live.
+A version's pointer is one small file that names the folder and is written once: of two
+publishers of a version one gets False, and ``stage_and_publish`` then takes the next.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 
-def _rename(spark: SparkSession, a: str, b: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(a).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(b)):
-        return False
-    fs.mkdirs(path(b).getParent())
-    return fs.rename(path(a), path(b))
+from sitewright.shared import names_in, read_small, write_once
 
 
-def stage(tables: dict[str, DataFrame], target: str, version: int) -> str:
-    """Write all tables of a version where no reader looks; a version staged again replaces it."""
-    folder = f"{target}/versions/{version:012d}"
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return folder
+def stage(tables: dict[str, DataFrame], target: str) -> str:
+    """Write all tables where no reader looks; the folder's name below ``target/versions``."""
+    name = uuid.uuid4().hex
+    for table, df in tables.items():
+        df.write.parquet(f"{target}/versions/{name}/{table}")
+    return name
 
 
-def publish(spark: SparkSession, target: str, version: int) -> bool:
-    """Make a staged version live by one rename; publishing it again does nothing."""
-    draft = f"{target}/drafts/{uuid.uuid4().hex}"
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.json(draft)
-    return _rename(spark, draft, f"{target}/live/{version:012d}")
+def publish(spark: SparkSession, target: str, version: int, staged: str) -> bool:
+    """Make what was staged live as ``version``; False if the version is taken by other tables."""
+    pointer = f"{target}/live/{version:012d}"
+    return write_once(spark, pointer, staged) or read_small(spark, pointer) == staged
 
 
 def live_version(spark: SparkSession, target: str) -> int | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/live")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return max((int(s.getPath().getName()) for s in fs.listStatus(path)), default=None) if fs.exists(path) else None
+    return max(map(int, names_in(spark, f"{target}/live")), default=None)
 
 
 def read_live(spark: SparkSession, target: str, table: str) -> DataFrame:
@@ -43,11 +37,13 @@ def read_live(spark: SparkSession, target: str, table: str) -> DataFrame:
     version = live_version(spark, target)
     if version is None:
         raise ValueError(f"nothing is published at {target}")
-    return spark.read.parquet(f"{target}/versions/{version:012d}/{table}")
+    return spark.read.parquet(f"{target}/versions/{read_small(spark, f'{target}/live/{version:012d}')}/{table}")
 
 
 def stage_and_publish(spark: SparkSession, tables: dict[str, DataFrame], target: str) -> int:
-    version = (live_version(spark, target) or 0) + 1
-    stage(tables, target, version)
-    publish(spark, target, version)
-    return version
+    """The version as which the tables went live, after those of publishers that were faster."""
+    staged = stage(tables, target)
+    while True:
+        version = (live_version(spark, target) or 0) + 1
+        if publish(spark, target, version, staged):
+            return version
