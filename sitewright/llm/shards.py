@@ -3,12 +3,15 @@
 An arrival is written as small immutable shards. Shards fall into tiers by size, each tier's
 sizes within a factor of FANOUT; a tier with a run of FANOUT shards or more is merged into
 files of the target size, and tiers only grow, so a row is rewritten a bounded number of
-times. Files are never changed: a manifest of a new version names the live ones, and it
-appears by one rename that fails if the version exists, so readers see all of a change or
-nothing, and of two writers one starts anew. ``read`` takes any version.
+times. Files are never changed: a manifest of a new version names the live ones. Manifests
+are tables, made live by a pointer file that is written once, so readers see all of a change
+or nothing. Of two writers of a version one gets ``Conflict``: it lays its change over the
+winner's version, or plans anew if files that it merged are gone, and no row is lost.
+``read`` takes any version.
 
 Only DataFrame reads and writes move rows; nothing shuffles: a merge narrows the partitions
-of the run's files. The driver holds file names and sizes. Results by case: nulls, empty and
+of the run's files, and a version's manifest is made from the last one where it lies. The
+driver holds the names of new files and of shards to merge. Results by case: nulls, empty and
 long texts, repeated rows and columns of any name are stored as they are; an empty arrival
 adds no shard, and an empty store reads as an empty table of its schema.
 """
@@ -24,8 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitewright.shared import names_in, read_small, write_once
+
 #: Bytes of a merged file, shards of a run, and the size below which all are one tier.
 TARGET_BYTES, FANOUT, SMALLEST = 128 << 20, 4, 1 << 20
+#: Files of a manifest at most.
+MANIFEST_FILES = 16
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("tier", T.IntegerType())])
 
@@ -57,44 +64,53 @@ class ShardStore:
         return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
 
     def versions(self) -> list[int]:
-        fs, folder = self._fs(f"{self.path}/manifest")
-        if not fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v"))
+        return [int(n[1:]) for n in names_in(self.spark, f"{self.path}/manifest") if n.startswith("v")]
+
+    def latest(self) -> int:
+        return max(self.versions(), default=0)
+
+    def manifest_table(self, version: int | None = None) -> DataFrame:
+        """A version's shards as rows."""
+        at = self.latest() if version is None else version
+        if at == 0:
+            return self.spark.createDataFrame([], MANIFEST)
+        folder = read_small(self.spark, f"{self.path}/manifest/v{at:012d}")
+        return self.spark.read.schema(MANIFEST).json(f"{self.path}/tables/{folder}")
 
     def manifest(self, version: int | None = None) -> list[Shard]:
-        known = self.versions()
-        if not known or version == 0:
-            return []
-        at = known[-1] if version is None else version
-        rows = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/v{at:012d}").collect()
-        return [Shard(**r.asDict()) for r in rows]
-
-    def commit(self, base: int, shards: Iterable[Shard]) -> int:
-        """Make version ``base + 1`` live, at once and only if nobody has."""
-        draft, final = f"{self.path}/drafts/{uuid.uuid4().hex}", f"{self.path}/manifest/v{base + 1:012d}"
-        rows = [(s.path, s.bytes, s.rows, s.tier) for s in shards]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(draft)
-        fs, target = self._fs(final)
-        fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(self._fs(draft)[1], target):
-            raise Conflict(final)
+        return [Shard(**r.asDict()) for r in self.manifest_table(version).collect()]
+
+    def commit(self, base: int, added: Iterable[Shard], gone: Iterable[str] = ()) -> int:
+        """Make version ``base + 1`` of what ``base`` holds, at once and only if nobody has."""
+        folder, gone = uuid.uuid4().hex, set(gone)
+        before = self.manifest_table(base)
+        if gone:
+            names = self.spark.createDataFrame([(p,) for p in sorted(gone)], "path string")
+            if before.join(names, "path", "left_semi").count() < len(gone):
+                raise Conflict(f"version {base} no longer holds what was merged")
+            before = before.join(names, "path", "left_anti").select(*MANIFEST.names)
+        rows = self.spark.createDataFrame([(s.path, s.bytes, s.rows, s.tier) for s in added], MANIFEST)
+        before.unionByName(rows).coalesce(MANIFEST_FILES if base else 1).write.json(f"{self.path}/tables/{folder}")
+        if not write_once(self.spark, f"{self.path}/manifest/v{base + 1:012d}", folder):
+            raise Conflict(f"version {base + 1} is taken")
         return base + 1
 
     def _written(self, folder: str) -> list[Shard]:
-        """The shards of a folder: sizes from its listing, rows from the files' footers."""
-        listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
-        rows = self.spark.read.schema(self.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-        name = lambda p: F.element_at(F.split(p, "/"), -1)
-        both = listed.join(rows.withColumn("name", name(F.col("path"))).select("name", "rows"), name(F.col("path")) == F.col("name"))
-        return [Shard(f"{folder}/{r['name']}", r["length"], r["rows"], tier_of(r["length"])) for r in both.select("name", "length", "rows").collect()]
+        """The shards of a folder that hold rows: sizes and counts come from the files' footers."""
+        file = F.col("_metadata")
+        found = self.spark.read.schema(self.schema).parquet(folder).groupBy(file["file_name"].alias("name"), file["file_size"].alias("size")).agg(F.count("*").alias("rows"))
+        return [Shard(f"{folder}/{r['name']}", r["size"], r["rows"], tier_of(r["size"])) for r in found.collect()]
 
     def append(self, df: DataFrame) -> int:
-        """Write ``df``'s partitions as shards and commit them."""
-        base = (self.versions() or [0])[-1]
+        """Write ``df``'s partitions as shards and commit them, after whoever was faster."""
         folder = f"{self.path}/data/arrival-{uuid.uuid4().hex}"
         df.select(*(F.col(f"`{f.name}`") for f in self.schema)).write.parquet(folder)
-        return self.commit(base, [*self.manifest(base), *(s for s in self._written(folder) if s.rows)])
+        added = self._written(folder)
+        while True:
+            try:
+                return self.commit(self.latest(), added)
+            except Conflict:
+                continue
 
     def runs(self, shards: list[Shard]) -> list[list[Shard]]:
         """Similarly sized shards to merge: tiers with FANOUT of them or more, below the target."""
@@ -105,12 +121,15 @@ class ShardStore:
         return [t for _, t in sorted(tiers.items()) if len(t) >= FANOUT]
 
     def compact(self) -> int:
-        """Merge every run once and commit; the version stays if there is none."""
-        base = (self.versions() or [0])[-1]
-        live = self.manifest(base)
+        """Merge every run once and commit; the version stays if there is none.
+
+        Only shards below half the target are listed; those at rest stay in the manifest.
+        """
+        base = self.latest()
+        small = [Shard(**r.asDict()) for r in self.manifest_table(base).where(F.col("bytes") < self.target // 2).collect()]
         merged: list[Shard] = []
         gone: set[str] = set()
-        for run in self.runs(live):
+        for run in self.runs(small):
             folder = f"{self.path}/data/merged-{uuid.uuid4().hex}"
             files = max(1, math.ceil(sum(s.bytes for s in run) / self.target))
             self.spark.read.schema(self.schema).parquet(*(s.path for s in run)).coalesce(files).write.parquet(folder)
@@ -118,11 +137,18 @@ class ShardStore:
             gone |= {s.path for s in run}
         if not gone:
             return base
-        return self.commit(base, [*(s for s in live if s.path not in gone), *merged])
+        while True:
+            try:
+                return self.commit(base, merged, gone)
+            except Conflict:
+                base = self.latest()
+                live = self.manifest_table(base).where(F.col("path").isin(sorted(gone))).count()
+                if live < len(gone):  # another compaction merged some of them
+                    return self.compact()
 
     def compact_all(self) -> int:
         """Merge until no tier holds a run."""
-        while (before := (self.versions() or [0])[-1]) != self.compact():
+        while (before := self.latest()) != self.compact():
             continue
         return before
 
@@ -133,6 +159,7 @@ class ShardStore:
         """
         known = self.versions()
         named = {s.path for v in known[-keep:] for s in self.manifest(v)}
+        kept_tables = {read_small(self.spark, f"{self.path}/manifest/v{v:012d}") for v in known[-keep:]}
         fs, data = self._fs(f"{self.path}/data")
         gone = 0
         for folder in fs.listStatus(data) if fs.exists(data) else []:
@@ -146,6 +173,8 @@ class ShardStore:
                 fs.delete(folder.getPath(), True)
         for v in known[:-keep]:
             fs.delete(self._fs(f"{self.path}/manifest/v{v:012d}")[1], True)
+        for folder in set(names_in(self.spark, f"{self.path}/tables")) - kept_tables:
+            fs.delete(self._fs(f"{self.path}/tables/{folder}")[1], True)
         return gone
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -156,10 +185,20 @@ class ShardStore:
         return self.spark.read.schema(self.schema).parquet(*paths)
 
 
-def arrivals(df: DataFrame, spark: SparkSession, groups: int = 4) -> list[DataFrame]:
-    """A file-backed table as that many arrivals at most, by whole files."""
+#: The arrivals' parts of a table: several of each size, so that tiers fill and merge.
+ARRIVALS = (1, 1, 1, 1, 2, 2, 2, 2, 4, 4, 8, 8)
+
+
+def arrivals(df: DataFrame, key: str, parts: tuple[int, ...] = ARRIVALS) -> list[DataFrame]:
+    """A file-backed table as arrivals of several sizes.
+
+    A table of many files arrives by whole files, so each is read once; one of fewer files
+    than parts by a hash of ``key``, each row in one arrival.
+    """
+    edges = [sum(parts[:k]) for k in range(len(parts) + 1)]
     files = sorted(df.inputFiles())
-    if len(files) < 2:
-        return [df]
-    step = math.ceil(len(files) / groups)
-    return [spark.read.schema(df.schema).parquet(*files[k : k + step]) for k in range(0, len(files), step)]
+    if len(files) >= len(parts):
+        cuts = sorted({len(files) * e // edges[-1] for e in edges})
+        return [df.sparkSession.read.schema(df.schema).parquet(*files[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    place = F.pmod(F.xxhash64(key), F.lit(edges[-1]))
+    return [df.where((place >= a) & (place < b)) for a, b in zip(edges, edges[1:], strict=False)]

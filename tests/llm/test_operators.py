@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -251,6 +252,43 @@ def test_shards_compact_and_conflict(spark, odd):
     assert count(store.read()) == count(odd.unionByName(odd))
 
 
+def test_shards_lose_no_writer(spark, monkeypatch):
+    """Writers that meet: one commits, the other gets Conflict, and all rows are there in the end."""
+    path, schema = scratch_path(spark, "test-writers"), spark.range(1).schema
+    one, two = (shards.ShardStore(spark, path, schema) for _ in range(2))
+    part = lambda k: spark.range(100 * k, 100 * k + 100).coalesce(2)
+    real, met = shards.ShardStore.commit, []
+
+    def late(self, base, added, gone=()):  # the other writer commits between plan and commit
+        if not met:
+            met.append(base)
+            two.append(part(1))
+        try:
+            return real(self, base, added, gone)
+        except shards.Conflict:
+            met.append("conflict")
+            raise
+
+    monkeypatch.setattr(one, "commit", late.__get__(one))
+    assert one.append(part(0)) == 2 and met == [0, "conflict"]
+    assert sorted(r["id"] for r in one.read().collect()) == list(range(200))
+    met.clear()
+    assert one.compact() == 4 and met == [2, "conflict"]  # the arrival in between stays beside the merged run
+    assert sorted(r["id"] for r in one.read().collect()) == sorted([*range(200), *range(100, 200)])
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: shards.ShardStore(spark, path, schema).append(part(k)), range(2, 8)))
+    two.compact_all()
+    assert sorted(r["id"] for r in one.read().collect()) == sorted([*range(800), *range(100, 200)])
+
+
+def test_op5_merges_a_table_of_one_file(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    store = shards.ShardStore(spark, scratch_path(spark, "test-op5"), docs.schema)
+    for arrival in shards.arrivals(docs, "doc_id"):
+        store.append(arrival)
+    assert len(store.manifest()) == 12 and len(store.manifest(store.compact_all())) == 1
+
+
 def test_tiers_merge_similar_sizes():
     store = shards.ShardStore.__new__(shards.ShardStore)
     store.target = shards.TARGET_BYTES
