@@ -1,6 +1,7 @@
 """Approximate nearest neighbours over learned partitions.
 
-On a bounded sample of SAMPLE_ROWS vectors (picked by a hash) the exact neighbour graph is
+The number of parts grows with the table, a part for PART_ROWS rows up to MOST_PARTS. On a
+bounded sample of SAMPLE_A_PART vectors a part (picked by a hash) the exact neighbour graph is
 built and cut into balanced parts: begun from nearby centres under a size limit, then each
 vector moves to the part that holds most of its neighbours while that part has room. A small
 classifier (one hidden layer) learns the parts and sends every row of the table to its most
@@ -11,10 +12,11 @@ true neighbours. What those parts hold is ranked by exact distance.
 
 The index holds every row. Parts are dealt to tasks in blocks of BLOCK rows, so a hot part
 (or one vector that very many rows share) is many blocks, and each block returns k rows a
-query. Results by case: vectors that are null, zero, of another length than most, or hold
-null or non-finite components take no part; null ids take no part; an id on several rows is
-searched once (its least vector) and found on each row but the query's own id; an empty table
-gives an empty result; other columns are not carried.
+query. Results by case: vectors that are null, zero, or hold null or non-finite components
+take no part; vectors of another length than most are a part for each length, so they meet
+their like; components of any finite size are ranked right; null ids take no part; an id on
+several rows is searched once (its least vector) and found on each row but the query's own id;
+an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 from sitewright.shared import materialize
 
-#: Rows that the partitions are learned on, neighbours in their graph, parts.
-SAMPLE_ROWS, GRAPH_K, PARTS = 6_000, 12, 32
+#: Rows of a part (about), parts at most, sampled rows a part and at least, neighbours in their graph.
+PART_ROWS, MOST_PARTS, SAMPLE_A_PART, SAMPLE_LEAST, GRAPH_K = 200, 256, 64, 6_000, 12
+#: Components beyond which a vector is left out of the sample (not of the index).
+SAMPLED_UP_TO = 1e100
 #: Recall that held-out vectors must reach, and the part of the sample that is held out.
 HELD_RECALL, HELD_SHARE = 0.95, 0.2
 #: Candidates and queries of one block.
@@ -101,7 +105,7 @@ class Router:
     b2: np.ndarray
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = np.maximum((x - self.mean) * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        z = np.maximum(np.clip((x - self.mean) * self.scale, -1e6, 1e6) @ self.w1 + self.b1, 0) @ self.w2 + self.b2
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -164,7 +168,7 @@ def learn(x: np.ndarray, parts: int) -> Partitions:
     shares = lambda g: np.eye(parts)[part[g]].mean(1)
     query = train_router(fit, shares(graph))
     truth, p = part[neighbour_graph(held, fit, 10, own=False)], query.probabilities(held)
-    for mass in (0.8, 0.85, 0.9, 0.925, 0.95, 0.965, 0.98, 0.99, 0.995, 0.999):
+    for mass in (*np.arange(0.8, 0.99, 0.01).round(2).tolist(), 0.99, 0.995, 0.999):
         if np.mean([np.isin(t, own).mean() for t, own in zip(truth, probed(p, mass), strict=True)]) >= HELD_RECALL:
             return Partitions(index, query, mass)
     return Partitions(index, query, 1.0)
@@ -174,20 +178,38 @@ def matrix(vectors: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), -1)
 
 
+def distances(found: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares leave the range of doubles, of scaled differences."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = found - q
+        plain = np.sqrt((apart**2).sum(1))
+        largest = np.abs(apart).max(1)
+        odd = (largest > 0) & ~((plain > 1e-140) & np.isfinite(plain))
+        if odd.any():
+            plain[odd] = largest[odd] * np.sqrt(((apart[odd] / largest[odd, None]) ** 2).sum(1))
+    return plain
+
+
 def nearest(queries: np.ndarray, query_ids: np.ndarray, found: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: the places and distances of its k nearest rows with another id."""
-    square = (found**2).sum(1)
-    for at in range(0, len(queries), 128):
-        q = queries[at : at + 128]
-        rough = (q**2).sum(1)[:, None] + square[None] - 2 * q @ found.T
-        slack = 1e-9 * ((q**2).sum(1) + square.max())
-        for j in range(len(q)):
-            row = np.where(ids == query_ids[at + j], np.inf, rough[j])
-            places = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + slack[j])
-            places = places[np.isfinite(row[places])]
-            exact = np.sqrt(((found[places] - q[j]) ** 2).sum(1))
-            best = np.lexsort((ids[places], exact))[:k]
-            yield at + j, places[best], exact[best]
+    with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+        square = (found**2).sum(1)
+        plain = square < 1e300  # the others are measured one by one
+        for at in range(0, len(queries), 128):
+            q = queries[at : at + 128]
+            own = (q**2).sum(1)
+            rough = own[:, None] + square[None] - 2 * q @ found.T
+            slack = 1e-9 * (own + square[plain].max(initial=0))
+            for j in range(len(q)):
+                others = ids != query_ids[at + j]
+                places = np.flatnonzero(others & plain)
+                if own[j] < 1e300 and len(places) > k:
+                    row = rough[j, places]
+                    places = places[row <= np.partition(row, k - 1)[k - 1] + slack[j]]
+                places = np.concatenate([places, np.flatnonzero(others & ~plain)])
+                exact = distances(found[places], q[j])
+                best = np.lexsort((ids[places], exact))[:k]
+                yield at + j, places[best], exact[best]
 
 
 def search(df: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -201,23 +223,32 @@ def search(df: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id
     usual = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if usual is None:
         return spark.range(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    rows = rows.where(F.size("v") == usual["dim"])
-    of_million = min(1_000_000, int(1_000_000 * SAMPLE_ROWS / usual["count"]) + 1)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000)) < of_million).groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id", "v")).limit(2 * SAMPLE_ROWS).select("v").toPandas()
+    wanted = max(1, min(MOST_PARTS, usual["count"] // PART_ROWS))
+    sampled = max(SAMPLE_LEAST, SAMPLE_A_PART * wanted)
+    of_million = min(1_000_000, int(1_000_000 * sampled / usual["count"]) + 1)
+    fit = rows.where(F.size("v") == usual["dim"]).where(~F.exists("v", lambda c: F.abs(c) > SAMPLED_UP_TO))
+    sample = fit.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000)) < of_million).groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id", "v")).limit(2 * sampled).select("v").toPandas()
     x = np.array(sample["v"].to_list(), dtype=np.float64).reshape(len(sample), usual["dim"])
-    parts = max(1, min(PARTS, len(x) // 100))
+    parts = max(1, min(wanted, len(x) // 50))
     router = spark.sparkContext.broadcast(learn(x, parts) if parts > 1 else None)
 
+    dim = usual["dim"]
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1))
-            own = router.value.index.probabilities(vectors).argmax(1) if router.value else np.zeros(len(vectors))
-            probes = router.value.probes(vectors) if router.value else [np.zeros(1)] * len(vectors)
-            raw = [r.tobytes() for r in np.ascontiguousarray(vectors, dtype="<f8")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(raw, pa.binary()), pa.array(own.astype(np.int32)), pa.array([o.astype(np.int32) for o in probes], pa.list_(pa.int32()))],
-                names=["vec_id", "v", "part", "probes"],
-            )
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            ends = np.cumsum(sizes)
+            # A length that is not the usual one is a part of its own, numbered below zero.
+            own, probes = -sizes.astype(np.int32), [np.array([-n], dtype=np.int32) for n in sizes]
+            usual_ones = np.flatnonzero(sizes == dim)
+            if len(usual_ones):
+                vectors = flat[np.repeat(sizes == dim, sizes)].reshape(-1, dim)
+                own[usual_ones] = router.value.index.probabilities(vectors).argmax(1) if router.value else 0
+                for k, o in zip(usual_ones, router.value.probes(vectors) if router.value else [np.zeros(1)] * len(vectors), strict=True):
+                    probes[k] = o.astype(np.int32)
+            raw = [flat[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(own, pa.int32()), pa.array(probes, pa.list_(pa.int32()))], names=["vec_id", "v", "part", "probes"])
 
     index = materialize(rows.mapInArrow(route, "vec_id long, v binary, part int, probes array<int>"), "ann-index")
     asked = index.where(queries).groupBy("vec_id").agg(F.min(F.struct("v", "probes")).alias("q")).select(F.col("vec_id").alias("query_id"), "q.v", F.explode("q.probes").alias("part"))

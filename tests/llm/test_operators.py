@@ -145,6 +145,18 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_ann_extreme_and_rare_vectors(spark):
+    """Components of any finite size are ranked by their true distance; each length meets its like."""
+    rows = [(100, [1e200, 0.0]), (1, [1e200, 3e190]), (2, [1e200, 1e190]), (3, [-1e200, 0.0]), (200, [1.0, 2.0, 3.0]), (4, [1.0, 2.0, 4.0]), (300, [1e-200, 0.0]), (5, [3e-200, 0.0]), (6, [2e-200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, k=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[100]] == [2, 1] and np.allclose([x for _, x in got[100]], [1e190, 3e190], rtol=1e-12)
+    assert got[200] == [(4, 1.0)]
+    assert [i for i, _ in got[300]] == [6, 5] and np.allclose([x for _, x in got[300]], [1e-200, 2e-200], rtol=1e-12, atol=0)
+
+
 # 4: HTML
 
 
