@@ -81,11 +81,21 @@ def in_address(text: str, a: int, b: int) -> bool:
 def dense_spans(text: str, vocabulary: str, found: list[Span]) -> list[Span]:
     """Random-looking strings that touch no span in ``found``."""
     out: list[Span] = []
+    # Stretches that spans cover, in order: both they and the candidates are passed once.
+    covered: list[list[int]] = []
+    for x, _, y in sorted(found):
+        if covered and x <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], y)
+        else:
+            covered.append([x, y])
+    at = 0
     for m in CANDIDATE.finditer(text):
         s, a, b = m[0], m.start(), m.end()
         if not any(c.isalpha() for c in s) or DIGEST.match(s) or IDENTIFIER.match(s):
             continue
-        if any(x < b and a < y for x, _, y in found):
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        if at < len(covered) and covered[at][0] < b:
             continue
         if len(s) <= MOST_CHARS_A_TOKEN * len(encoder(vocabulary).encode_ordinary(s)):
             if not in_address(text, a, b):
