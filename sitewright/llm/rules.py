@@ -105,13 +105,18 @@ def mask_of(policy: str) -> int:
 
 def ledger(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the measurements and ``failed``, a bit for each rule that fails."""
-    text = F.col(text_col).cast("string")
-    rows = df.select(F.col(id_col).alias("doc_id"), text.alias("__text"), words_of(text).alias("__words"))
+    return _entries(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")))
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """The ledger's entries of column ``__text``, beside the other columns."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != "__text"]
+    rows = rows.select(*kept, "__text", words_of(F.col("__text")).alias("__words"))
     # The measures stand in an array of structs that is exploded once, so the rules read
     # results and the optimizer does not paste the measuring into each of them.
-    rows = rows.select("doc_id", F.explode(F.array(F.struct(*(m.alias(k) for k, m in measures(F.col("__text")).items())))).alias("m")).select("doc_id", "m.*")
+    rows = rows.select(*kept, F.explode(F.array(F.struct(*(m.alias(k) for k, m in measures(F.col("__text")).items())))).alias("m")).select(*kept, "m.*")
     failed = sum((F.when(r.fails(), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES.values()), F.lit(0))
-    return rows.select("doc_id", *MEASURES, failed.cast("long").alias("failed"))
+    return rows.select(*kept, *MEASURES, failed.cast("long").alias("failed"))
 
 
 def apply_policy(rows: DataFrame, policy: str) -> DataFrame:
@@ -133,14 +138,6 @@ def ablation(rows: DataFrame, policy: str) -> DataFrame:
 
 
 def keep_good(df: DataFrame, policy: str, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that a policy keeps, with their columns as they are."""
-    row = "__row"
-    while row in df.columns:
-        row += "_"
-    text = F.col(text_col).cast("string")
-    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(row), text.alias("__text"), words_of(text).alias("__words"))
-    held = held.select(row, F.explode(F.array(F.struct(*(m.alias(k) for k, m in measures(F.col("__text")).items())))).alias("m")).select(row, "m.*")
-    bad = [RULES[r].fails() for r in POLICIES[policy]]
-    for b in bad:
-        held = held.where(~b)
-    return held.select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in df.columns))
+    """The rows of ``df`` whose ledger entries a policy keeps, with their columns as they are."""
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("__text"))
+    return apply_policy(_entries(held), policy).where("kept").select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
