@@ -3,11 +3,11 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document. Expectation-
 maximisation over the counts of vote patterns, from all documents, estimates each labeller's
 accuracies and the share of good documents; a document's posterior is its training label. A
-logistic regression over hashed word shapes learns those labels on at most TRAIN_ROWS
-documents, picked by a hash, and scores every document.
+logistic regression over hashed word shapes learns those labels on about TRAIN_ROWS
+different documents, picked by a hash of id and text, and scores every document.
 
-Votes and features are built-in expressions within one row, written once as a small table
-(no texts); the driver holds pattern counts, at most 3 to the power of the labellers.
+Votes and features are built-in expressions within one row, made once and written to a table;
+the driver holds pattern counts, at most 3 to the power of the labellers.
 
 Results by case: a null, empty or blank text gets no votes and no features and is kept, as
 nothing speaks against it; a null id stays null; repeated rows are scored each; other columns
@@ -91,12 +91,12 @@ def measured(rows: DataFrame, text: str) -> DataFrame:
 
 
 def featured(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` without ``text``, with ``votes`` (base 3), ``n_words`` and ``features``."""
+    """``rows`` without ``text``, with its hash ``text_hash``, ``votes`` (base 3), ``n_words`` and ``features``."""
     keep = [c for c in rows.columns if c != text]
     votes = sum((v * 3**k for k, v in enumerate(labellers().values())), F.lit(0)).cast("int")
-    m = measured(rows, text).select(*keep, "n_words", votes.alias("votes"), "shapes")
+    m = measured(rows.withColumn("text_hash", F.xxhash64(text)), text).select(*keep, "text_hash", "n_words", votes.alias("votes"), "shapes")
     hashed = HashingTF(numFeatures=FEATURES, inputCol="shapes", outputCol="counts").transform(m)
-    return Normalizer(p=2.0, inputCol="counts", outputCol="features").transform(hashed).select(*keep, "n_words", "votes", "features")
+    return Normalizer(p=2.0, inputCol="counts", outputCol="features").transform(hashed).select(*keep, "text_hash", "n_words", "votes", "features")
 
 
 @dataclass
@@ -160,7 +160,8 @@ class QualityModel:
 
 
 def fit(rows: DataFrame, *, key: Column, train_rows: int = TRAIN_ROWS) -> QualityModel:
-    """Fit on a table of ``featured`` rows; ``key`` is hashed to pick the training rows."""
+    """Fit on a table of ``featured`` rows; ``key`` and the text's hash pick the training rows,
+    of which repeated ones count once."""
     patterns = rows.where("n_words > 0").groupBy("votes").agg(F.count("*").alias("n")).toPandas()
     if not len(patterns):
         return QualityModel(WeakLabels(0.5, np.ones((LABELLERS, 2, 3))), None)
@@ -168,7 +169,8 @@ def fit(rows: DataFrame, *, key: Column, train_rows: int = TRAIN_ROWS) -> Qualit
     labels = fit_labels(patterns["votes"].to_numpy(), patterns["n"].to_numpy().astype(float))
     model = QualityModel(labels, None)
     of_million = min(1_000_000, int(1_000_000 * train_rows / int(patterns["n"].sum())) + 1)
-    sample = rows.where("n_words > 0").where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < of_million).withColumn("p", model.posterior(F.col("votes")))
+    picked = rows.where("n_words > 0").select("features", "votes", F.xxhash64(key, "text_hash").alias("pick")).where(F.pmod("pick", F.lit(1_000_000)) < of_million)
+    sample = picked.groupBy("pick").agg(F.first("features").alias("features"), F.first("votes").alias("votes")).withColumn("p", model.posterior(F.col("votes")))
     soft = F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))
     train = materialize(sample.select("features", F.explode(soft).alias("s")).select("features", "s.label", "s.w").where("w > 0.0001"), "quality-train")
     if train.select("label").distinct().count() < 2:
@@ -188,10 +190,10 @@ def classify(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
 def keep_good(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``df`` that the classifier keeps, with their columns as they are.
 
-    Texts never shuffle: the verdict is computed again in the row by the fitted model.
+    Texts are measured once and never shuffle: rows are written with their features and
+    read again for the verdict.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model = fit(materialize(featured(docs, "text"), "quality-features"), key=F.col("doc_id"), train_rows=train_rows)
-    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text_col).cast("string").alias("__text"))
-    scored = model.score(featured(held, "__text"))
-    return scored.where(F.col("score") >= THRESHOLD).select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns))
+    held = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).cast("string").alias("__text"))
+    rows = materialize(featured(held, "__text"), "quality-rows")
+    model = fit(rows, key=F.col(f"row.`{id_col}`"), train_rows=train_rows)
+    return model.score(rows).where(F.col("score") >= THRESHOLD).select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))

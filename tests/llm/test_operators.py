@@ -14,6 +14,8 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
@@ -97,6 +99,73 @@ def test_quality_held_out(spark, sf_dir, odd, empty):
     assert quality_model.keep_good(odd).columns == odd.columns and quality_model.keep_good(empty).count() == 0
 
 
+def plain_votes(text):
+    """A text's votes, and its hashed words' shapes, from loops over words and characters."""
+    text = text or ""
+    w = [x for x in re.split("[ \t-\r]+", text) if x]
+    n, chars = len(w), sum(c not in rules.SPACE for c in text)
+    listed = {x for line in quality_model.FUNCTION_WORDS for x in line.split()}
+    stutter = sum(a == b for a, b in zip(w, w[1:], strict=False))
+    count = lambda p: len(regex.findall(p, text))
+    share = lambda k, of: k / max(of, 1)
+    vote = lambda bad, good: 0 if bad else 1 if good else 2
+    symbols, upper, shouts, bars = share(count("[#*$%&<>]"), n), share(count(r"\p{Lu}"), chars), share(text.count("!!"), n), share(text.count("|"), n)
+    ends, function, distinct = count(r"[\p{L}\p{N}][.?!](?=[ \t-\r]|\Z)"), sum(x.lower() in listed for x in w), len(set(w))
+    votes = [
+        vote(symbols > 0.2, symbols < 0.02), vote(upper > 0.4, upper < 0.2), vote(shouts > 0.2, shouts < 0.02), vote(bars > 0.15, bars < 0.02),
+        vote(n >= 20 and share(stutter, n) > 0.15, n >= 20 and share(stutter, n) < 0.05), vote(50 <= n < 5000 and distinct < 0.12 * n, n >= 20 and distinct > 0.35 * n),
+        vote(n >= 20 and share(function, n) < 0.03, n >= 20 and share(function, n) > 0.08), vote(n >= 20 and (max(chars, 1) > 14 * n or max(chars, 1) < 2 * n), n >= 20 and 3 * n < max(chars, 1) < 9 * n),
+        vote(n >= 20 and ends * 60 < n, n >= 20 and ends * 25 > n),
+    ]
+    shape = regex.sub(r"\p{N}+", "9", regex.sub(r"\p{Lu}+", "A", regex.sub(r"\p{Ll}+", "a", text)))
+    return votes, Counter([x for x in re.split("[ \t-\r]+", shape) if x] + ["\tstutter"] * stutter)
+
+
+def test_quality_equals_plain(spark, sf_dir, odd):
+    """Votes, posteriors and scores against loops: votes from the texts, EM a document at a time, the scorer's sums."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    rows = quality_model.featured(docs.withColumn("__text", F.col("text")), "__text").cache()
+    model = quality_model.fit(rows, key=F.col("doc_id"))
+    got = model.score(rows).select("text", "votes", "features", "n_words", "posterior", "score").collect()
+    plain = {r["text"]: plain_votes(r["text"]) for r in got}
+    assert all(r["votes"] == sum(v * 3**k for k, v in enumerate(plain[r["text"]][0])) for r in got)
+
+    seen = [plain[r["text"]][0] for r in got if r["n_words"]]
+    p = [0.95 if 0 not in v else 0.4 if v.count(1) > 3 * v.count(0) else 0.1 for v in seen]
+    prior = before = None
+    for _ in range(100):
+        before, prior = prior, (sum(p) + 1) / (len(p) + 2)
+        right = {}
+        for k in range(9):
+            for c in (0, 1):
+                tally = [0.5 + sum((q if c else 1 - q) for q, v in zip(p, seen, strict=True) if v[k] == x) for x in (0, 1)]
+                right[k, c] = [tally[0] / sum(tally), tally[1] / sum(tally), 1.0]
+        p = []
+        for v in seen:
+            good, bad = math.log(prior) + sum(math.log(right[k, 1][x]) for k, x in enumerate(v)), math.log(1 - prior) + sum(math.log(right[k, 0][x]) for k, x in enumerate(v))
+            p.append(1 / (1 + math.exp(max(-50, min(50, bad - good)))))
+        if before is not None and abs(before - prior) < 1e-9:
+            break
+    assert np.allclose([r["posterior"] for r in got if r["n_words"]], p, atol=1e-6)
+
+    hashing, w, b = HashingTF(numFeatures=quality_model.FEATURES), model.scorer.coefficients.toArray(), model.scorer.intercept
+    for r in got:
+        shapes = plain[r["text"]][1]
+        at = Counter()
+        for x, n in shapes.items():
+            at[hashing.indexOf(x)] += n
+        norm = math.sqrt(sum(n * n for n in at.values())) or 1
+        assert r["score"] == 1.0 if not r["n_words"] else abs(r["score"] - 1 / (1 + math.exp(-b - sum(w[i] * n / norm for i, n in at.items())))) < 1e-9
+
+
+def test_quality_training_rows_are_bounded(spark):
+    """One row that makes up most of a table enters the fit once."""
+    text = "An ordinary sentence of words that differ goes on, for more than twenty words, so that the labellers have something to say about it."
+    rows = spark.range(20_000).select(F.when(F.col("id") < 19_000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 19_000, text).otherwise(F.concat(F.lit("### !!! $$$ "), F.col("id").cast("string"))).alias("text"))
+    model = quality_model.fit(quality_model.featured(rows, "text"), key=F.col("doc_id"), train_rows=1_000_000)
+    assert model.scorer is not None and model.scorer.summary.predictions.count() <= 2 * 1001
+
+
 def test_weak_labels_recover_accuracies():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.8
@@ -610,6 +679,13 @@ def test_secrets_beside_dots_and_slashes():
         assert found(t) == [], t
 
 
+def test_secrets_many_spans_take_linear_time():
+    text = " ".join(f"{'0123456789abcdef' * 2} Zk3xQ9vB7wLm2Rt8Yp4N{k:05d}Hd6Js1Gf" for k in range(20_000))
+    began = time.perf_counter()
+    assert Counter(k for _, k, _ in secret_scan.spans_of(text, RANKS))[3] == 20_000
+    assert time.perf_counter() - began < 20  # a second or two on an idle core
+
+
 def test_secrets_odd_rows(odd, empty):
     assert secret_scan.scan(odd, RANKS).count() == len(ODD) and secret_scan.scan(empty, RANKS).count() == 0
     done = secret_scan.redact(odd, RANKS)
