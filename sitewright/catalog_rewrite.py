@@ -72,10 +72,10 @@ def f6_rewrite_json_strings(spark: SparkSession, d: str) -> DataFrame:
     return _rewritten(spark, d, _text('{"https://old.example/key": "', _url(), '", "n": [1, "', F.replace(_url(), F.lit("/"), F.lit("\\/")), '"]}'), form="json")
 
 
-@R.query(PATHS_SQL + "SELECT page_id, 'a:2:{s:3:\"url\";s:' || strlen(u) || ':\"' || u || '\";i:5;s:' || (strlen(u) + 7) || ':\"ü: ' || u || ' ok\";}' AS v FROM moved")
+@R.query(PATHS_SQL + "SELECT page_id, 'a:3:{s:3:\"url\";s:' || strlen(u) || ':\"' || u || '\";i:5;s:' || (strlen(u) + 7) || ':\"ü: ' || u || ' ok\";i:7;C:3:\"Own\":21:{https://old.example/a}}' AS v FROM moved")
 def f7_rewrite_php_serialized(spark: SparkSession, d: str) -> DataFrame:
     n = F.octet_length(_url())
-    return _rewritten(spark, d, _text('a:2:{s:3:"url";s:', n.cast("string"), ':"', _url(), '";i:5;s:', (n + 7).cast("string"), ':"ü: ', _url(), ' ok";}'), form="serialized")
+    return _rewritten(spark, d, _text('a:3:{s:3:"url";s:', n.cast("string"), ':"', _url(), '";i:5;s:', (n + 7).cast("string"), ':"ü: ', _url(), ' ok";i:7;C:3:"Own":21:{https://old.example/a}}'))
 
 
 @R.query(PATHS_SQL + "SELECT page_id, '<!-- wp:image {\"id\":1,\"href\":\"' || u || '\"} --><figure><img src=\"' || u || '\"/></figure><!-- /wp:image -->' AS v FROM moved")
@@ -83,10 +83,15 @@ def f8_rewrite_blocks(spark: SparkSession, d: str) -> DataFrame:
     return _rewritten(spark, d, _text('<!-- wp:image {"id":1,"href":"', _url(), '"} --><figure><img src="', _url(), '"/></figure><!-- /wp:image -->'), form="blocks")
 
 
-@R.query(PATHS_SQL + "SELECT page_id, '[vc_raw_html]' || to_base64(CAST('<a href=\"' || u || '\">x</a>' AS BLOB)) || '[/vc_raw_html][vc_video link=\"' || replace(u, '/', '\\/') || '\"]' AS v FROM moved")
+@R.query(
+    PATHS_SQL
+    + "SELECT page_id, '[vc_raw_html]' || to_base64(CAST('<a href=\"' || u || '\">x</a>' AS BLOB)) || '[/vc_raw_html][vc_video link=\"' || replace(u, '/', '\\/') || '\"]'"
+    " || '[vc_gitem_zone_a url=\"url:' || url_encode(u) || '|title:a%20b\"][vc_table][c]' || url_encode(u) || ',x|' || url_encode(u) || '[/vc_table]' AS v FROM moved"
+)
 def f9_rewrite_shortcodes(spark: SparkSession, d: str) -> DataFrame:
     body = F.translate(F.base64(_text('<a href="', _url(), '">x</a>').cast("binary")), "\r\n", "")
-    return _rewritten(spark, d, _text("[vc_raw_html]", body, '[/vc_raw_html][vc_video link="', F.replace(_url(), F.lit("/"), F.lit("\\/")), '"]'), form="value")
+    zone = _text('[vc_gitem_zone_a url="url:', F.url_encode(_url()), '|title:a%20b"][vc_table][c]', F.url_encode(_url()), ",x|", F.url_encode(_url()), "[/vc_table]")
+    return _rewritten(spark, d, _text("[vc_raw_html]", body, '[/vc_raw_html][vc_video link="', F.replace(_url(), F.lit("/"), F.lit("\\/")), '"]', zone), hint="markup")
 
 
 @R.query(PATHS_SQL + "SELECT page_id, '<script type=\"application/json\">{\"u\": \"' || u || '\"}</script><script>var a = 1;</script>' AS v FROM moved")
@@ -94,38 +99,40 @@ def f10_rewrite_json_script(spark: SparkSession, d: str) -> DataFrame:
     return _rewritten(spark, d, _text('<script type="application/json">{"u": "', _url(), '"}</script><script>var a = 1;</script>'), form="html")
 
 
-@R.query(PATHS_SQL + "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a:1:{i:0;s:' || strlen('{\"u\": \"' || u || '\"}') || ':\"{\"u\": \"' || u || '\"}\";}' WHEN 1 THEN '{\"u\": \"<a href=''' || u || '''>x</a>\"}' ELSE 'plain ' || u END AS v FROM moved")
+@R.query(PATHS_SQL + "SELECT page_id, CASE page_id % 4 WHEN 3 THEN '/path ' || u WHEN 0 THEN 'a:1:{i:0;s:' || strlen('{\"u\": \"' || u || '\"}') || ':\"{\"u\": \"' || u || '\"}\";}' WHEN 1 THEN '{\"u\": \"<a href=''' || u || '''>x</a>\"}' ELSE 'plain ' || u END AS v FROM moved")
 def f11_rewrite_value(spark: SparkSession, d: str) -> DataFrame:
     inner = _text('{"u": "', _url(), '"}')
-    k = F.col("page_id") % 3
-    value = F.when(k == 0, _text("a:1:{i:0;s:", F.octet_length(inner).cast("string"), ':"', inner, '";}')).when(k == 1, _text("{\"u\": \"<a href='", _url(), "'>x</a>\"}")).otherwise(_text("plain ", _url()))
+    k = F.col("page_id") % 4
+    value = F.when(k == 3, _text("/path ", _url())).when(k == 0, _text("a:1:{i:0;s:", F.octet_length(inner).cast("string"), ':"', inner, '";}')).when(k == 1, _text("{\"u\": \"<a href='", _url(), "'>x</a>\"}")).otherwise(_text("plain ", _url()))
     return _rewritten(spark, d, value)
 
 
-@R.query(PATHS_SQL + "SELECT m.page_id, 'https://old.example' || m.p AS guid, '<a href=\"' || u || '\">x</a>' AS post_content FROM moved m")
+@R.query(PATHS_SQL + "SELECT page_id, 'https://old.example' || p AS guid, '<a href=\"' || u || '\">x</a>' AS post_content, '<img src=\"' || CASE WHEN page_id % 3 = 0 THEN '/m' || substr(p, 7) ELSE p END || '\">' AS post_content_filtered, u AS post_title FROM moved")
 def f12_rewrite_tables(spark: SparkSession, d: str) -> DataFrame:
-    posts = _paths(spark, d).select("page_id", _url().alias("guid"), _text('<a href="', _url(), '">x</a>').alias("post_content"))
-    return rewrite.rewrite_tables({"n_7_posts": posts}, MAPPING, prefix="n_7_")["n_7_posts"]
+    """By default hints but for one of the caller's; root-relative links resolve on the base."""
+    posts = _paths(spark, d).select("page_id", _url().alias("guid"), _text('<a href="', _url(), '">x</a>').alias("post_content"), _text('<img src="', F.col("p"), '">').alias("post_content_filtered"), _url().alias("post_title"))
+    return rewrite.rewrite_tables({"n_7_posts": posts}, MAPPING, prefix="n_7_", hints={"posts.guid": "skip"}, base=OLD + "/")["n_7_posts"]
 
 
-@R.query("SELECT page_id, page_id % 3 = 0 OR page_id % 5 = 0 AS may FROM pages")
+@R.query("SELECT page_id, page_id % 3 = 0 OR page_id % 5 = 0 OR page_id % 7 = 0 OR contains(lower(url), 'example.com') OR contains(url, '&') OR contains(lower(url), 'src=') OR contains(lower(url), 'href=') AS may FROM pages")
 def f13_may_contain_url(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
-    v = F.when(k % 3 == 0, "x HTTPS://Old.Example/a").when(k % 5 == 0, "a &amp; b").otherwise("nothing here")
-    return table(spark, d, "pages").select("page_id", values.may_contain_url(v, ["old.example"]).alias("may"))
+    v = F.when(k % 3 == 0, "x HTTPS://Old.Example/a").when(k % 5 == 0, "a &amp; b").when(k % 7 == 0, "<a HREF='/x'>").otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", values.may_contain_url(v, ["old.example", "example.com"]).alias("may"))
 
 
-@R.query("SELECT page_id, page_id % 2 = 0 AS may FROM pages")
+@R.query("SELECT page_id, contains(b, 'aHR0') OR contains(b, 'dHA6') OR contains(b, 'dHBz') OR contains(b, 'dHRw') AS may FROM (SELECT page_id, to_base64(encode(CASE WHEN page_id % 2 = 0 THEN repeat('#', CAST(page_id % 3 AS INT)) || url ELSE html END)) AS b FROM pages)")
 def f14_b64_may_contain_http(spark: SparkSession, d: str) -> DataFrame:
-    pad = F.repeat(F.lit("#"), (F.col("page_id") % 3).cast("int"))
-    coded = F.base64(F.concat(pad, F.when(F.col("page_id") % 2 == 0, F.lit("http://a.example")).otherwise(F.lit("no address"))).cast("binary"))
+    text = F.when(F.col("page_id") % 2 == 0, F.concat(F.repeat(F.lit("#"), (F.col("page_id") % 3).cast("int")), "url")).otherwise(F.col("html"))
+    coded = F.translate(F.base64(text.cast("binary")), "\r\n", "")
     return table(spark, d, "pages").select("page_id", values.b64_may_contain_http(coded).alias("may"))
 
 
-@R.query("SELECT o_orderkey, true AS same FROM orders")
+@R.query("SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) / 7 AS x, true AS shaped FROM orders")
 def f19_float_text(spark: SparkSession, d: str) -> DataFrame:
-    x = (F.col("o_totalprice") / 7).cast("double")
-    return table(spark, d, "orders").select("o_orderkey", (values.float_text(x).cast("double") == x).alias("same"))
+    """The texts, read back as numbers, and whether they have 17 significant digits."""
+    text = values.float_text(F.col("o_totalprice").cast("double") / 7)
+    return table(spark, d, "orders").select("o_orderkey", text.cast("double").alias("x"), text.rlike(r"^-?\d\.\d{16}e[+-]\d\d+$").alias("shaped"))
 
 
 @R.query(PATHS_SQL + "SELECT page_id, 'v' AS \"column\", 'at https://old.example' || p AS old, 'at ' || u AS new FROM moved WHERE page_id % 2 = 0")

@@ -95,11 +95,11 @@ def p9_site_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(
-    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'NULL' WHEN doc_id % 11 = 0 THEN '''''' ELSE 'FROM_BASE64(''' || to_base64(encode(substr(text, 1, 40))) || ''')' END AS text_value,
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'NULL' WHEN doc_id % 11 = 0 THEN '''''' ELSE 'FROM_BASE64(''' || to_base64(encode(text)) || ''')' END AS text_value,
   CAST(n_chars AS VARCHAR) AS number_value, 'CONVERT(FROM_BASE64(''' || to_base64(encode('{"lang":"' || lang || '"}')) || ''') USING utf8mb4)' AS json_value FROM documents"""
 )
 def p10_project_encoded(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 11 == 0, "").otherwise(F.substring("text", 1, 40))
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text"))
     return table(spark, d, "documents").select(
         "doc_id",
         values.project_encoded(text, "text").alias("text_value"),
@@ -189,7 +189,7 @@ UNION ALL SELECT user_id, 'n_7_capabilities', 'a:1:{{s:13:"administrator";b:1;}}
 )
 def j19_grant_role(spark: SparkSession, d: str) -> DataFrame:
     customer = table(spark, d, "customer")
-    login = customer.where("c_custkey = 9").first()["c_name"]
+    login = customer.where("c_custkey = 9").select("c_name")
     users = customer.select(F.col("c_custkey").alias("ID"), F.col("c_name").alias("user_login"))
     meta = _usermeta(spark, d).select("user_id", "meta_key", F.col("umeta_id").cast("string").alias("meta_value"))
     return site.grant_role(users, meta, login, "n_7_")
@@ -256,10 +256,18 @@ def w3_offset_page(spark: SparkSession, d: str) -> DataFrame:
     return rows.offset_page(table(spark, d, "customer").select("c_custkey", "c_name"), 30, 20)
 
 
-@R.query("SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 4 AS BIGINT) AS batch FROM documents")
+@R.query(
+    """WITH RECURSIVE d AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+packed AS (
+  SELECT doc_id, source, k, CAST(0 AS BIGINT) AS batch, 1 AS n, CAST(n_chars AS BIGINT) AS size FROM d WHERE k = 1
+  UNION ALL SELECT d.doc_id, d.source, d.k, CASE WHEN fits THEN batch ELSE batch + 1 END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN size + d.n_chars ELSE d.n_chars END
+  FROM (SELECT *, k + 1 AS next FROM packed) p JOIN d ON d.source = p.source AND d.k = p.next, LATERAL (SELECT p.n < 4 AND p.size + d.n_chars <= 3000 AS fits)
+) SELECT doc_id, source, batch FROM packed"""
+)
 def w4_pack_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Both bounds act: four rows or 3,000 characters."""
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return rows.pack_batches(docs, "source", ["doc_id"], "n_chars", 4, 1 << 40).select("doc_id", "source", "batch")
+    return rows.pack_batches(docs, "source", ["doc_id"], "n_chars", 4, 3000).select("doc_id", "source", "batch")
 
 
 @R.query("SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS BIGINT) AS batch FROM documents")

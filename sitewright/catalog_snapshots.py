@@ -24,9 +24,14 @@ def s1_read_index(spark: SparkSession, d: str) -> DataFrame:
     return index_json.decode_index(index_json.encode_index(new_index(spark, d))).select("path", "ctime", "size", "type")
 
 
-@R.query()
+@R.query("SELECT 'n=' || c_nationkey AS folder, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size, 'file' AS type FROM customer GROUP BY 1")
 def s2_list_tree(spark: SparkSession, d: str) -> DataFrame:
-    return index_json.list_tree(spark, d).select("path", "size", "type")
+    """A tree written from the customers, a folder with one text file for each nation, and listed."""
+    root = scratch_path(spark, "tree")
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), "c_name").repartition("n")
+    customers.write.partitionBy("n").text(root)
+    listed = index_json.list_tree(spark, root).where("path NOT LIKE '%\\_SUCCESS'")
+    return listed.select(F.regexp_extract("path", "^(n=[0-9]+)/part-[^/]*$", 1).alias("folder"), "size", "type")
 
 
 @R.query("SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS units FROM orders")
@@ -65,11 +70,11 @@ def s5_read_sql_dump(spark: SparkSession, d: str) -> DataFrame:
     return sql_dump.read_sql_dump(spark, path, "documents", docs.schema)
 
 
-@R.query("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+@R.query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s6_write_sql_dump(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    back = sql_dump.parse_statements(sql_dump.dump_statements(rows, "orders", ["o_orderkey"], max_rows=500, max_bytes=1 << 16).select(F.rtrim("value", F.lit(";")).alias("value")), "orders", rows.schema)
-    return back.agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("keys"))
+    statements = sql_dump.dump_statements(rows, "orders", ["o_orderkey"], max_rows=500, max_bytes=1 << 14)
+    return sql_dump.parse_statements(statements.select(F.rtrim("value", F.lit(";")).alias("value")), "orders", rows.schema)
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
@@ -200,10 +205,13 @@ def j3_plan_patch(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d).select("path", "op")
 
 
-@R.query(INDEX_SQL + PLAN_SQL + "SELECT path, op FROM plan")
+@R.query(INDEX_SQL + PLAN_SQL + "SELECT m AS mode, path, op FROM plan, (VALUES ('catch-up'), ('mirror')) v(m)")
 def j4_plan_sync(spark: SparkSession, d: str) -> DataFrame:
+    """From the last snapshot, and from what the destination holds while the remote stood still."""
     old, new = old_index(spark, d), new_index(spark, d)
-    return patch.plan_sync("catch-up", old, new, new).select("path", "op")
+    modes = {"catch-up": patch.plan_sync("catch-up", old, new, new), "mirror": patch.plan_sync("mirror", new, new, old)}
+    both = [plan.select(F.lit(mode).alias("mode"), "path", "op") for mode, plan in modes.items()]
+    return both[0].unionByName(both[1])
 
 
 @R.query(INDEX_SQL + PLAN_SQL + "SELECT coalesce(p.path, r.path) AS path, CASE WHEN r.path IS NULL THEN p.op WHEN p.op IN ('delete', 'replace') THEN 'replace' ELSE 'copy' END AS op FROM plan p FULL JOIN (SELECT path FROM new_index WHERE size % 5 = 0) r ON p.path = r.path")

@@ -61,12 +61,24 @@ def float_text(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%.16e", value.cast("double")))
 
 
+def host_spellings(host: str) -> set[str]:
+    """A host as it stands, in ASCII and in Unicode."""
+    found = {host.lower()}
+    for turn in (lambda h: h.encode("idna").decode(), lambda h: h.encode().decode("idna")):
+        try:
+            found.add(turn(host.lower()))
+        except UnicodeError:
+            continue
+    return found
+
+
 def may_contain_url(value: Column, hosts: list[str], tags: tuple[str, ...] = ("vc_raw_html", "vc_raw_js")) -> Column:
-    """Cheap test before a rewrite: a source host, an escape that could hide one, or a coded tag."""
+    """Cheap test before a rewrite: a URL attribute, a source host in either spelling, an escape
+    that could hide one, or a coded tag."""
     low = F.lower(value)
-    test = value.contains("\\u") | value.contains("&")
-    for host in hosts:
-        test = test | low.contains(host.lower())
+    test = value.contains("\\u") | value.contains("&") | low.contains("href=") | low.contains("src=")
+    for host in sorted({s for h in hosts for s in host_spellings(h)}):
+        test = test | low.contains(host)
     for tag in tags:
         test = test | value.contains(f"[{tag}")
     return F.coalesce(test, F.lit(False))

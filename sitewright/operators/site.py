@@ -218,13 +218,15 @@ def site_mapping(sites: DataFrame, target: str) -> DataFrame:
     return homes.unionByName(stay).distinct()
 
 
-def grant_role(users: DataFrame, usermeta: DataFrame, login: str, prefix: str, role: str = "administrator", level: int = 10) -> DataFrame:
-    """``usermeta`` with the role's capabilities and level for the user of that login.
+def grant_role(users: DataFrame, usermeta: DataFrame, login: str | DataFrame, prefix: str, role: str = "administrator", level: int = 10) -> DataFrame:
+    """``usermeta`` with the role's capabilities and level for the user of that login (a text, or
+    a table of one cell).
 
     An unknown login is an error when the result is made.
     """
-    found = users.where(F.col("user_login") == login).agg(F.min("ID").alias("user_id"))
-    user_id = F.when(F.col("user_id").isNull(), F.raise_error(f"no user {login}").cast("long")).otherwise(F.col("user_id"))
+    named = users.where(F.col("user_login") == login) if isinstance(login, str) else users.join(login.toDF("user_login"), "user_login")
+    found = named.agg(F.min("ID").alias("user_id"))
+    user_id = F.when(F.col("user_id").isNull(), F.raise_error("no user has the login").cast("long")).otherwise(F.col("user_id"))
     value = f'a:1:{{s:{len(role.encode())}:"{role}";b:1;}}'
     rows = found.select(user_id.alias("user_id"), F.explode(F.array(*(F.struct(F.lit(prefix + k).alias("meta_key"), F.lit(v).alias("meta_value")) for k, v in (("capabilities", value), ("user_level", str(level)))))).alias("m")).select("user_id", "m.*")
     kept = usermeta.join(rows.select("user_id", "meta_key"), ["user_id", "meta_key"], "left_anti")
