@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions import rewrite, values
@@ -149,34 +149,46 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 LAST_SQL = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events)"
 
 
-@R.query(f"SELECT user_id || '' AS path, event_id AS ctime FROM {LAST_SQL} WHERE n = 1 AND event_type <> 'error'")
+@R.query(
+    f"""SELECT user_id || '' AS path, event_id AS ctime FROM {LAST_SQL} WHERE n = 1 AND event_type <> 'error'
+UNION ALL SELECT 'c' || c_custkey, 0 FROM customer"""
+)
 def st1_stream_wal(spark: SparkSession, d: str) -> DataFrame:
-    """Events as change-log files, followed to their end; the last version of the index."""
+    """Events as change-log files over an index of customers, followed in batches of one file, with a
+    restart after half of the files; the last version of the index."""
     base = scratch_path(spark, "wal")
-    _log(spark, d).repartitionByRange(4, "seq").write.json(f"{base}/log")
-    start = _log(spark, d).limit(0).drop("seq", "op")
-    jobs.stream_wal(spark, f"{base}/log", start, f"{base}/index", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/index/v0").select("path", "ctime")
+    start = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.lit(0).cast("long").alias("ctime"), F.lit(1).cast("long").alias("size"), F.lit("file").alias("type"))
+    log = _log(spark, d).withColumn("part", F.ntile(4).over(Window.orderBy("seq")))
+    for half in ((1, 2), (3, 4)):
+        for part in half:
+            log.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(f"{base}/log")
+        jobs.stream_wal(spark, f"{base}/log", start, f"{base}/index", f"{base}/checkpoint", files_a_batch=1).awaitTermination()
+    return jobs.read_followed(spark, f"{base}/index").select("path", "ctime")
 
 
 @R.query(f"SELECT user_id AS key, event_id AS seq, event_type = 'error' AS deleted FROM {LAST_SQL} WHERE n = 1")
 def st2_stream_latest(spark: SparkSession, d: str) -> DataFrame:
-    """Keyed last-change state over events, run to its end into a table of updates."""
+    """Keyed last-change state over events in four files, newest first, in batches of one file and
+    with a restart, so that state is carried over and older changes must not win."""
     base = scratch_path(spark, "latest")
     rows = table(spark, d, "events").select(F.col("user_id").cast("long").alias("key"), F.col("event_id").alias("seq"), F.col("value").cast("double").alias("value"), (F.col("event_type") == "error").alias("deleted"))
-    rows.write.parquet(f"{base}/in")
+    parts = rows.withColumn("part", F.pmod(-F.col("seq"), F.lit(4)))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        latest = jobs.stream_latest(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
-        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/n={n}")
-        latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        for half in ((0, 1), (2, 3)):
+            for part in half:
+                parts.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+            latest = jobs.stream_latest(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+            write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/n={n}")
+            latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.parquet(f"{base}/out").groupBy("key").agg(F.max(F.struct("seq", "deleted")).alias("s")).select("key", "s.seq", "s.deleted")
+    # The update of a key's last batch is its state.
+    return spark.read.parquet(f"{base}/out").groupBy("key").agg(F.max_by(F.struct("seq", "deleted"), "n").alias("s")).select("key", "s.seq", "s.deleted")
 
 
 @R.query(PATHS_SQL + "SELECT page_id, 'at ' || u AS v FROM moved")
@@ -189,15 +201,14 @@ def st3_stream_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{base}/out")
 
 
-@R.query("SELECT CAST(6 AS BIGINT) AS n_files")
+@R.query("SELECT part, 'n=' || c_nationkey AS folder, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size FROM customer, (VALUES ('a'), ('b')) v(part) GROUP BY 1, 2")
 def st4_stream_scan(spark: SparkSession, d: str) -> DataFrame:
-    """A folder scanned, extended and scanned again: the second run sees the new files only."""
+    """A tree of text files scanned, extended and scanned again: each file is seen once."""
     base = scratch_path(spark, "scan")
-    orders = table(spark, d, "orders").repartition(3, "o_orderkey")
-    orders.write.parquet(f"{base}/tree/a")
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), "c_name").repartition("n")
     for part in ("a", "b"):
-        if part == "b":
-            orders.write.parquet(f"{base}/tree/b")
+        customers.write.partitionBy("n").text(f"{base}/tree/{part}")
         jobs.stream_scan(spark, f"{base}/tree", f"{base}/index", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/index").where(F.col("path").endswith(".parquet")).agg(F.count("*").alias("n_files"))
-
+    file = r"/tree/([ab])/(n=[0-9]+)/part-[^/]*$"
+    rows = spark.read.parquet(f"{base}/index").where(F.col("path").rlike(file))
+    return rows.select(F.regexp_extract("path", file, 1).alias("part"), F.regexp_extract("path", file, 2).alias("folder"), "size")

@@ -80,7 +80,7 @@ def dirname(path: Column) -> Column:
 GENERATED_DIRECTORIES = (
     "/wp-content/cache/", "/wp-content/upgrade/", "/wp-content/wpcomsh-cache/", "/wp-content/wflogs/", "/wp-content/wfcache/",
     "/wp-content/wpvividbackups/wpvivid_log/", "/wp-content/plugins/all-in-one-wp-migration/storage/",
-    "/wp-content/plugins/si-captcha-for-wordpress/temp/", "/wp-content/uploads/backwpup-restore/", "/wp-content/uploads/backupbuddy_temp/",
+    "/wp-content/uploads/backwpup-restore/", "/wp-content/uploads/backupbuddy_temp/",
     "/wp-content/uploads/pb_backupbuddy/", "/wp-content/uploads/wc-logs/", "/wp-content/uploads/wpallimport/logs/",
 )
 SKIPPED_COMPONENTS = (".git", ".svn", ".hg", ".bzr", ".idea", ".vscode", ".cache", ".npm", ".yarn", ".pnpm-store")
@@ -104,12 +104,16 @@ SKIPPED_BASENAMES = (".DS_Store", "._.DS_Store", "Thumbs.db", "desktop.ini", "eh
 SCRATCH_FILES = (r"^\.#", r"^#.+#$", r"(?i)\.(?:log|tmp)$", r"(?:~|\.(?:swp|swo|swn|bak|orig|rej))$")
 
 
-def default_skip(path: Column, is_file: Column | bool = True) -> Column:
-    """Whether a snapshot leaves the path out by default."""
+def default_skip(path: Column, is_file: Column | bool = True, generated: tuple[str, ...] = GENERATED_DIRECTORIES) -> Column:
+    """Whether a snapshot leaves the path out by default.
+
+    ``generated`` are directories of generated files, with slashes at both ends; callers add
+    those of their plugins.
+    """
     bounded = F.concat(F.lit("/"), F.btrim(path, F.lit("/")), F.lit("/"))
     name = basename(path)
     any_of = lambda tests: F.lit(False) if not tests else tests[0] if len(tests) == 1 else tests[0] | any_of(tests[1:])
-    component = any_of([bounded.contains(d) for d in GENERATED_DIRECTORIES] + [bounded.contains(f"/{c}/") for c in SKIPPED_COMPONENTS])
+    component = any_of([bounded.contains(d) for d in generated] + [bounded.contains(f"/{c}/") for c in SKIPPED_COMPONENTS])
     backup = any_of([bounded.contains(d) & name.rlike(p) for d, p in BACKUP_FILES] + [bounded.rlike(BACKUP_TREE[0]) & name.rlike(BACKUP_TREE[1])])
     scratch = any_of([name.rlike(p) for p in SCRATCH_FILES])
     file = F.lit(is_file) if isinstance(is_file, bool) else is_file

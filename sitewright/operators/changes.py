@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.functions.rewrite import rewrite_column
+from sitewright.functions.rewrite import rewritten
 
 
 def rewrite_changes(df: DataFrame, keys: list[str], columns: list[str], mapping: dict[str, str], *, hints: dict[str, str] | None = None, base: str | None = None) -> DataFrame:
@@ -17,27 +15,35 @@ def rewrite_changes(df: DataFrame, keys: list[str], columns: list[str], mapping:
     """
     if not keys:
         return df.limit(0).select(F.lit("").alias("column"), F.lit("").alias("old"), F.lit("").alias("new"))
-    hints = hints or {}
-    done, found, intact = df, [], F.lit(True)
-    for k in (k for k in keys if dict(df.dtypes)[k] == "string"):
-        done = rewrite_column(done, k, mapping, hint=hints.get(k), base=base, out=f"__key_{k}")
-        same = F.col(k).eqNullSafe(F.col(f"__key_{k}"))
-        intact = intact & F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("a key would change: "), F.col(k))).cast("boolean"))
-    for c in columns:
-        new = rewrite_column(done, c, mapping, hint=hints.get(c), base=base, out="__new")
-        found.append(new.where(intact & ~F.col(c).eqNullSafe(F.col("__new"))).select(*keys, F.lit(c).alias("column"), F.col(c).alias("old"), F.col("__new").alias("new")))
-    return reduce(DataFrame.unionByName, found)
+    hints, intact = hints or {}, F.lit(True)
+    types = dict(df.dtypes)
+    texts = [k for k in keys if types[k] == "string"]
+    # All columns are rewritten in one projection, so rows are read once.
+    new = {c: rewritten(F.col(f"`{c}`"), mapping, hint=hints.get(c), base=base) for c in dict.fromkeys([*texts, *columns])}
+    done = df.select(*keys, *(F.struct(F.col(f"`{c}`").alias("old"), v.alias("new")).alias(f"__{c}") for c, v in new.items()))
+    for k in texts:
+        same = F.col(f"`__{k}`.old").eqNullSafe(F.col(f"`__{k}`.new"))
+        intact = intact & F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("a key would change: "), F.col(f"`__{k}`.old"))).cast("boolean"))
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`__{c}`.old").alias("old"), F.col(f"`__{c}`.new").alias("new")) for c in columns))).alias("c")
+    return done.select(*keys, intact.alias("intact"), cells).where(F.col("intact") & ~F.col("c.old").eqNullSafe(F.col("c.new"))).select(*keys, "c.*")
 
 
 def apply_changes(current: DataFrame, keys: list[str], changes: DataFrame) -> DataFrame:
-    """``current`` with each change whose key exists and whose old value still stands."""
-    done = current
-    for c in [f for f in current.columns if f not in keys]:
-        own = changes.where(F.col("column") == c).select(*keys, F.col("old").alias("__old"), F.col("new").alias("__new"), F.lit(True).alias("__has"))
-        joined = done.join(own, keys, "left")
-        fits = F.col("__has") & F.col(c).cast("string").eqNullSafe(F.col("__old"))
-        done = joined.withColumn(c, F.when(fits, F.col("__new").cast(current.schema[c].dataType)).otherwise(F.col(c))).select(*current.columns)
-    return done
+    """``current`` with each change whose key exists and whose old value still stands.
+
+    Changes are gathered to a row a key and joined once. Of several changes of one cell that
+    fit, the least new value is taken.
+    """
+    columns = [f for f in current.columns if f not in keys]
+    pairs = lambda c: F.collect_set(F.when(F.col("column") == c, F.struct("old", "new"))).alias(f"__{c}")
+    joined = current.join(changes.groupBy(*keys).agg(*map(pairs, columns)), keys, "left")
+
+    def cell(c: str) -> Column:
+        own = F.col(f"`{c}`")
+        fitting = F.array_sort(F.filter(F.col(f"`__{c}`"), lambda p: p["old"].eqNullSafe(own.cast("string"))))
+        return F.when(F.size(fitting) > 0, F.get(fitting, 0)["new"].cast(current.schema[c].dataType)).otherwise(own).alias(c)
+
+    return joined.select(*(cell(c) if c in columns else F.col(f"`{c}`") for c in current.columns))
 
 
 def rewrite_stats(rows: DataFrame, changes: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewright.functions.paths import ancestors, relative_under, with_self
+from sitewright.functions.paths import relative_under, with_self
+from sitewright.operators.tree import below_any
+from sitewright.shared import materialize
 
 
 def sort_dedup(df: DataFrame, key: Column, tie: Column) -> DataFrame:
@@ -23,12 +25,13 @@ def path_neighbours(diff: DataFrame, buckets: int | None = None) -> DataFrame:
     """For each added or deleted path: its neighbours in the snapshot that lacks it.
 
     ``before`` and ``after`` are the nearest smaller and greater paths of the other snapshot.
-    Rows are range-partitioned by path; within a range windows fill both ways, and across
-    ranges a row a range carries the edge values, so no task sees the whole order.
+    Rows are range-partitioned by path and written with their range's number, as ranges
+    sampled anew would differ; within a range windows fill both ways, and across ranges a row
+    a range carries the edge values, so no task sees the whole order.
     """
     spark = diff.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = diff.select("path", "change").repartitionByRange(n, "path").withColumn("bucket", F.spark_partition_id())
+    rows = materialize(diff.select("path", "change").repartitionByRange(n, "path").withColumn("bucket", F.spark_partition_id()), "ranges")
     rows = rows.select("path", "change", "bucket", F.when(F.col("change") != "added", F.col("path")).alias("old"), F.when(F.col("change") != "deleted", F.col("path")).alias("new"))
     edges = rows.groupBy("bucket").agg(*(f(c).alias(f"{tag}_{c}") for c in ("old", "new") for tag, f in (("min", F.min), ("max", F.max))))
     # One row a range: sizes are those of the partition count.
@@ -56,9 +59,7 @@ def apply_mutations(index: DataFrame, mutations: DataFrame) -> DataFrame:
 
     Mutations do not cancel each other: an upsert below a deleted path stays.
     """
-    touched = mutations.select("path").distinct()
-    chain = index.select(F.col("path").alias("own"), F.explode(with_self(F.col("path"))).alias("path"))
-    gone = chain.join(touched, "path", "left_semi").select(F.col("own").alias("path")).distinct()
+    gone = below_any(index, mutations)
     upserts = mutations.where("op = '+'").select(*index.columns)
     return index.join(gone, "path", "left_anti").unionByName(upserts)
 
@@ -95,9 +96,9 @@ def collisions(mapped: DataFrame) -> DataFrame:
     another that is no intermediate link. Column ``intermediate`` may be absent."""
     link = F.coalesce(F.col("intermediate"), F.lit(False)) if "intermediate" in mapped.columns else F.lit(False)
     same = mapped.groupBy("local").count().where("count > 1").select("local", F.lit("same").alias("reason"))
-    solid = mapped.where(~link).select(F.col("local").alias("above")).distinct()
-    below = mapped.select("local", F.explode(ancestors(F.col("local"))).alias("above")).join(solid, "above", "left_semi").select("local", F.lit("below").alias("reason")).distinct()
-    return same.unionByName(below)
+    solid = mapped.where(~link).select(F.col("local").alias("path"))
+    below = below_any(mapped.select(F.col("local").alias("path")).distinct(), solid, proper=True)
+    return same.unionByName(below.select(F.col("path").alias("local"), F.lit("below").alias("reason")))
 
 
 def assert_no_collisions(mapped: DataFrame) -> None:

@@ -64,15 +64,16 @@ def chunk_values(df: DataFrame, keys: list[str], column: str, size: int) -> Data
 def assemble_chunks(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """``value`` of each key: its chunks in order. A gap, overlap or missing end is an error.
 
-    A value is one row in the end, so its chunks meet in one row.
+    A value is one row in the end, so its chunks meet in one row, in one shuffle. Bytes that
+    are cast to a string stay as they are, so joining strings joins the bytes.
     """
-    length = F.octet_length("data").cast("long")
-    w = Window.partitionBy(*keys).orderBy("offset")
-    expected = F.coalesce(F.lag(F.col("offset") + length).over(w), F.lit(0).cast("long"))
-    marked = chunks.withColumn("__bad", (F.col("offset") != expected) | (F.col("is_last") != F.lead("offset").over(w).isNull()))
-    whole = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("offset", "data"))).alias("c"), F.bool_or("__bad").alias("bad"))
-    joined = F.unhex(F.array_join(F.transform("c", lambda c: F.hex(c["data"])), ""))
-    value = F.when(~F.col("bad"), joined).otherwise(F.raise_error(F.lit("chunks have a gap, an overlap or no end")).cast("binary"))
+    chunk = F.struct(F.col("offset"), F.col("data").cast("string").alias("data"), F.col("is_last"))
+    whole = chunks.groupBy(*keys).agg(F.array_sort(F.collect_list(chunk)).alias("c"))
+    end = lambda x: x["offset"] + F.octet_length(x["data"])
+    fits = lambda x, i: (x["offset"] == F.when(i == 0, F.lit(0)).otherwise(end(F.get("c", i - 1)))) & (x["is_last"] == (i == F.size("c") - 1))
+    good = F.forall(F.transform("c", fits), lambda ok: ok)
+    joined = F.array_join(F.transform("c", lambda x: x["data"]), "").cast("binary")
+    value = F.when(good, joined).otherwise(F.raise_error(F.lit("chunks have a gap, an overlap or no end")).cast("binary"))
     return whole.select(*keys, value.alias("value"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.functions.paths import basename, dirname, is_under, normalize_path, with_self
+from sitewright.operators.tree import below_any
 
 # Fixed values of the site rules.
 SITE_TABLES = ("posts", "postmeta", "comments", "commentmeta", "terms", "termmeta", "term_taxonomy", "term_relationships", "links")
@@ -105,11 +106,10 @@ def in_child_site(urls: DataFrame, children: DataFrame) -> DataFrame:
     """The rows of ``urls(path, …)`` at or below a child site's ``path``, by decoded, lower-case path."""
     # Only %XX is decoded: a plus stays a plus.
     decoded = F.lower(F.try_url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))))
-    bare = lambda c: F.lower(F.rtrim(c, F.lit("/")))
-    known = children.select(bare(F.col("path")).alias("up")).distinct()
-    chain = urls.select("path", F.explode(with_self(F.rtrim(F.coalesce(decoded, F.lower("path")), F.lit("/")))).alias("up"))
-    inside = chain.join(known, "up", "left_semi").select("path").distinct()
-    return urls.join(inside, "path", "left_semi")
+    bare = F.rtrim(F.coalesce(decoded, F.lower("path")), F.lit("/"))
+    known = children.select(F.lower(F.rtrim("path", F.lit("/"))).alias("path"))
+    inside = below_any(urls.select(bare.alias("path")).distinct(), known)
+    return urls.withColumn("__bare", bare).join(inside.toDF("__bare"), "__bare", "left_semi").drop("__bare")
 
 
 def collect_users(posts: DataFrame, comments: DataFrame, links: DataFrame, usermeta: DataFrame, capability: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.functions.paths import is_under, with_self
+from sitewright.operators.tree import below_any
 from sitewright.shared import materialize
 
 
@@ -124,7 +125,6 @@ def apply_plan(base: DataFrame, plan: DataFrame) -> DataFrame:
     """The snapshot that a plan makes of ``base``: deletes (with all below), then copies."""
     deletes = plan.where("op IN ('delete', 'replace')").select("path")
     copies = plan.where("op IN ('copy', 'replace')").select("path", "ctime", "size", "type")
-    chain = base.select(F.col("path").alias("own"), F.explode(with_self(F.col("path"))).alias("path"))
-    gone = chain.join(deletes, "path", "left_semi").select(F.col("own").alias("path")).distinct()
+    gone = below_any(base, deletes)
     left = base.select("path", "ctime", "size", "type").join(gone, "path", "left_anti")
     return left.join(copies.select("path"), "path", "left_anti").unionByName(copies)

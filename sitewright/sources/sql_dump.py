@@ -6,7 +6,6 @@ dump splits on semicolons alone and any part of it can be read by any task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,9 +15,9 @@ from pyspark.sql import types as T
 
 from sitewright.functions.values import float_text, project_encoded
 
-#: Fixed shape of a value in a statement, and of a statement.
-VALUE = re.compile(r"NULL|''|-?\d[\d.eE+-]*|FROM_BASE64\('([A-Za-z0-9+/=]*)'\)|CONVERT\(FROM_BASE64\('([A-Za-z0-9+/=]*)'\) USING utf8mb4\)")
-STATEMENT = re.compile(r"\s*(?:--[^\n]*\n\s*)*INSERT INTO `([^`]+)` \(([^)]*)\) VALUES\s+")
+#: Fixed shape of a value in a statement, and of a statement's head.
+VALUE = r"NULL|''|-?\d[\d.eE+-]*+|(?:CONVERT\()?FROM_BASE64\('[A-Za-z0-9+/=]*+'\)(?: USING utf8mb4\))?"
+HEAD = r"^\s*+(?:--[^\n]*+\n\s*+)*+INSERT INTO `([^`]++)` \(([^)]*+)\) VALUES\s++"
 UPSERT = " ON DUPLICATE KEY UPDATE "
 
 
@@ -73,28 +72,22 @@ def write_sql_dump(df: DataFrame, table: str, path: str, keys: list[str], **boun
 
 
 def parse_statements(statements: DataFrame, table: str, schema: T.StructType) -> DataFrame:
-    """Rows of ``table`` from statements in a column ``value``; other statements are dropped."""
-    fields = ", ".join(f"`{f.name}` string" for f in schema)
+    """Rows of ``table`` from statements in a column ``value``; other statements are dropped.
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for text in pdf["value"]:
-                m = STATEMENT.match(text or "")
-                if m is None or m[1] != table:
-                    continue
-                names = [c.strip(" `") for c in m[2].split(",")]
-                places = [names.index(f.name) if f.name in names else None for f in schema]
-                # Separators hold no value's text, so a statement is its values in order.
-                end = text.rfind(UPSERT)
-                cells = [v[0] for v in VALUE.finditer(text, m.end(), end if end > 0 else len(text))]
-                if len(cells) % len(names):
-                    raise ValueError(f"a statement on {table} has {len(cells)} values for {len(names)} columns")
-                for at in range(0, len(cells), len(names)):
-                    rows.append([None if k is None else cells[at + k] for k in places])
-            yield pd.DataFrame(rows, columns=[f.name for f in schema], dtype=object)
-
-    cells = statements.mapInPandas(parse, fields)
+    Separators hold no value's text, so a statement is its values in order: they are found by
+    one pattern and cut into rows, all in built-in expressions.
+    """
+    head = lambda k: F.regexp_extract("value", HEAD, k)
+    own = statements.where(head(1) == table)
+    names = F.transform(F.split(head(2), ","), lambda c: F.btrim(c, F.lit(" `")))
+    body = F.regexp_replace(F.substring_index("value", UPSERT, 1), HEAD, "")
+    found = own.select(names.alias("names"), F.regexp_extract_all(body, F.lit(VALUE), F.lit(0)).alias("found"))
+    n, size = F.size("names"), F.size("found")
+    whole = F.when(size % n == 0, F.col("found")).otherwise(F.raise_error(F.concat(F.lit(f"a statement on {table} has values for a part of a row: "), size.cast("string"))).cast("array<string>"))
+    starts = F.when(size == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest((size / n).cast("int"), F.lit(1)) - 1))
+    rows = found.select("names", whole.alias("found"), n.alias("n"), F.explode(starts).alias("row"))
+    place = lambda f: F.array_position("names", f.name).cast("int")
+    cells = rows.select(*(F.when(place(f) > 0, F.get("found", F.col("row") * F.col("n") + place(f) - 1)).alias(f.name) for f in schema))
 
     def value(f: T.StructField):
         c = F.col(f"`{f.name}`")

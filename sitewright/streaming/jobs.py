@@ -5,35 +5,89 @@ Each job resumes from its checkpoint and gives the same result when a batch is r
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from sitewright.functions.rewrite import rewrite_column
 from sitewright.operators.index import apply_wal
+from sitewright.shared import delete_path, names_in, read_small, write_once
 
 LOG = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("path", T.StringType()), T.StructField("ctime", T.LongType()), T.StructField("size", T.LongType()), T.StructField("type", T.StringType())])
 
 
+#: Parts of a followed index, by a hash of the path, and versions that a vacuum leaves.
+BUCKETS, KEPT_VERSIONS = 64, 2
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+
+
+def _write_buckets(rows: DataFrame, out: str, version: int) -> None:
+    """Rows by bucket: one file a bucket, or several where the shuffle splits it."""
+    rows.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/v{version:012d}")
+
+
+def _pointer(spark: SparkSession, out: str, version: int) -> dict[int, str]:
+    """Where each bucket of a version lies; a bucket without rows is absent."""
+    return {int(b): folder for b, folder in json.loads(read_small(spark, f"{out}/versions/v{version:012d}")).items()}
+
+
+def _bucket_names(spark: SparkSession, folder: str) -> dict[int, str]:
+    return {int(n.removeprefix("bucket=")): f"{folder}/{n}" for n in names_in(spark, folder) if n.startswith("bucket=")}
+
+
+def read_followed(spark: SparkSession, out: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """A version of a followed index (the last one), or some of its buckets."""
+    last = max(int(n[1:]) for n in names_in(spark, f"{out}/versions")) if version is None else version
+    folders = [f for b, f in sorted(_pointer(spark, out, last).items()) if buckets is None or b in buckets]
+    schema = T.StructType([f for f in LOG if f.name not in ("seq", "op")])
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
 def stream_wal(spark: SparkSession, folder: str, index: DataFrame, out: str, checkpoint: str, files_a_batch: int = 1000) -> StreamingQuery:
-    """Follow change-log files into versions of the index below ``out``.
+    """Follow change-log files into versions of the index below ``out`` (see ``read_followed``).
 
-    Batch n writes version n from version n - 1; a replayed batch writes the same again.
+    The index lies in BUCKETS parts. Batch n reads and writes the parts that its changes fall
+    into and makes version n + 1 by a pointer file that names each part's folder, so its cost
+    follows the log, not the index. A replayed batch writes the same again. Data that the last
+    KEPT_VERSIONS versions do not name is deleted.
     """
-    index.write.mode("ignore").parquet(f"{out}/v-1")
+    columns = [f.name for f in LOG if f.name not in ("seq", "op")]
+    if not names_in(spark, f"{out}/versions"):
+        _write_buckets(index.select(*columns), out, 0)
+        write_once(spark, f"{out}/versions/v{0:012d}", json.dumps(_bucket_names(spark, f"{out}/data/v{0:012d}")))
 
     def fold(batch: DataFrame, n: int) -> None:
-        last = batch.sparkSession.read.parquet(f"{out}/v{n - 1}")
-        apply_wal(last, batch).write.mode("overwrite").parquet(f"{out}/v{n}")
+        own = batch.sparkSession
+        touched = [r["bucket"] for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
+        before = _pointer(own, out, n)
+        _write_buckets(apply_wal(read_followed(own, out, n, touched), batch), out, n + 1)
+        after = {b: f for b, f in before.items() if b not in touched} | _bucket_names(own, f"{out}/data/v{n + 1:012d}")
+        write_once(own, f"{out}/versions/v{n + 1:012d}", json.dumps(after))
+        _vacuum(own, out, n + 1)
 
     log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_a_batch).json(folder)
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _vacuum(spark: SparkSession, out: str, last: int) -> None:
+    """Delete versions before the last ones, and the buckets that those no longer name."""
+    kept = range(max(0, last - KEPT_VERSIONS + 1), last + 1)
+    named = {f for v in kept for f in _pointer(spark, out, v).values()}
+    for name in names_in(spark, f"{out}/versions"):
+        if int(name[1:]) < kept[0]:
+            stale = set(_pointer(spark, out, int(name[1:])).values()) - named
+            for path in (*sorted(stale), f"{out}/versions/{name}"):
+                delete_path(spark, path)
+
+
 class LastChange(StatefulProcessor):
     """The greatest sequence number of a key, and its value."""
 
@@ -69,7 +123,6 @@ def stream_rewrite(content: DataFrame, column: str, mapping: dict[str, str], hin
 
 def stream_scan(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Index rows of the files that are new since the last run."""
-    schema = spark.read.format("binaryFile").load(folder).schema
-    files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
     rows = files.select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("ctime"), F.lit("file").alias("type"))
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

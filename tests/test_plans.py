@@ -117,3 +117,36 @@ def test_sort_dedup_drops_null_keys(spark):
 
     rows = spark.createDataFrame([("b", 2), ("a", 9), (None, 1), ("b", 1)], "k string, t long")
     assert [tuple(r) for r in index.sort_dedup(rows, F.col("k"), F.col("t")).collect()] == [("a", 9), ("b", 1)]
+
+
+@pytest.mark.parametrize("few", [50_000, 2, 0])
+def test_below_any_by_size(spark, monkeypatch, few):
+    """Roots that are broadcast, found among ancestors first, or joined in parts: the same rows."""
+    from sitewright.operators import tree as t
+
+    monkeypatch.setattr(t, "BROADCAST_ROOTS", few)
+    paths = [f"all/d{k % 5}/e{k % 7}/f{k}" for k in range(300)] + ["all", "all/d1", "other"]
+    roots = ["all/d1", "all/d2/e3", "all/d1/e1", "nowhere", None, "all/d4/e4/f4", *(f"x{k}" for k in range(50))]
+    df, wanted = spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame([(r,) for r in roots], "path string")
+    for proper in (False, True):
+        got = sorted(r["path"] for r in t.below_any(df, wanted, proper).collect())
+        assert got == sorted(p for p in paths if any(r and (p.startswith(r + "/") or (p == r and not proper)) for r in roots))
+
+
+def test_a_snapshot_under_one_root_is_no_task(spark):
+    """All rows below one mutated root: no exploded row shuffles by its ancestor."""
+    start = spark.range(5000).selectExpr("concat('root/d', id % 3, '/f', id) AS path", "id AS ctime", "id AS size", "'file' AS type")
+    muts = tree(spark, ("root/d1", 1, 1, "file")).selectExpr("0L AS seq", "'-' AS op", "path", "ctime", "size", "type")
+    done = index.apply_mutations(start, muts)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(path" not in plan.split("Generate")[-1].split("Union")[0] or "BroadcastHashJoin" in plan
+    assert done.count() == sum(k % 3 != 1 for k in range(5000))
+
+
+def test_changes_of_one_cell(spark):
+    """Two changes of a cell make no rows; the one whose old value stands is applied."""
+    from sitewright.operators import changes
+
+    now = spark.createDataFrame([(1, "b", "x"), (2, None, "y"), (3, "c", "z")], "k long, v string, w string")
+    what = spark.createDataFrame([(1, "v", "a", "n1"), (1, "v", "b", "n2"), (1, "v", "b", "n3"), (2, "v", None, "n4"), (2, "w", "y", "n5"), (3, "v", "other", "n6"), (9, "v", "c", "n7")], "k long, column string, old string, new string")
+    assert sorted(map(tuple, changes.apply_changes(now, ["k"], what).collect())) == [(1, "n2", "x"), (2, "n4", "n5"), (3, "c", "z")]

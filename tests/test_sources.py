@@ -32,3 +32,26 @@ def test_publishers_that_meet(spark):
     assert sorted(versions) == [3, 4, 5, 6]
     last = (30, 40, 50, 60)[versions.index(6)]
     assert publish.read_live(spark, target, "t").agg(F.min("id")).first()[0] == last == publish.read_live(spark, target, "u").first()["k"]
+
+
+def test_followed_index_touches_its_buckets(spark):
+    """A batch rewrites the buckets of its changes, old data goes, and a replayed batch changes nothing."""
+    from sitewright.streaming import jobs
+
+    out = scratch_path(spark, "followed")
+    start = spark.range(1000).selectExpr("concat('p', id) AS path", "0L AS ctime", "id AS size", "'file' AS type")
+    for n in range(3):
+        spark.createDataFrame([(n, "+", f"p{n}", 7, 7, "file"), (n, "-", f"p{n + 500}", None, None, None)], jobs.LOG).coalesce(1).write.mode("append").json(f"{out}/log")
+        jobs.stream_wal(spark, f"{out}/log", start, f"{out}/index", f"{out}/checkpoint").awaitTermination()
+    assert names_in(spark, f"{out}/index/versions") == ["v000000000002", "v000000000003"]
+    assert len(names_in(spark, f"{out}/index/data/v000000000003")) <= 3  # its buckets and a mark
+    rows = {r["path"]: r["size"] for r in jobs.read_followed(spark, f"{out}/index").collect()}
+    assert len(rows) == 997 and all(rows[f"p{n}"] == 7 and f"p{n + 500}" not in rows for n in range(3))
+
+
+def test_chunks_keep_any_bytes(spark):
+    from sitewright.operators import rows
+
+    df = spark.createDataFrame([(1, bytearray(range(256)) * 3), (2, bytearray(b"")), (3, bytearray(b"\xff\xfe\x00,"))], "k long, v binary")
+    back = rows.assemble_chunks(rows.chunk_values(df, ["k"], "v", 100), ["k"])
+    assert {r["k"]: bytes(r["value"]) for r in back.collect()} == {r["k"]: bytes(r["v"]) for r in df.collect()}
