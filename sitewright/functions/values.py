@@ -49,7 +49,7 @@ def project_encoded(value: Column, kind: str) -> Column:
         shape = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
         encoded = F.when(text.rlike(shape), text).otherwise(F.raise_error(F.concat(F.lit("not a number: "), text)).cast("string"))
     else:
-        coded = F.concat(F.lit("FROM_BASE64('"), F.translate(F.base64(value.cast("binary")), "\r\n", ""), F.lit("')"))
+        coded = F.concat(F.lit("FROM_BASE64('"), F.replace(F.base64(value.cast("binary")), F.lit("\r\n"), F.lit("")), F.lit("')"))
         if kind == "json":
             coded = F.concat(F.lit("CONVERT("), coded, F.lit(" USING utf8mb4)"))
         encoded = F.when(F.octet_length(value) == 0, F.lit("''")).otherwise(coded)

@@ -17,7 +17,7 @@ from sitewright.functions.values import float_text, project_encoded
 
 #: Fixed shape of a value in a statement, and of a statement's head.
 VALUE = r"NULL|''|-?\d[\d.eE+-]*+|(?:CONVERT\()?FROM_BASE64\('[A-Za-z0-9+/=]*+'\)(?: USING utf8mb4\))?"
-HEAD = r"^\s*+(?:--[^\n]*+\n\s*+)*+INSERT INTO `([^`]++)` \(([^)]*+)\) VALUES\s++"
+HEAD, VALUES = r"^\s*+(?:--[^\n]*+\n\s*+)*+INSERT INTO `([^`]++)` \(([^)]*+)\)$", " VALUES "
 UPSERT = " ON DUPLICATE KEY UPDATE "
 
 
@@ -40,14 +40,14 @@ def encoded_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 def dump_statements(df: DataFrame, table: str, keys: list[str], max_rows: int = 1000, max_bytes: int = 1 << 20, partitions: int | None = None) -> DataFrame:
     """``value``: one statement a batch, in key order within and across partitions.
 
-    Rows are range-partitioned by key and streamed; a batch closes on its rows or bytes.
+    Rows are range-partitioned by key, encoded and streamed; a batch closes on its rows or
+    bytes.
     """
     columns = ", ".join(f"`{c}`" for c in df.columns)
     head = f"INSERT INTO `{table}` ({columns}) VALUES "
     tail = f" ON DUPLICATE KEY UPDATE `{keys[0]}`=`{keys[0]}`"
-    rows = encoded_rows(df, keys)
-    rows = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    rows = rows.sortWithinPartitions(*keys).select("tuple")
+    rows = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    rows = encoded_rows(rows.sortWithinPartitions(*keys), []).select("tuple")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch: list[str] = []
@@ -77,22 +77,23 @@ def parse_statements(statements: DataFrame, table: str, schema: T.StructType) ->
     Separators hold no value's text, so a statement is its values in order: they are found by
     one pattern and cut into rows, all in built-in expressions.
     """
-    head = lambda k: F.regexp_extract("value", HEAD, k)
+    head = lambda k: F.regexp_extract(F.substring_index("value", VALUES, 1), HEAD, k)
     own = statements.where(head(1) == table)
     names = F.transform(F.split(head(2), ","), lambda c: F.btrim(c, F.lit(" `")))
-    body = F.regexp_replace(F.substring_index("value", UPSERT, 1), HEAD, "")
+    body = F.substring(F.substring_index("value", UPSERT, 1), F.locate(VALUES, F.col("value")) + len(VALUES), F.char_length("value"))
     found = own.select(names.alias("names"), F.regexp_extract_all(body, F.lit(VALUE), F.lit(0)).alias("found"))
     n, size = F.size("names"), F.size("found")
     whole = F.when(size % n == 0, F.col("found")).otherwise(F.raise_error(F.concat(F.lit(f"a statement on {table} has values for a part of a row: "), size.cast("string"))).cast("array<string>"))
     starts = F.when(size == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest((size / n).cast("int"), F.lit(1)) - 1))
-    rows = found.select("names", whole.alias("found"), n.alias("n"), F.explode(starts).alias("row"))
+    # A row carries its own values only, never the statement's.
+    rows = found.select("names", whole.alias("found"), starts.alias("starts")).select("names", F.explode(F.transform("starts", lambda k: F.slice("found", k * n + 1, n))).alias("row"))
     place = lambda f: F.array_position("names", f.name).cast("int")
-    cells = rows.select(*(F.when(place(f) > 0, F.get("found", F.col("row") * F.col("n") + place(f) - 1)).alias(f.name) for f in schema))
+    cells = rows.select(*(F.when(place(f) > 0, F.get("row", place(f) - 1)).alias(f.name) for f in schema))
 
     def value(f: T.StructField):
         c = F.col(f"`{f.name}`")
-        coded = F.unbase64(F.regexp_extract(c, r"FROM_BASE64\('([^']*)'\)", 1))
-        whole = F.when(c == "''", F.lit("").cast("binary")).when(c.contains("FROM_BASE64"), coded).otherwise(c.cast("binary"))
+        inner = F.substring_index(F.substring_index(c, "'", 2), "'", -1)
+        whole = F.when(c == "''", F.lit("").cast("binary")).when(c.startswith("FROM_") | c.startswith("CONVERT"), F.unbase64(inner)).otherwise(c.cast("binary"))
         return F.when((c == "NULL") | c.isNull(), F.lit(None)).otherwise(whole if isinstance(f.dataType, T.BinaryType) else whole.cast("string")).cast(f.dataType).alias(f.name)
 
     return cells.select(*(value(f) for f in schema))
