@@ -146,10 +146,15 @@ def assign(prints: DataFrame) -> DataFrame:
 #: For similarity by share of common shingles: words of a shingle, the least similarity, and
 #: the signature's positional bytes, of which KEYS groups of four are indexed.
 SHINGLE, SIMILARITY, POSITIONS, KEYS = 5, 0.8, 128, 32
-#: Rows of a block in which the members of a long list are compared.
-BLOCK = 512
+#: Keys that a pair shares at least: at similarity 0.8 all but one pair in 80,000 do, of 13 on average.
+MIN_KEYS = 3
+#: Members of a long list that all its members are paired with.
+PIVOTS = 4
+#: Signatures of a block in which a long list's members are compared, and shingles of one in
+#: which their sets are; partners of one row in a block beyond which the sets are compared.
+BLOCK, BLOCK_SHINGLES, CROWD = 2048, 1 << 20, 8
 #: Estimate below which a pair is dropped unverified: at similarity 0.8 that happens to one
-#: pair in ten million, and one in twenty million shares none of the KEYS keys.
+#: pair in ten million.
 NEVER = 0.6
 
 
@@ -181,55 +186,107 @@ def _postings(rows: DataFrame, width: int = 4) -> DataFrame:
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` pairs of classes that share a key of four positional bytes, and the lists
-    ``(k, key)`` of which not all pairs are among them.
+    """``(a, b)`` pairs of classes to verify, and the lists ``(k, key)`` of which not all pairs
+    are among them.
 
-    Lists up to MAX_LIST are paired. In a longer one each class is paired with the list's
-    least, and again within the lists of eight bytes that it falls into, which links most of
-    a dense group of near copies; ``_strays`` compares what that leaves apart.
+    The keys that a pair shares in lists up to MAX_LIST are tallied, and pairs with MIN_KEYS or
+    more stay. In a longer list each class is paired with PIVOTS of its members only, which
+    links most of a dense group of near copies; ``_strays`` compares what that leaves apart.
     """
-
-    def pairs(postings: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n"), F.min("cid").alias("least")).where("n > 1"), label)
-        short = postings.join(lists.where(F.col("n") <= MAX_LIST), ["k", "key"]).groupBy("k", "key").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
-        one = short.select("cids", F.posexplode("cids").alias("at", "a"))
-        close = one.select("a", F.explode(F.slice("cids", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"))
-        over = lists.where(F.col("n") > MAX_LIST)
-        long = postings.join(over, ["k", "key"])
-        return close.unionByName(long.where("cid <> least").select(F.col("least").alias("a"), F.col("cid").alias("b"))), long.select("cid").distinct(), over.select("k", "key")
-
-    first, dense, over = pairs(_postings(classes), "similar-lists")
-    second, _, _ = pairs(_postings(classes.join(dense, "cid", "left_semi"), 8), "similar-lists")
-    return first.unionByName(second).distinct(), over
-
-
-def _strays(classes: DataFrame, texts: DataFrame, over: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(a, b)`` links between members of a long list that ``roots(node, root)`` leaves apart.
-
-    Members already in the group of the list's least are connected; each other one, a stray,
-    is compared with every member on the shingles, exactly, a block of rows by a block. A
-    block pair gives no more links than connect its rows.
+    postings = _postings(classes)
+    picks = [F.min_by("cid", F.xxhash64("cid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
+    lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n"), *picks).where("n > 1"), "similar-lists")
+    short = postings.join(lists.where(F.col("n") <= MAX_LIST).select("k", "key"), ["k", "key"]).groupBy("k", "key").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
+    one = short.select("cids", F.posexplode("cids").alias("at", "a"))
+    close = one.select("a", F.explode(F.slice("cids", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"), F.lit(1).alias("shared"))
+    over = lists.where(F.col("n") > MAX_LIST)
+    long = postings.join(over, ["k", "key"]).select("cid", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).where("cid <> p")
+    starred = long.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), F.lit(MIN_KEYS).alias("shared"))
+    tally = close.unionByName(starred).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return tally.where(F.col("shared") >= MIN_KEYS).select("a", "b"), over.select("k", "key")
+
+
+def _strays(classes: DataFrame, texts: DataFrame, over: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify, and verified links, among members of long lists that ``roots(node, root)``
+    leaves apart.
+
+    Members in the group of a list's first pivot are connected; each other one, a stray, meets
+    every member, a block of signatures by a block. Pairs that share MIN_KEYS keys, the first
+    of them in this list, and whose estimate reaches NEVER are candidates. Where a stray has
+    more than CROWD of them in a block pair, the block pair is compared on the shingles,
+    exactly, and gives no more links than connect its rows.
     """
     members = _postings(classes).join(over, ["k", "key"]).join(roots, F.col("cid") == F.col("node"), "left").select("k", "key", "cid", F.coalesce("root", "cid").alias("root"))
     members = materialize(members, "similar-members")
-    homes = members.groupBy("k", "key").agg(F.min_by("root", "cid").alias("home"))
+    homes = members.groupBy("k", "key").agg(F.min_by("root", F.xxhash64("cid", F.lit(0))).alias("home"))
     placed = members.join(homes, ["k", "key"]).withColumn("stray", F.col("root") != F.col("home"))
     sizes = placed.groupBy("k", "key").agg(F.count_if("stray").alias("strays"), F.count_if(~F.col("stray")).alias("rest")).where("strays > 0")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     sizes = sizes.select("k", "key", blocks("strays").alias("n"), blocks("rest").alias("m"))
     # Blocks of strays come first; they meet all blocks, the others those of strays only.
     block = F.when(F.col("stray"), F.pmod(F.xxhash64("cid"), F.col("n"))).otherwise(F.col("n") + F.pmod(F.xxhash64("cid"), F.col("m"))).cast("int")
-    placed = materialize(placed.join(sizes, ["k", "key"]).select("k", "key", "cid", "root", block.alias("block"), F.when(F.col("stray"), F.col("n") + F.col("m")).otherwise(F.col("n")).alias("meets")), "similar-strays")
-
-    sets = materialize(texts.join(placed.select("cid").distinct(), "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
-    met = F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")
-    dealt = placed.join(sets, "cid").select("k", "key", "cid", "root", "block", "set", met).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    meets = F.when(F.col("stray"), F.col("n") + F.col("m")).otherwise(F.col("n"))
+    # The lists of a class that are long, as bits: a pair is compared in the first that it shares.
+    bits = members.groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("long"))
+    placed = placed.join(sizes, ["k", "key"]).select("k", "key", "cid", "root", block.alias("block"), meets.alias("meets"))
+    placed = materialize(placed.join(bits, "cid").join(classes.select("cid", "sig"), "cid"), "similar-strays")
+
+    def pairwise(rows: DataFrame) -> DataFrame:
+        met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+        return met.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "meets")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j, k = (int(rows[c].iloc[0]) for c in ("i", "j", "k"))
+        found, crowded = _block_candidates(rows[rows["block"] == i], rows[rows["block"] == j], k, i == j)
+        out = pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if crowded:
+            out = pd.DataFrame({"a": [-1], "b": [-1]})
+        return out.assign(k=k, key=rows["key"].iloc[0], i=i, j=j)
+
+    met = materialize(pairwise(placed).groupBy("k", "key", "i", "j").applyInPandas(meet, "a long, b long, k int, key binary, i int, j int"), "similar-met")
+    crowded = met.where("a < 0").select("k", "key", "i", "j")
+
+    asked = placed.join(crowded.select("k", "key", F.explode(F.array("i", "j")).alias("block")).distinct(), ["k", "key", "block"], "left_semi")
+    sets = materialize(texts.join(asked.select("cid").distinct(), "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
+    full = pairwise(placed.drop("sig", "long")).join(crowded, ["k", "key", "i", "j"], "left_semi").join(sets, "cid")
+    # Both sides of a block pair are dealt again, so that a task holds a bounded number of shingles.
+    parts = full.groupBy("k", "key", "i", "j").agg(F.ceil(F.sum(F.octet_length("set")) / (8 * BLOCK_SHINGLES)).cast("int").alias("parts"))
+    full = materialize(full.join(parts, ["k", "key", "i", "j"]), "similar-crowds")
+    own, every = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = full.where("block = i").withColumn("p", own).withColumn("q", every).withColumn("left", F.lit(True))
+    dealt = dealt.unionByName(full.where("block = j").withColumn("q", own).withColumn("p", every).withColumn("left", F.lit(False)))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["block"] == rows["i"]], rows[rows["block"] == rows["j"]]
-        return pd.DataFrame(_block_links(*((side["cid"].to_numpy(), side["root"].to_numpy(), [np.frombuffer(v, "<u8") for v in side["set"]]) for side in (left, right))), columns=["a", "b"], dtype="int64")
-
-    return dealt.drop("other").groupBy("k", "key", "i", "j").applyInPandas(compare, "a long, b long")
+        sides = (rows[rows["left"]], rows[~rows["left"]])
+        return pd.DataFrame(_block_links(*((side["cid"].to_numpy(), side["root"].to_numpy(), [np.frombuffer(v, "<u8") for v in side["set"]]) for side in sides)), columns=["a", "b"], dtype="int64")
+
+    links = dealt.groupBy("k", "key", "i", "j", "p", "q").applyInPandas(compare, "a long, b long")
+    return met.where("a >= 0").select("a", "b").distinct(), links
+
+
+def _block_candidates(left: pd.DataFrame, right: pd.DataFrame, k: int, same_block: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of two blocks of list ``k`` to verify, or that a row has too many of them."""
+    if not len(left) or not len(right):
+        return [], False
+    matrix = lambda side: np.frombuffer(b"".join(side["sig"]), np.uint8).reshape(len(side), POSITIONS)
+    ours, theirs = matrix(left), matrix(right)
+    our_keys, their_keys = ours.view("<u4"), theirs.view("<u4")
+    ids, roots = right["cid"].to_numpy(), right["root"].to_numpy()
+    earlier = (1 << k) - 1  # long lists before this one
+    powers = np.left_shift(np.int64(1), np.arange(KEYS, dtype=np.int64))
+    found: list[tuple[int, int]] = []
+    for own, root, long, sig, key in zip(left["cid"].tolist(), left["root"].tolist(), left["long"].tolist(), ours, our_keys, strict=True):
+        near = np.flatnonzero((roots != root) & (ids > own) if same_block else roots != root)
+        same = their_keys[near] == key
+        near, same = near[(count := same.sum(1) >= MIN_KEYS)], same[count]
+        first = (same * powers).sum(1) & long & earlier == 0
+        near = near[first]
+        share = (theirs[near] == sig).mean(1)
+        near = near[(share - 1 / 256) / (1 - 1 / 256) >= NEVER]
+        if len(near) > CROWD:
+            return [], True
+        found += ((own, int(b)) for b in ids[near])
+    return found, False
 
 
 def _block_links(left: tuple, right: tuple) -> list[tuple[int, int]]:
@@ -283,11 +340,6 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
             share = (left == right).mean(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((share - 1 / 256) / (1 - 1 / 256))], names=["a", "b", "share"])
 
-    sig = lambda side: classes.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"))
-    candidates, over = _candidates(classes)
-    tallied = candidates.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, share double")
-    likely = materialize(tallied.where(F.col("share") >= NEVER).select("a", "b"), "similar-pairs")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -298,12 +350,19 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
             kept = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in (0, 1)], names=["a", "b"])
 
-    asked = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    sets = materialize(texts.join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
-    own = lambda side: sets.select(F.col("cid").alias(side), F.col("set").alias(f"set_{side}"))
-    verified = likely.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
-    roots = materialize(components(verified), "similar-roots")
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_strays(classes, texts, over, roots))
+    def verified(likely: DataFrame) -> DataFrame:
+        asked = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        sets = materialize(texts.join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
+        own = lambda side: sets.select(F.col("cid").alias(side), F.col("set").alias(f"set_{side}"))
+        return likely.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
+
+    sig = lambda side: classes.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"))
+    candidates, over = _candidates(classes)
+    tallied = candidates.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, share double")
+    likely = materialize(tallied.where(F.col("share") >= NEVER).select("a", "b"), "similar-pairs")
+    roots = materialize(components(verified(likely)), "similar-roots")
+    more, links = _strays(classes, texts, over, roots)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more)).unionByName(links)
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
