@@ -153,6 +153,8 @@ PIVOTS = 4
 #: Signatures of a block in which a long list's members are compared, and shingles of one in
 #: which their sets are; partners of one row in a block beyond which the sets are compared.
 BLOCK, BLOCK_SHINGLES, CROWD = 2048, 1 << 20, 8
+#: Bits of the filter that says which rows may be among given ones (2 MB, whatever the table's size).
+FILTER_BITS, FILTER_HASHES = 1 << 24, 2
 #: Estimate below which a pair is dropped unverified: at similarity 0.8 that happens to one
 #: pair in ten million.
 NEVER = 0.6
@@ -186,8 +188,8 @@ def _postings(rows: DataFrame, width: int = 4) -> DataFrame:
 
 
 def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` pairs of classes to verify, and the lists ``(k, key)`` of which not all pairs
-    are among them.
+    """``(a, b)`` pairs of classes to verify, and the members ``(cid, k, key)`` of the lists of
+    which not all pairs are among them.
 
     The keys that a pair shares in lists up to MAX_LIST are tallied, and pairs with MIN_KEYS or
     more stay. In a longer list each class is paired with PIVOTS of its members only, which
@@ -195,20 +197,21 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     postings = _postings(classes)
     picks = [F.min_by("cid", F.xxhash64("cid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
-    lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n"), *picks).where("n > 1"), "similar-lists")
+    lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "similar-lists")
     short = postings.join(lists.where(F.col("n") <= MAX_LIST).select("k", "key"), ["k", "key"]).groupBy("k", "key").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
     one = short.select("cids", F.posexplode("cids").alias("at", "a"))
     close = one.select("a", F.explode(F.slice("cids", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"), F.lit(1).alias("shared"))
-    over = lists.where(F.col("n") > MAX_LIST)
-    long = postings.join(over, ["k", "key"]).select("cid", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).where("cid <> p")
+    over = lists.where(F.col("n") > MAX_LIST).select("k", "key")
+    dense = materialize(postings.join(over, ["k", "key"]), "similar-dense")
+    long = dense.join(dense.groupBy("k", "key").agg(*picks), ["k", "key"]).select("cid", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).where("cid <> p")
     starred = long.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), F.lit(MIN_KEYS).alias("shared"))
     tally = close.unionByName(starred).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    return tally.where(F.col("shared") >= MIN_KEYS).select("a", "b"), over.select("k", "key")
+    return tally.where(F.col("shared") >= MIN_KEYS).select("a", "b"), dense
 
 
-def _strays(classes: DataFrame, texts: DataFrame, over: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify, and verified links, among members of long lists that ``roots(node, root)``
-    leaves apart.
+def _strays(classes: DataFrame, texts: DataFrame, dense: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs to verify, and verified links, among members ``dense`` of long lists that
+    ``roots(node, root)`` leaves apart.
 
     Members in the group of a list's first pivot are connected; each other one, a stray, meets
     every member, a block of signatures by a block. Pairs that share MIN_KEYS keys, the first
@@ -216,7 +219,7 @@ def _strays(classes: DataFrame, texts: DataFrame, over: DataFrame, roots: DataFr
     more than CROWD of them in a block pair, the block pair is compared on the shingles,
     exactly, and gives no more links than connect its rows.
     """
-    members = _postings(classes).join(over, ["k", "key"]).join(roots, F.col("cid") == F.col("node"), "left").select("k", "key", "cid", F.coalesce("root", "cid").alias("root"))
+    members = dense.join(roots, F.col("cid") == F.col("node"), "left").select("k", "key", "cid", F.coalesce("root", "cid").alias("root"))
     members = materialize(members, "similar-members")
     homes = members.groupBy("k", "key").agg(F.min_by("root", F.xxhash64("cid", F.lit(0))).alias("home"))
     placed = members.join(homes, ["k", "key"]).withColumn("stray", F.col("root") != F.col("home"))
@@ -247,7 +250,8 @@ def _strays(classes: DataFrame, texts: DataFrame, over: DataFrame, roots: DataFr
     crowded = met.where("a < 0").select("k", "key", "i", "j")
 
     asked = placed.join(crowded.select("k", "key", F.explode(F.array("i", "j")).alias("block")).distinct(), ["k", "key", "block"], "left_semi")
-    sets = materialize(texts.join(asked.select("cid").distinct(), "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
+    wanted = materialize(asked.select("cid").distinct(), "similar-asked")
+    sets = materialize(texts.where(_may_be_among(texts, "cid", wanted)).join(wanted, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
     full = pairwise(placed.drop("sig", "long")).join(crowded, ["k", "key", "i", "j"], "left_semi").join(sets, "cid")
     # Both sides of a block pair are dealt again, so that a task holds a bounded number of shingles.
     parts = full.groupBy("k", "key", "i", "j").agg(F.ceil(F.sum(F.octet_length("set")) / (8 * BLOCK_SHINGLES)).cast("int").alias("parts"))
@@ -319,6 +323,31 @@ def _block_links(left: tuple, right: tuple) -> list[tuple[int, int]]:
     return links
 
 
+def _may_be_among(rows: DataFrame, column: str, ids: DataFrame) -> Column:
+    """Whether a row's ``column`` may be in the one column of ``ids``: never false if it is.
+
+    A Bloom filter of fixed size, so few wide rows shuffle for an exact join with few ids. Its
+    words are combined before they reach the driver, FILTER_BITS / 64 at most. With very many
+    ids it admits all rows, and the join alone decides.
+    """
+    spark = rows.sparkSession
+    place = F.explode(F.array(*(F.pmod(F.xxhash64(F.col(ids.columns[0]), F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)))).alias("at")
+    words = ids.select(place).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    held = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def among(*places: pd.Series) -> pd.Series:
+        found = np.ones(len(places[0]), dtype=bool)
+        for at in places:
+            at = at.to_numpy()
+            found &= (held.value[at >> 6] >> (at & 63)) & 1 == 1
+        return pd.Series(found)
+
+    return among(*(F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)))
+
+
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -352,16 +381,17 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
 
     def verified(likely: DataFrame) -> DataFrame:
         asked = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        sets = materialize(texts.join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
+        asked = materialize(asked, "similar-asked")
+        sets = materialize(texts.where(_may_be_among(texts, "cid", asked)).join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
         own = lambda side: sets.select(F.col("cid").alias(side), F.col("set").alias(f"set_{side}"))
         return likely.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
 
     sig = lambda side: classes.select(F.col("cid").alias(side), F.col("sig").alias(f"sig_{side}"))
-    candidates, over = _candidates(classes)
+    candidates, dense = _candidates(classes)
     tallied = candidates.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(tally, "a long, b long, share double")
     likely = materialize(tallied.where(F.col("share") >= NEVER).select("a", "b"), "similar-pairs")
     roots = materialize(components(verified(likely)), "similar-roots")
-    more, links = _strays(classes, texts, over, roots)
+    more, links = _strays(classes, texts, dense, roots)
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(more)).unionByName(links)
 
 
@@ -395,4 +425,9 @@ def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     edges = similar_links(classes.select("cid", "sig"), whole.select(F.col("rid").alias("cid"), text.alias("text")))
     rooted = classes.join(components(edges), F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
-    return whole.join(kept, "rid", "left_semi").select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns))
+    # Rows that surely stay never shuffle; those that may go are decided by an exact join.
+    gone = materialize(whole.select("rid").join(kept, "rid", "left_anti"), "similar-gone")
+    doubtful = _may_be_among(whole, "rid", gone)
+    whole = whole.withColumn("doubtful", doubtful)
+    left = whole.where(~F.col("doubtful")).unionByName(whole.where("doubtful").join(gone, "rid", "left_anti"))
+    return left.select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns))
