@@ -153,8 +153,8 @@ PIVOTS = 4
 #: Signatures of a block in which a long list's members are compared, and shingles of one in
 #: which their sets are; partners of one row in a block beyond which the sets are compared.
 BLOCK, BLOCK_SHINGLES, CROWD = 2048, 1 << 20, 8
-#: Bits of the filter that says which rows may be among given ones (2 MB, whatever the table's size).
-FILTER_BITS, FILTER_HASHES = 1 << 24, 2
+#: Bits of the filter that says which rows may be among given ones, whatever the table's size.
+FILTER_BITS = 1 << 23
 #: Estimate below which a pair is dropped unverified: at similarity 0.8 that happens to one
 #: pair in ten million.
 NEVER = 0.6
@@ -251,7 +251,7 @@ def _strays(classes: DataFrame, texts: DataFrame, dense: DataFrame, roots: DataF
 
     asked = placed.join(crowded.select("k", "key", F.explode(F.array("i", "j")).alias("block")).distinct(), ["k", "key", "block"], "left_semi")
     wanted = materialize(asked.select("cid").distinct(), "similar-asked")
-    sets = materialize(texts.where(_may_be_among(texts, "cid", wanted)).join(wanted, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
+    sets = materialize(_marked(texts, "cid", wanted).where("doubtful").drop("doubtful").join(wanted, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
     full = pairwise(placed.drop("sig", "long")).join(crowded, ["k", "key", "i", "j"], "left_semi").join(sets, "cid")
     # Both sides of a block pair are dealt again, so that a task holds a bounded number of shingles.
     parts = full.groupBy("k", "key", "i", "j").agg(F.ceil(F.sum(F.octet_length("set")) / (8 * BLOCK_SHINGLES)).cast("int").alias("parts"))
@@ -323,29 +323,18 @@ def _block_links(left: tuple, right: tuple) -> list[tuple[int, int]]:
     return links
 
 
-def _may_be_among(rows: DataFrame, column: str, ids: DataFrame) -> Column:
-    """Whether a row's ``column`` may be in the one column of ``ids``: never false if it is.
+def _marked(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``doubtful``: false only where ``column`` is surely not in the one column of ``ids``.
 
-    A Bloom filter of fixed size, so few wide rows shuffle for an exact join with few ids. Its
-    words are combined before they reach the driver, FILTER_BITS / 64 at most. With very many
-    ids it admits all rows, and the join alone decides.
+    A filter of one hash as a table of 64-bit words, FILTER_BITS / 64 at most, which bounds its
+    broadcast: few wide rows then shuffle for an exact join with few ids. With very many ids
+    it admits all rows, and that join alone decides.
     """
-    spark = rows.sparkSession
-    place = F.explode(F.array(*(F.pmod(F.xxhash64(F.col(ids.columns[0]), F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)))).alias("at")
-    words = ids.select(place).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    held = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def among(*places: pd.Series) -> pd.Series:
-        found = np.ones(len(places[0]), dtype=bool)
-        for at in places:
-            at = at.to_numpy()
-            found &= (held.value[at >> 6] >> (at & 63)) & 1 == 1
-        return pd.Series(found)
-
-    return among(*(F.pmod(F.xxhash64(F.col(column), F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)))
+    at = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
+    bit = "shiftleft(1L, cast(at % 64 as int))"
+    words = materialize(ids.select(at(ids.columns[0]).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits")), "similar-filter")
+    found = rows.withColumn("at", at(column)).withColumn("word", F.shiftright("at", 6)).join(F.broadcast(words), "word", "left")
+    return found.select(*rows.columns, F.coalesce(F.col("bits").bitwiseAND(F.expr(bit)) != 0, F.lit(False)).alias("doubtful"))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +371,7 @@ def similar_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     def verified(likely: DataFrame) -> DataFrame:
         asked = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
         asked = materialize(asked, "similar-asked")
-        sets = materialize(texts.where(_may_be_among(texts, "cid", asked)).join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
+        sets = materialize(_marked(texts, "cid", asked).where("doubtful").drop("doubtful").join(asked, "cid", "left_semi").mapInArrow(_shingled, "cid long, set binary"), "similar-sets")
         own = lambda side: sets.select(F.col("cid").alias(side), F.col("set").alias(f"set_{side}"))
         return likely.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
 
@@ -427,7 +416,6 @@ def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
     # Rows that surely stay never shuffle; those that may go are decided by an exact join.
     gone = materialize(whole.select("rid").join(kept, "rid", "left_anti"), "similar-gone")
-    doubtful = _may_be_among(whole, "rid", gone)
-    whole = whole.withColumn("doubtful", doubtful)
+    whole = _marked(whole, "rid", gone)
     left = whole.where(~F.col("doubtful")).unionByName(whole.where("doubtful").join(gone, "rid", "left_anti"))
     return left.select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns))
