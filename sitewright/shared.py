@@ -1,7 +1,9 @@
 """Scratch tables in the folder that driver and executors share.
 
 ``materialize`` cuts lineage by writing a table below ``spark.checkpoint.dir``; a lost
-executor then costs a reread, never a recomputation of everything before it.
+executor then costs a reread, never a recomputation of everything before it. Tables that no
+result reads go with the ``passing`` block that they were made in, others when the
+interpreter ends.
 """
 
 from __future__ import annotations
@@ -9,6 +11,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -45,10 +50,36 @@ def delete_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a scratch table and read it back with the same schema."""
+#: Paths of the scratch tables of each ``passing`` block that is open, the innermost last.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """A block whose scratch tables are deleted at its end, but for ``lasting`` ones.
+
+    Nothing that is read after the block may read them.
+    """
+    paths: list[str] = []
+    token = _passing.set((*_passing.get(), paths))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            delete_path(spark, path)
+
+
+def materialize(df: DataFrame, label: str, *, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to a scratch table and read it back with the same schema.
+
+    Of the innermost ``passing`` block, or of the one around it if the table is ``lasting``.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    blocks = _passing.get()[: -1 if lasting else None]
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
