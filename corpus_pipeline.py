@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitewright.llm import packing, quality_model, rules, secret_scan, simhash
 from sitewright.llm.queries import POLICY, vocabulary
-from sitewright.shared import materialize
+from sitewright.shared import materialize, passing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each is written to the shared folder in between."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with passing(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
