@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sitewright.shared import materialize
+from sitewright.shared import materialize, passing
 
 #: Posting lists up to this length are paired; longer ones link through shared neighbours.
 MAX_LIST = 24
@@ -410,12 +410,13 @@ def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     doc_id, text = F.col(f"`{row}`.`{id_col}`"), F.col(f"`{row}`.`{text_col}`").cast("string")
     ids = whole.select("rid", "sig", doc_id.alias("doc_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    classes = materialize(ids.groupBy("sig").agg(least.alias("first")).select("sig", "first", F.col("first.rid").alias("cid")), "similar-classes")
-    edges = similar_links(classes.select("cid", "sig"), whole.select(F.col("rid").alias("cid"), text.alias("text")))
-    rooted = classes.join(components(edges), F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "first")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
-    # Rows that surely stay never shuffle; those that may go are decided by an exact join.
-    gone = materialize(whole.select("rid").join(kept, "rid", "left_anti"), "similar-gone")
+    with passing(docs.sparkSession):
+        classes = materialize(ids.groupBy("sig").agg(least.alias("first")).select("sig", "first", F.col("first.rid").alias("cid")), "similar-classes")
+        edges = similar_links(classes.select("cid", "sig"), whole.select(F.col("rid").alias("cid"), text.alias("text")))
+        rooted = classes.join(components(edges), F.col("cid") == F.col("node"), "left").select(F.coalesce("root", "cid").alias("root"), "first")
+        kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+        # Rows that surely stay never shuffle; those that may go are decided by an exact join.
+        gone = materialize(whole.select("rid").join(kept, "rid", "left_anti"), "similar-gone", lasting=True)
     whole = _marked(whole, "rid", gone)
     left = whole.where(~F.col("doubtful")).unionByName(whole.where("doubtful").join(gone, "rid", "left_anti"))
     return left.select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in docs.columns))
