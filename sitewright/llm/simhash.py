@@ -198,11 +198,12 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     postings = _postings(classes)
     picks = [F.min_by("cid", F.xxhash64("cid", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]
     lists = materialize(postings.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "similar-lists")
-    short = postings.join(lists.where(F.col("n") <= MAX_LIST).select("k", "key"), ["k", "key"]).groupBy("k", "key").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
+    # All postings shuffle for one join; what it leaves, those of shared keys, is read for both kinds of list.
+    met = materialize(postings.join(lists, ["k", "key"]).select("cid", "k", "key", "n"), "similar-postings")
+    short = met.where(F.col("n") <= MAX_LIST).groupBy("k", "key").agg(F.array_sort(F.collect_list("cid")).alias("cids"))
     one = short.select("cids", F.posexplode("cids").alias("at", "a"))
     close = one.select("a", F.explode(F.slice("cids", F.col("at") + 2, F.lit(MAX_LIST))).alias("b"), F.lit(1).alias("shared"))
-    over = lists.where(F.col("n") > MAX_LIST).select("k", "key")
-    dense = materialize(postings.join(over, ["k", "key"]), "similar-dense")
+    dense = met.where(F.col("n") > MAX_LIST).select("cid", "k", "key")
     long = dense.join(dense.groupBy("k", "key").agg(*picks), ["k", "key"]).select("cid", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).where("cid <> p")
     starred = long.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"), F.lit(MIN_KEYS).alias("shared"))
     tally = close.unionByName(starred).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
