@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import ann, bpe, chat, html_extract, packing, quality_model, rules, secret_scan, shards, simhash
+from sitewright.llm import ann, bpe, chat, conversation_repair, exact_dedup, html_extract, merkle, packing, quality_model, rules, secret_scan, shards, simhash
 from sitewright.shared import scratch_path
 
 
@@ -170,10 +170,53 @@ FROM f
 """
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations' rows with faults by their ids and turns: dropped, emptied, cut, repeated or of the wrong role."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn"))) % 20
+    cut = F.when(F.col("code") == 1, "").when(F.col("code") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    held = rows.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"), code.alias("code")).where("code <> 0")
+    twice = F.explode(F.when(F.col("code") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    return held.select("conv_id", "turn", F.when(F.col("code") == 4, "user").otherwise(F.col("role")).alias("role"), cut.alias("text"), twice).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.report(damaged(rows)).withColumnRenamed("conv_id", "found_id")
+    ids = rows.select("conv_id").distinct()
+    none = {c: F.lit(0).cast("long") for c in conversation_repair.REPORT} | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return ids.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select("conv_id", *(F.coalesce(c, none[c]).alias(c) for c in conversation_repair.REPORT))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"))
+    fields = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    leaf, tampered = fields(F.col("text")), F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = docs.select(merkle.group_key(F.col("lang")).alias("grp"), "doc_id", leaf.alias("node"), F.when(tampered, fields(lower)).alias("claim"))
+    found = merkle.prove(rows.withColumn("claim", F.coalesce("claim", "node")), id_type=docs.schema["doc_id"].dataType.simpleString(), **options)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(spread(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER same AS nth
+  FROM d WINDOW same AS (PARTITION BY norm ORDER BY points DESC, doc_id NULLS LAST)
+)
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(norm) AS text_sha256 FROM g
+"""
+
+
 def queries() -> dict:
-    found = (op1_bpe, op2_quality, op3_neighbours, op4_html, op5_shards, op6_simhash, op7_packing, op8_chat, op9_secrets, op10_rules)
+    found = (op1_bpe, op2_quality, op3_neighbours, op4_html, op5_shards, op6_simhash, op7_packing, op8_chat, op9_secrets, op10_rules, op11_repair, op12_merkle, op13_exact)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_shards": OP5_SQL, "op8_chat": OP8_SQL, "op10_rules": OP10_SQL}
+    return {"op5_shards": OP5_SQL, "op8_chat": OP8_SQL, "op10_rules": OP10_SQL, "op13_exact": OP13_SQL}
