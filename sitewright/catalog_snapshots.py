@@ -9,8 +9,8 @@ from sitewright.functions import paths, values
 from sitewright.operators import diff, index, logs, site
 from sitewright.plans import patch
 from sitewright.registry import Registry
-from sitewright.shared import scratch_path
-from sitewright.sources import index_json, publish, sql_dump
+from sitewright.shared import make_dir, scratch_path
+from sitewright.sources import index_json, publish, sql_dump, tree
 from sitewright.views import CLOSURE_SQL, INDEX_SQL, PLAN_SQL, mutations, new_index, old_index, table
 
 R = Registry()
@@ -24,14 +24,20 @@ def s1_read_index(spark: SparkSession, d: str) -> DataFrame:
     return index_json.decode_index(index_json.encode_index(new_index(spark, d))).select("path", "ctime", "size", "type")
 
 
-@R.query("SELECT 'n=' || c_nationkey AS folder, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size, 'file' AS type FROM customer GROUP BY 1")
+@R.query(
+    """SELECT 'n=' || c_nationkey AS folder, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS size, 'file' AS type FROM customer GROUP BY 1
+UNION ALL SELECT 'empty/' || r_regionkey, 0, 'dir' FROM region"""
+)
 def s2_list_tree(spark: SparkSession, d: str) -> DataFrame:
-    """A tree written from the customers, a folder with one text file for each nation, and listed."""
+    """A tree written from the customers, a folder with one text file for each nation, and from
+    the regions, an empty directory for each, as the executors list it."""
     root = scratch_path(spark, "tree")
     customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("n"), "c_name").repartition("n")
     customers.write.partitionBy("n").text(root)
-    listed = index_json.list_tree(spark, root).where("path NOT LIKE '%\\_SUCCESS'")
-    return listed.select(F.regexp_extract("path", "^(n=[0-9]+)/part-[^/]*$", 1).alias("folder"), "size", "type")
+    for r in table(spark, d, "region").select("r_regionkey").collect():  # the directories' own table
+        make_dir(spark, f"{root}/empty/{r[0]}")
+    listed = tree.list_tree(spark, root).where("path NOT LIKE '%\\_SUCCESS%' AND path NOT LIKE '%.crc'")
+    return listed.select(F.regexp_replace("path", "/part-[^/]*$", "").alias("folder"), "size", "type")
 
 
 @R.query("SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS units FROM orders")
@@ -41,6 +47,18 @@ def s3_scan_table(spark: SparkSession, d: str) -> DataFrame:
     return scan_table(spark, f"{d}/orders.parquet", {"o_orderkey": F.col("o_orderkey"), "o_custkey": F.col("o_custkey"), "units": F.floor("o_totalprice").cast("long")})
 
 
+@R.query("SELECT o_orderkey, o_custkey, o_totalprice, true AS balanced FROM orders")
+def s3_key_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by ranges of a composite key whose first part has few, heavy values: each row is in
+    one range, and no range has over twice the rows of an even one."""
+    from sitewright.operators.rows import scan_ranges
+
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(F.col("o_custkey") % 4).alias("shop"))
+    dealt = scan_ranges(orders, ["shop", "o_orderkey"], 8)
+    sizes = dealt.groupBy("range_no").agg(F.count("*").alias("n")).agg((F.max("n") * 8 <= 2 * F.sum("n")).alias("balanced"))
+    return dealt.where("range_no IS NOT NULL").join(F.broadcast(sizes), F.lit(True)).select("o_orderkey", "o_custkey", "o_totalprice", "balanced")
+
+
 CATALOG = {"customer": ("c_custkey", "c_name", "c_mktsegment"), "documents": ("doc_id", "text", "lang", "source"), "nation": ("n_nationkey", "n_name"), "pages": ("page_id", "url", "html"), "events": ("event_id", "user_id", "event_type")}
 CATALOG_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS name, count(*) AS n_rows, CAST(coalesce(sum({' + '.join(f'coalesce(strlen(CAST({c} AS VARCHAR)), 0)' for c in cs)}), 0) AS BIGINT) AS data_bytes FROM {t}" for t, cs in sorted(CATALOG.items())

@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.functions.paths import with_self
 from sitewright.functions.values import may_contain_url
+from sitewright.operators.tree import longest_prefix
 
 #: Nested calls, and nesting of serialized values, beyond which a value stays as it is.
 DEPTH, SERIAL_DEPTH = 16, 512
@@ -600,13 +600,16 @@ def rewrite_tables(tables: dict[str, DataFrame], mapping: dict[str, str], *, pre
 def map_urls(urls: DataFrame, mapping: DataFrame, url_col: str = "url") -> DataFrame:
     """``mapped`` for each URL: the longest source base on whole segments, its suffix kept.
 
-    ``mapping(source, target)`` joins on the URL's ancestors, scheme left aside: native.
+    Hosts are compared in lower case, and user information of the URL is left aside and goes
+    with the base. ``mapping(source, target)`` is looked up depth by depth
+    (``tree.longest_prefix``): native, without a shuffle of the URLs.
     """
-    url = F.col(url_col)
-    bare = F.regexp_replace(F.regexp_extract(url, r"^([^?#]*)", 1), "^[A-Za-z]+://", "")
-    chain = urls.select(url.alias("__u"), bare.alias("bare")).distinct().select("__u", "bare", F.explode(with_self(F.rtrim("bare", F.lit("/")))).alias("source"))
-    best = chain.join(mapping.select("source", "target"), "source").groupBy("__u").agg(F.max_by(F.struct("source", "target"), F.char_length("source")).alias("m"))
-    scheme = F.char_length(F.regexp_extract(url, "^([A-Za-z]+://)", 1))
-    suffix = F.substring(url, scheme + F.char_length("m.source") + 1, F.char_length(url))
-    joined = urls.join(best, url == F.col("__u"), "left")
-    return joined.select(*(F.col(c) for c in urls.columns), F.when(F.col("m").isNull(), url).otherwise(F.concat("m.target", suffix)).alias("mapped"))
+    url = F.col(f"`{url_col}`")
+    address = F.regexp_extract(url, r"^([^?#]*)", 1)
+    lead = F.regexp_extract(address, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//)?(?:[^/@]*@)?", 0)  # scheme and user information
+    low = lambda c: F.concat(F.lower(F.substring_index(c, "/", 1)), F.substring(c, F.char_length(F.substring_index(c, "/", 1)) + 1, F.char_length(c)))
+    bare = F.substring(address, F.char_length(lead) + 1, F.char_length(address))
+    bases = mapping.select(low(F.rtrim("source", F.lit("/"))).alias("prefix"), "target")
+    found = longest_prefix(urls, low(F.rtrim(bare, F.lit("/"))), bases, "__m")
+    suffix = F.substring(url, F.char_length(lead) + F.char_length("__m.prefix") + 1, F.char_length(url))
+    return found.select(*(F.col(f"`{c}`") for c in urls.columns), F.when(F.col("__m").isNull(), url).otherwise(F.concat("__m.target", suffix)).alias("mapped"))

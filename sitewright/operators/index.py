@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewright.functions.paths import relative_under, with_self
-from sitewright.operators.tree import below_any
+from sitewright.functions.paths import relative_under
+from sitewright.operators.tree import below_any, longest_prefix
 from sitewright.shared import materialize
 
 
@@ -78,17 +78,16 @@ def apply_wal(index: DataFrame, log: DataFrame) -> DataFrame:
 def map_paths(index: DataFrame, mapping: DataFrame, default_root: str, scope: str | None = None, alternate_root: str | None = None) -> DataFrame:
     """``local`` for each path: the longest mapped prefix's target, else below a default root.
 
-    A prefix is found by an equi-join of the path's ancestors with ``mapping(prefix,
-    target)``. Paths outside ``scope`` (followed links) go below the alternate root.
+    ``mapping(prefix, target)`` is looked up depth by depth (``tree.longest_prefix``). Paths
+    outside ``scope`` (followed links) go below the alternate root.
     """
-    chain = index.select("path", F.explode(with_self(F.col("path"))).alias("prefix"))
-    best = chain.join(mapping, "prefix").groupBy("path").agg(F.max_by(F.struct("prefix", "target"), F.char_length("prefix")).alias("m"))
+    found = longest_prefix(index, F.col("path"), mapping.select("prefix", "target"), "__m")
     fallback = F.concat(F.lit(default_root.rstrip("/") + "/"), F.ltrim("path", F.lit("/")))
     if scope is not None:
         inside = relative_under(F.col("path"), scope)
         fallback = F.when(inside.isNull(), F.concat(F.lit((alternate_root or default_root).rstrip("/") + "/"), F.ltrim("path", F.lit("/")))).otherwise(F.concat(F.lit(default_root.rstrip("/") + "/"), inside))
-    mapped = F.concat("m.target", F.substring(F.col("path"), F.char_length("m.prefix") + 1, F.char_length("path")))
-    return index.join(best, "path", "left").select(*index.columns, F.coalesce(mapped, fallback).alias("local"))
+    mapped = F.concat("__m.target", F.substring(F.col("path"), F.char_length("__m.prefix") + 1, F.char_length("path")))
+    return found.select(*index.columns, F.coalesce(mapped, fallback).alias("local"))
 
 
 def collisions(mapped: DataFrame) -> DataFrame:

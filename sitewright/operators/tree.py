@@ -1,8 +1,8 @@
-"""Paths at or below other paths, without a task for a whole subtree."""
+"""Paths at or below other paths, and their longest mapped prefix, without a task for a whole subtree."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.functions.paths import ancestors, with_self
@@ -37,3 +37,33 @@ def below_any(paths: DataFrame, roots: DataFrame, proper: bool = False) -> DataF
 
 def _few(roots: DataFrame) -> bool:
     return roots.limit(BROADCAST_ROOTS + 1).count() <= BROADCAST_ROOTS
+
+
+def longest_prefix(df: DataFrame, path: Column, mapping: DataFrame, name: str = "hit") -> DataFrame:
+    """``df`` with ``name``, the struct of the ``mapping(prefix, target)`` row whose prefix is the
+    longest that is ``path`` or stands above it; null if none is. Of equal prefixes the one with
+    the least target counts.
+
+    Prefixes are taken by depth, the deepest first: one hash lookup of the path's own prefix
+    of each depth that occurs (a trie's walk, each level a table), and no rows are made or
+    gathered. A depth with few prefixes is broadcast, after a count; one with many is joined
+    in SALTS parts, so a prefix above all paths is no single task's either way.
+    """
+    one = mapping.where("prefix <> ''").groupBy("prefix").agg(F.min("target").alias("target"))
+    one = materialize(one.withColumn("depth", F.size(F.split("prefix", "/"))), "prefixes")
+    depths = sorted(((r["depth"], r["n"]) for r in one.groupBy("depth").agg(F.count("*").alias("n")).collect()), reverse=True)  # a row a depth
+    out, cells = df.withColumn("__path", path).withColumn("__salt", F.pmod(F.xxhash64("__path"), F.lit(SALTS)).cast("int")), []
+    for depth, n in depths:
+        own = F.when(F.size(F.split("__path", "/")) >= depth, F.substring_index("__path", "/", depth))
+        level = one.where(F.col("depth") == depth).select(F.col("prefix").alias("__prefix"), F.struct("prefix", "target").alias(f"__hit{depth}"))
+        found = F.coalesce(*cells) if cells else F.lit(None)
+        asked = F.when(found.isNull(), own)  # a path that has its prefix asks no more
+        if n <= BROADCAST_ROOTS:
+            out = out.withColumn("__own", asked).join(F.broadcast(level), F.col("__own") == F.col("__prefix"), "left")
+        else:
+            dealt = level.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            out = out.withColumn("__own", asked).join(dealt, (F.col("__own") == F.col("__prefix")) & (F.col("__salt") == F.col("__part")), "left").drop("__part")
+        out = out.drop("__own", "__prefix")
+        cells.append(F.col(f"__hit{depth}"))
+    hit = F.coalesce(*cells) if cells else F.lit(None).cast("struct<prefix:string,target:string>")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), hit.alias(name))

@@ -119,6 +119,11 @@ def write_once(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jpath)
+
+
 def read_small(spark: SparkSession, path: str) -> str:
     """The text of a small file."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,4 +1,4 @@
-"""Snapshot indexes and plans as JSON lines with base64 paths; trees; reports."""
+"""Snapshot indexes and plans as JSON lines with base64 paths; reports."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitewright.functions.paths import GENERATED_DIRECTORIES, default_skip, relative_under
+from sitewright.functions.paths import relative_under
 
 INDEX = T.StructType([T.StructField("path", T.StringType()), T.StructField("ctime", T.LongType()), T.StructField("size", T.LongType()), T.StructField("type", T.StringType()), T.StructField("empty", T.BooleanType())])
 
@@ -32,17 +32,6 @@ def write_index(index: DataFrame, path: str) -> None:
     encode_index(index).write.text(path)
 
 
-def list_tree(spark: SparkSession, root: str, generated: tuple[str, ...] = GENERATED_DIRECTORIES) -> DataFrame:
-    """A folder's files as index rows, without what snapshots skip by default.
-
-    Object stores show neither links nor empty directories, so there are none.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    bare = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    path = relative_under(bare, "/" + root.split(":", 1)[-1].lstrip("/"))
-    return files.select(path.alias("path"), F.unix_timestamp("modificationTime").alias("ctime"), F.col("length").alias("size"), F.lit("file").alias("type")).where(~default_skip(F.col("path"), generated=generated))
-
-
 def write_plan(plan: DataFrame, folder: str, prefix: str) -> None:
     """``folder/copies`` as JSON lines, ``folder/deletes`` as NUL-delimited paths below ``prefix``.
 

@@ -15,10 +15,13 @@ from pyspark.sql import types as T
 
 from sitewright.functions.values import float_text, project_encoded
 
-#: Fixed shape of a value in a statement, and of a statement's head.
+#: Fixed shape of a value in a statement, of a statement's head up to its values, of what
+#: stands between two rows, and of what may follow the last one.
 VALUE = r"NULL|''|-?\d[\d.eE+-]*+|(?:CONVERT\()?FROM_BASE64\('[A-Za-z0-9+/=]*+'\)(?: USING utf8mb4\))?"
-HEAD, VALUES = r"^\s*+(?:--[^\n]*+\n\s*+)*+INSERT INTO `([^`]++)` \(([^)]*+)\)$", " VALUES "
-UPSERT = " ON DUPLICATE KEY UPDATE "
+HEAD = r"(?is)^\s*+(?:--[^\n]*+\n\s*+)*+INSERT\s+INTO\s+`((?:[^`]|``)++)`\s*\(([^)]*+)$"
+BODY, BETWEEN = r"(?i)\)\s*VALUES\s*\(", r"\)\s*,\s*\("
+TAIL = r"(?is)^\s*(?:ON DUPLICATE KEY UPDATE [^'()]*)?$"
+NAME = "`((?:[^`]|``)+)`"
 
 
 def kind_of(field: T.StructField) -> str:
@@ -74,27 +77,34 @@ def write_sql_dump(df: DataFrame, table: str, path: str, keys: list[str], **boun
 def parse_statements(statements: DataFrame, table: str, schema: T.StructType) -> DataFrame:
     """Rows of ``table`` from statements in a column ``value``; other statements are dropped.
 
-    Separators hold no value's text, so a statement is its values in order: they are found by
-    one pattern and cut into rows, all in built-in expressions.
+    No value holds a comma or a parenthesis but its own, so a statement is cut into rows and
+    a row into values by its separators, in built-in expressions; columns that are not read
+    are not decoded. A row with more or fewer values than the statement has columns, a value
+    of another shape, and text after the last row but the upsert clause are errors.
     """
-    head = lambda k: F.regexp_extract(F.substring_index("value", VALUES, 1), HEAD, k)
-    own = statements.where(head(1) == table)
-    names = F.transform(F.split(head(2), ","), lambda c: F.btrim(c, F.lit(" `")))
-    body = F.substring(F.substring_index("value", UPSERT, 1), F.locate(VALUES, F.col("value")) + len(VALUES), F.char_length("value"))
-    found = own.select(names.alias("names"), F.regexp_extract_all(body, F.lit(VALUE), F.lit(0)).alias("found"))
-    n, size = F.size("names"), F.size("found")
-    whole = F.when(size % n == 0, F.col("found")).otherwise(F.raise_error(F.concat(F.lit(f"a statement on {table} has values for a part of a row: "), size.cast("string"))).cast("array<string>"))
-    starts = F.when(size == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest((size / n).cast("int"), F.lit(1)) - 1))
-    # A row carries its own values only, never the statement's.
-    rows = found.select("names", whole.alias("found"), starts.alias("starts")).select("names", F.explode(F.transform("starts", lambda k: F.slice("found", k * n + 1, n))).alias("row"))
+    wrong = lambda what, c: F.raise_error(F.concat(F.lit(f"{what} in a statement on {table}: "), F.substring(c, 1, 200)))
+    parts = F.split("value", BODY, 2)
+    head = lambda k: F.regexp_extract(F.get("parts", 0), HEAD, k)
+    own = statements.select(parts.alias("parts")).where((F.size("parts") == 2) & (F.replace(head(1), F.lit("``"), F.lit("`")) == table))
+    names = F.transform(F.regexp_extract_all(head(2), F.lit(NAME), F.lit(1)), lambda c: F.replace(c, F.lit("``"), F.lit("`")))
+    rest = F.col("rest")
+    tail = F.substring_index(rest, ")", -1)
+    body = F.substring(rest, F.lit(1), F.char_length(rest) - F.char_length(tail) - 1)
+    checked = F.when(rest.contains(")") & tail.rlike(TAIL), F.split(body, BETWEEN)).otherwise(wrong("text after the last row", tail).cast("array<string>"))
+    rows = own.select(names.alias("names"), F.get("parts", 1).alias("rest")).select("names", F.explode(checked).alias("row"))
+    cut = rows.select("names", F.col("row"), F.split("row", ",").alias("cells"))
+    whole = F.when(F.size("cells") == F.size("names"), F.col("cells")).otherwise(wrong("a row that does not fit its columns", F.col("row")).cast("array<string>"))
+    cut = cut.select("names", whole.alias("cells")).where(F.size("cells") > 0)  # the test holds whatever columns are read
     place = lambda f: F.array_position("names", f.name).cast("int")
-    cells = rows.select(*(F.when(place(f) > 0, F.get("row", place(f) - 1)).alias(f.name) for f in schema))
+    cells = cut.select(*(F.when(place(f) > 0, F.btrim(F.get("cells", place(f) - 1), F.lit(" \t\r\n"))).alias(f.name) for f in schema))
 
     def value(f: T.StructField):
         c = F.col(f"`{f.name}`")
-        inner = F.substring_index(F.substring_index(c, "'", 2), "'", -1)
-        whole = F.when(c == "''", F.lit("").cast("binary")).when(c.startswith("FROM_") | c.startswith("CONVERT"), F.unbase64(inner)).otherwise(c.cast("binary"))
-        return F.when((c == "NULL") | c.isNull(), F.lit(None)).otherwise(whole if isinstance(f.dataType, T.BinaryType) else whole.cast("string")).cast(f.dataType).alias(f.name)
+        sound = F.when(c.rlike(f"^(?:{VALUE})$"), c).otherwise(wrong("a malformed value", c).cast("string"))
+        inner = F.substring_index(F.substring_index(sound, "'", 2), "'", -1)
+        text = F.when(c.startswith("FROM_") | c.startswith("CONVERT") | c.startswith("'"), F.unbase64(inner)).otherwise(sound.cast("binary"))
+        text = text if isinstance(f.dataType, T.BinaryType) else text.cast("string")
+        return F.when(c.isNull() | (c == "NULL"), F.lit(None)).otherwise(text).cast(f.dataType).alias(f.name)
 
     return cells.select(*(value(f) for f in schema))
 

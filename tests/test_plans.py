@@ -7,6 +7,7 @@ import random
 import pytest
 
 from sitewright.operators import diff, index
+from sitewright.operators import rows as rows_of
 from sitewright.plans import patch
 
 SCHEMA = "path string, ctime long, size long, type string"
@@ -150,3 +151,77 @@ def test_changes_of_one_cell(spark):
     now = spark.createDataFrame([(1, "b", "x"), (2, None, "y"), (3, "c", "z")], "k long, v string, w string")
     what = spark.createDataFrame([(1, "v", "a", "n1"), (1, "v", "b", "n2"), (1, "v", "b", "n3"), (2, "v", None, "n4"), (2, "w", "y", "n5"), (3, "v", "other", "n6"), (9, "v", "c", "n7")], "k long, column string, old string, new string")
     assert sorted(map(tuple, changes.apply_changes(now, ["k"], what).collect())) == [(1, "n2", "x"), (2, "n4", "n5"), (3, "c", "z")]
+
+
+def loop_batches(sizes, max_rows, max_bytes):
+    batch, rows, total, out = 0, 0, 0, []
+    for size in sizes:
+        if rows and (rows >= max_rows or total + size > max_bytes):
+            batch, rows, total = batch + 1, 0, 0
+        rows, total = rows + 1, total + size
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize(("max_rows", "max_bytes", "fan"), [(7, 900, 2), (1 << 40, 5000, 3), (100, 1 << 40, 64), (1, 1, 2), (60, 20_000, 2)])
+def test_batches_of_one_hot_group_equal_the_loop(spark, max_rows, max_bytes, fan):
+    """One group over many small ranges, some of them smaller than a batch, beside a few small groups."""
+    rng = random.Random(4)
+    rows = [("hot", k, None if k % 50 == 0 else rng.choice([0, 10, 300, 1200])) for k in range(2000)] + [(g, k, 400) for g in (None, "", "é") for k in range(5)]
+    df = spark.createDataFrame(rows, "g string, k long, size long").repartition(5)
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        want |= {(g, k): b for (_, k, _), b in zip(own, loop_batches([s or 0 for _, _, s in own], max_rows, max_bytes), strict=True)}
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that ranges stay small
+        got = rows_of.pack_batches(df, "g", ["k"], "size", max_rows, max_bytes, fan).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert {(r["g"], r["k"]): r["batch"] for r in got} == want and len(got) == len(rows)
+
+
+def test_batches_odd(spark):
+    df = spark.createDataFrame([(1, 1, None, "a"), (1, 1, None, "b"), (1, 2, 5, "a")], "g int, k int, size int, batch_name string")
+    assert sorted((r["k"], r["batch_name"], r["batch"]) for r in rows_of.pack_batches(df, "g", ["k"], "size", 2, 100).collect()) == [(1, "a", 0), (1, "b", 0), (2, "a", 1)]
+    assert rows_of.pack_batches(df.limit(0), "g", ["k"], "size", 2, 100).count() == 0
+
+
+def test_longest_prefix_of_many(spark, monkeypatch):
+    """One root over all paths and very many prefixes, broadcast or not."""
+    from sitewright.operators import index, tree
+
+    mapping = spark.range(3000).selectExpr("concat('r/d', id) AS prefix", "concat('t', id) AS target").union(spark.createDataFrame([("r", "root"), ("r/d1/x", "deep"), ("r/d1", "z"), (None, "n"), ("", "e")], "prefix string, target string"))
+    paths = spark.range(6000).selectExpr("concat('r/d', id, '/x/', id % 7) AS path").union(spark.createDataFrame([("r",), ("rr/d1",), ("r/d1/x",), ("r/d10x",), (None,)], "path string"))
+
+    def plain(p):
+        best = {"r/d1/x": "deep", "r": "root"}
+        parts = [] if p is None else p.split("/")
+        for k in range(len(parts), 0, -1):
+            head = "/".join(parts[:k])
+            target = best.get(head) or (f"t{head[3:]}" if head.startswith("r/d") and head[3:].isdigit() and int(head[3:]) < 3000 else None)
+            if target:
+                return target + p[len(head) :]
+        return None if p is None else "root2/" + p
+
+    want = sorted(((r[0], plain(r[0])) for r in paths.collect()), key=str)
+    for few in (50_000, 10):
+        monkeypatch.setattr(tree, "BROADCAST_ROOTS", few)
+        got = index.map_paths(paths, mapping, "root2")
+        assert sorted(((r["path"], r["local"]) for r in got.select("path", "local").collect()), key=str) == want
+
+
+def test_map_urls_by_host(spark):
+    from sitewright.functions.rewrite import map_urls
+
+    mapping = spark.createDataFrame([("Old.example", "https://new.test"), ("old.example/Media", "https://cdn.test/m"), ("old.example:8080", "https://port.test")], "source string, target string")
+    cases = {
+        "https://OLD.example/a": "https://new.test/a", "https://u@old.example/a": "https://new.test/a", "http://u:p@OLD.EXAMPLE/Media/x?q=A@b/c": "https://cdn.test/m/x?q=A@b/c",
+        "https://old.example/media/x": "https://new.test/media/x", "//old.example": "https://new.test", "https://old.example.org/a": "https://old.example.org/a", "https://old.example:8080/a": "https://port.test/a",
+        "https://x.test/@old.example/a": "https://x.test/@old.example/a", "https://old.example?u=1": "https://new.test?u=1", "": "", None: None,
+    }
+    got = map_urls(spark.createDataFrame([(u,) for u in cases], "url string"), mapping).collect()
+    assert {r["url"]: r["mapped"] for r in got} == cases

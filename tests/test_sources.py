@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitewright.shared import names_in, read_small, scratch_path, write_once
 from sitewright.sources import publish
@@ -55,3 +58,125 @@ def test_chunks_keep_any_bytes(spark):
     df = spark.createDataFrame([(1, bytearray(range(256)) * 3), (2, bytearray(b"")), (3, bytearray(b"\xff\xfe\x00,"))], "k long, v binary")
     back = rows.assemble_chunks(rows.chunk_values(df, ["k"], "v", 100), ["k"])
     assert {r["k"]: bytes(r["value"]) for r in back.collect()} == {r["k"]: bytes(r["v"]) for r in df.collect()}
+
+
+def test_dump_rejects_what_it_cannot_read(spark):
+    from sitewright.sources.sql_dump import parse_statements
+
+    read = lambda text, schema="a int, b string, c int": parse_statements(spark.createDataFrame([(t,) for t in text.split(";")], "value string"), "t", T._parse_datatype_string(schema)).collect()
+    head = "INSERT INTO `t` (`a`, `b`, `c`) VALUES "
+    assert [tuple(r) for r in read(head + "\n(1,FROM_BASE64('eA=='),-2),\n( 2 , '' ,NULL)\nON DUPLICATE KEY UPDATE `a` = `a`;\n-- note\n" + head + "(3,NULL,4)")] == [(1, "x", -2), (2, "", None), (3, None, 4)]
+    assert read("INSERT INTO `u` (`a`) VALUES (what);DROP TABLE t;") == []
+    assert [tuple(r) for r in read("INSERT INTO `t``s` (`a`) VALUES (9);INSERT INTO `t` (`b`, `a``x`) VALUES ('',1)", "a int, b string")] == [(None, "")]
+    for bad in ("(1,'abc',2),(3,'x',4),(5,'y',6)", "(1,TRUE,2)", "(1,DEFAULT,2)", "(1,2)", "(1,'',2),(3,4)", "(1,'',2", "(1,'',2) SELECT 1", "(1,FROM_BASE64('e;A=='),2)", "(1,'a,b',2)", "()"):
+        with pytest.raises(Exception, match="statement on t"):
+            read(head + bad)
+
+
+@pytest.fixture(scope="module")
+def dump(spark):
+    from sitewright.sources.sql_dump import write_sql_dump
+
+    path = scratch_path(spark, "dump")
+    rows = [(k, None if k % 5 == 0 else "té;xt" * (k % 40), bytearray([0, k % 256, 255]), k / 7, Decimal(k) / 4) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, t string, b binary, f double, d decimal(12,2)")
+    write_sql_dump(df, "t", path, ["k"], max_rows=37, max_bytes=4000, partitions=2)
+    return path, df
+
+
+def test_dump_source_equals_native(spark, dump):
+    """Whatever the ranges, each statement is read once."""
+    from sitewright.sources import dump_source, sql_dump
+
+    path, df = dump
+    dump_source.register(spark)
+    read = lambda **o: spark.read.format("sqldump").option("table", "t").options(**o)
+    want = sorted(map(str, df.collect()))
+    assert sorted(map(str, sql_dump.read_sql_dump(spark, path, "t", df.schema).collect())) == want
+    for split in (1 << 30, 4000):
+        got = read(splitBytes=split).schema(df.schema).load(path)
+        assert sorted(map(str, got.collect())) == want
+    assert got.rdd.getNumPartitions() > 20
+    assert read().load(path).columns == df.columns and read().load(path).first()["k"].isdigit()
+    narrow = read(splitBytes=5000).schema("f double, k long").load(path)
+    assert sorted(map(tuple, narrow.collect())) == sorted((r.f, r.k) for r in df.collect())
+
+
+def test_dump_source_names_the_byte(spark, tmp_path):
+    from sitewright.sources import dump_source
+
+    dump_source.register(spark)
+    text = "INSERT INTO `t` (`a`, `b`) VALUES (1,2);\nINSERT INTO `t` (`a`, `b`) VALUES (1,'abc');\n"
+    (tmp_path / "d.sql").write_text(text)
+    with pytest.raises(Exception, match=f"malformed value at byte {text.index(chr(39))} of "):
+        spark.read.format("sqldump").option("table", "t").schema("a int").load(str(tmp_path)).collect()
+
+
+def test_tree_is_listed_by_levels(spark, tmp_path):
+    """Files, empty and unreadable directories, links, cycles and followed directories."""
+    from sitewright.sources.tree import list_tree
+
+    root, away = tmp_path / "site", tmp_path / "away"
+    for d in ("a/b/c", "empty", "node_modules/x", ".git/objects", "d"):
+        (root / d).mkdir(parents=True)
+    for d in ("real/deep", "hollow"):
+        (away / d).mkdir(parents=True)
+    for f in ("a/one", "a/b/c/two é", "top", "node_modules/x/y", ".git/objects/z", ".hidden"):
+        (root / f).write_text(f)
+    (away / "real/deep/file").write_text("12345")
+    (root / "a/loop").symlink_to(root)  # a cycle
+    (root / "d/file_link").symlink_to(root / "top")
+    (root / "d/broken").symlink_to("nowhere")
+    (away / "hop").symlink_to(away / "real")
+    (root / "d/out").symlink_to(away / "hop" / "deep")  # by a link on the way
+    (away / "real/deep/up").symlink_to(away)  # the followed directory leads to one above it, and that to the root's side
+    (away / "back").symlink_to(root)
+    rows = {r["path"]: r for r in list_tree(spark, f"file://{root}").collect()}
+    inside = {p: (r["type"], r["size"]) for p, r in rows.items() if not p.startswith("/")}
+    files = {f: ("file", len(f.encode())) for f in ("a/one", "a/b/c/two é", "top", ".hidden", "node_modules/x/y")}
+    assert {p: v for p, v in inside.items() if v[0] == "file"} == files
+    assert {p for p, v in inside.items() if v[0] == "link"} == {"a/loop", "d/file_link", "d/broken", "d/out"} and inside["empty"] == ("dir", 0) and rows["empty"]["empty"]
+    assert {p for p, v in inside.items() if v[0] == "dir"} == {"empty"}
+    assert rows["a/loop"]["target"] == str(root) and rows["d/broken"]["target"] is None and rows["d/out"]["target"] == str(away / "real/deep")
+    outside = {p: (r["type"], r["intermediate"]) for p, r in rows.items() if p.startswith("/")}
+    assert outside == {str(away / "hop"): ("link", False), str(away / "real/deep/file"): ("file", False), str(away / "real/deep/up"): ("link", False), str(away / "hollow"): ("dir", False), str(away / "back"): ("link", False)}
+    alone = {r["path"]: r["intermediate"] for r in list_tree(spark, str(root), follow=False).collect()}
+    assert set(alone) == set(inside) | {str(away / "hop")} and alone[str(away / "hop")]
+
+
+def test_tree_many_directories(spark, tmp_path):
+    from sitewright.sources.tree import list_tree
+
+    for k in range(400):
+        folder = tmp_path / f"d{k % 20}" / f"e{k}"
+        folder.mkdir(parents=True)
+        for j in range(k % 5):
+            (folder / f"f{j}").touch()
+    got = list_tree(spark, str(tmp_path)).groupBy("type").count().collect()
+    assert {r["type"]: r["count"] for r in got} == {"file": sum(k % 5 for k in range(400)), "dir": 80}
+
+
+def test_jdbc_ranges(spark):
+    """Over an embedded database: skewed, composite and text keys in ranges that hold about as many rows, each row once."""
+    from sitewright.operators import rows
+
+    url = "jdbc:derby:memory:ranges;create=true"
+    df = spark.range(4000).selectExpr("CASE WHEN id % 10 < 7 THEN 5 ELSE CAST(id * id % 100000 AS INT) END AS A", "CAST(id AS INT) AS B", "concat('k', id * 7919 % 4000) AS C", "CAST(id AS DOUBLE) / 3 AS D")
+    df.write.option("createTableColumnTypes", "C VARCHAR(20)").jdbc(url, "KEYED", mode="overwrite")
+    for keys in (["B"], ["A", "B"], ["C"], ["A", "C"]):
+        got = rows.scan_table(spark, "KEYED", {"b": F.col("B"), "c": F.col("C")}, jdbc={"url": url}, keys=keys, partitions=8)
+        sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert sum(sizes) == 4000 and got.distinct().count() == 4000
+        assert 6 <= len(sizes) and max(sizes) <= 2 * 4000 / 8, (keys, sizes)
+    assert rows.scan_table(spark, "KEYED", jdbc={"url": url}).rdd.getNumPartitions() == 1
+
+
+def test_range_predicates_hold_each_row_once(spark):
+    from sitewright.operators import rows
+
+    df = spark.createDataFrame([(a, b) for a in (None, 1, 1, 2, 3) for b in (None, "x", "o'k", "z")] * 3, "a int, b string")
+    for points in ([], [(1,)], [(1, "o'k"), (1, "z"), (1,), (2, "x")]):
+        tests = rows.range_predicates(points, ["a", "b"])
+        hits = sum(F.coalesce(F.expr(t).cast("int"), F.lit(0)) for t in tests)
+        assert [tuple(r) for r in df.select(hits).distinct().collect()] == [(1,)]
+    assert rows.split_points(df.limit(0), ["a"], 4) == [] and rows.split_points(df, ["a", "b"], 1) == []
