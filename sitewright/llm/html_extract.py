@@ -83,8 +83,9 @@ class Paths:
     parent: list[int] = field(default_factory=lambda: [0])
     depth: list[int] = field(default_factory=lambda: [0])
     tag: list[str] = field(default_factory=lambda: [""])
-    evidence: list[float] = field(default_factory=lambda: [1.0])
-    mark: list[int] = field(default_factory=lambda: [-1])  # the outermost marked element above or at the node
+    own: list[float] = field(default_factory=lambda: [1.0])  # what the element's own names say
+    evidence: list[float] = field(default_factory=lambda: [1.0])  # with those above it, once settled
+    mark: list[int] = field(default_factory=lambda: [-1])  # the outermost marked element above or at the node, alike
 
     def below(self, parent: int, tag: str, label: str, evidence: float) -> int:
         found = self.known.get((parent, label))
@@ -93,10 +94,27 @@ class Paths:
             self.parent.append(parent)
             self.depth.append(self.depth[parent] + 1)
             self.tag.append(tag)
-            self.evidence.append(min(evidence, self.evidence[parent]))
-            self.mark.append(self.mark[parent] if self.mark[parent] >= 0 or tag not in CONTENT_TAGS or evidence < 1 else found)
+            self.own.append(evidence)
         return found
 
+    def settle(self, segments: list[Segment]) -> None:
+        """Evidence and marks of all paths, from the root down.
+
+        A form that holds much of the page's plain text is the page's frame, no form of it.
+        """
+        plain = [0] * len(self.parent)
+        for s in segments:
+            plain[s.path] += max(0, s.size - s.linked)
+        for p in range(len(plain) - 1, 0, -1):  # a node's number is above its parent's
+            plain[self.parent[p]] += plain[p]
+        for p in range(1, len(plain)):
+            above, tag, own = self.parent[p], self.tag[p], self.own[p]
+            # A title block inside the content is no site header.
+            frame = tag == "header" and self.mark[above] >= 0 or tag == "form" and plain[p] and plain[p] >= MARKS_HOLD * plain[0]
+            own = NAMED_BOILER if tag in BOILER_TAGS and not frame else own
+            self.evidence.append(min(own, self.evidence[above]))
+            self.mark.append(self.mark[above] if self.mark[above] >= 0 or tag not in CONTENT_TAGS or own < 1 else p)
+
     def alike(self, a: int, b: int) -> float:
         """Shared root part of two paths; the walk is as long as what lies between them."""
         deepest = max(self.depth[a], self.depth[b], 1)
@@ -187,9 +205,6 @@ class Reader:
             self.lists += 1
             label += f"#{self.lists}"
         parent = self.open_[-1][1] if self.open_ else 0
-        # A title block inside the content is no site header.
-        if tag in BOILER_TAGS and not (tag == "header" and self.paths.mark[parent] >= 0):
-            evidence = NAMED_BOILER
         self.places[tag].append(len(self.open_))
         self.open_.append((tag, self.paths.below(parent, tag, label, evidence)))
 
@@ -198,6 +213,8 @@ class Reader:
         if not attributes or tag in ("html", "body"):
             return 1.0, tag
         names = [(m[0].lower(), x) for m in NAMED.findall(attributes) for x in (m[1] or m[2] or m[3]).split()]
+        if tag in PROSE:  # an anchor's name says what is written there, not what it is
+            names = [n for n in names if n[0] != "id"]
         evidence = named([x for _, x in names])
         if tag in CONTENT_TAGS and not any(w.lower().startswith(("comment", "repl")) for _, x in names for w in WORD.findall(x)):
             evidence = 1.0
@@ -214,7 +231,7 @@ class Reader:
             self.inline.pop()
         elif not end and tag not in VOID and attributes:
             evidence, label = self.named(tag, attributes)
-            if evidence == NAMED_BOILER:
+            if evidence == NAMED_BOILER or tag in BOILER_TAGS:
                 self.cut()
                 parent = self.inline[-1][1] if self.inline else self.open_[-1][1] if self.open_ else 0
                 self.inline.append((tag, self.paths.below(parent, tag, label, evidence)))
@@ -311,6 +328,7 @@ def outside_marks(segments: list[Segment], paths: Paths) -> float:
 
 def content_of(segments: list[Segment], paths: Paths) -> list[Segment]:
     """The segments that make up a page's main text."""
+    paths.settle(segments)
     outside = outside_marks(segments, paths)
     paths.evidence = [e if m >= 0 else e * outside for e, m in zip(paths.evidence, paths.mark, strict=True)]
     ratio, plain = path_ratios(segments, paths)
@@ -332,7 +350,7 @@ def content_of(segments: list[Segment], paths: Paths) -> list[Segment]:
             within[p] = 2 if paths.tag[p] in ("", "html", "body") else 1
         elif p and (above := within[paths.parent[p]]):
             within[p] = 1 if above == 1 else 2 if paths.tag[p] in TEXTUAL or paths.tag[p] in INLINE else 0
-    chosen = [s.path in strong or bool(within[s.path] and plain[s.path] >= PLAIN and paths.evidence[s.path] > HALF_NAMED) for s in segments]
+    chosen = [s.path in strong or bool(within[s.path] and plain[s.path] >= PLAIN and paths.evidence[s.path] >= HALF_NAMED) for s in segments]
     if outside == 1:  # a title may stand before the node
         for k in range(len(segments) - 2, -1, -1):
             s = segments[k]

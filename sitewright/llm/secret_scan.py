@@ -37,10 +37,10 @@ MOST_CHARS_A_TOKEN = 2.2
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 IDENTIFIER = re.compile(r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|\d{4}-\d\d-\d\d(?:[T_-]\d{1,9}){0,5}(?:[TZ_-][A-Za-z0-9]{0,6})?|v?\d+(?:[._-]\d+)+[._-]?[A-Za-z0-9]{0,8}|[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?\d{1,6})\Z")
 #: Addresses: what starts one (a scheme, a host with a path or of three parts), the host after
-#: an @, what a run of one cannot contain, and how far it reaches.
+#: an @, and what a run of one cannot contain.
 ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,15}://|(?<![a-zA-Z0-9-])(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,6}/|(?<![a-zA-Z0-9-])(?:[a-z0-9-]{1,63}\.){2,8}[a-z]{2,6}(?=:|\Z)")
 MAILED = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z]")
-BREAKS, REACH = re.compile(r"[\s\"'`<>(){}\[\],;|?&#]"), 2048
+BREAKS = re.compile(r"[\s\"'`<>(){}\[\],;|?&#]")
 #: The byte-level vocabularies' split (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,15 +67,24 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def in_address(text: str, a: int, b: int) -> bool:
-    """Whether ``text[a:b]`` is part of a URL, an e-mail address or a host."""
-    before, after = text[max(0, a - REACH) : a], text[b : b + REACH]
-    cut = BREAKS.search(before[::-1])
-    before = before[len(before) - cut.start() :] if cut else before
-    cut = BREAKS.search(after)
-    after = after[: cut.start()] if cut else after
-    first = ADDRESS.search(before + text[a:b] + after)
-    return bool(first and first.start() < len(before) + b - a) or before.endswith("@") or bool(MAILED.search(after))
+class Runs:
+    """The runs of text between BREAKS, passed once, with where addresses in the present one are."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.low, self.high = text, 0, -1
+
+    def in_address(self, a: int, b: int) -> bool:
+        """Whether ``text[a:b]`` is part of a URL, an e-mail address or a host; ``a`` never falls."""
+        if a >= self.high:
+            while a >= self.high:
+                self.low = self.high + 1
+                found = BREAKS.search(self.text, self.low)
+                self.high = found.start() if found else len(self.text)
+            run = self.text[self.low : self.high]
+            first = ADDRESS.search(run)
+            self.first = self.low + first.start() if first else None
+            self.mailed = max((self.low + m.start() for m in MAILED.finditer(run)), default=-1)
+        return (self.first is not None and self.first < b) or (a > self.low and self.text[a - 1] == "@") or self.mailed >= b
 
 
 def dense_spans(text: str, vocabulary: str, found: list[Span]) -> list[Span]:
@@ -88,7 +97,7 @@ def dense_spans(text: str, vocabulary: str, found: list[Span]) -> list[Span]:
             covered[-1][1] = max(covered[-1][1], y)
         else:
             covered.append([x, y])
-    at = 0
+    at, runs = 0, Runs(text)
     for m in CANDIDATE.finditer(text):
         s, a, b = m[0], m.start(), m.end()
         if not any(c.isalpha() for c in s) or DIGEST.match(s) or IDENTIFIER.match(s):
@@ -98,7 +107,7 @@ def dense_spans(text: str, vocabulary: str, found: list[Span]) -> list[Span]:
         if at < len(covered) and covered[at][0] < b:
             continue
         if len(s) <= MOST_CHARS_A_TOKEN * len(encoder(vocabulary).encode_ordinary(s)):
-            if not in_address(text, a, b):
+            if not runs.in_address(a, b):
                 out.append((a, 3, b))
     return out
 

@@ -263,3 +263,19 @@ def test_dedup_collisions_chain(spark, monkeypatch):
 
 def test_dedup_sql(spark, sf_dir):
     assert_same(spark, queries.queries()["op13_exact"], queries.OP13_SQL, sf_dir)
+
+
+# 9: secret scans
+
+
+def test_long_addresses_hold_what_is_in_them():
+    """However far into an address a run lies; beyond the address it counts."""
+    import public_tokenizers
+
+    from sitewright.llm import secret_scan
+
+    ranks, key = public_tokenizers.path("byte_bpe_50k.tiktoken"), "q7Zk2xW9vB4nT8rLp3Ym6Jd"
+    url = "https://h.example/" + "path.to/" * 3000
+    spans = secret_scan.spans_of(f"see {url}{key} and {key}, {'a.b/' * 3000}{key}", ranks)
+    text = f"see {url}{key} and {key}, "
+    assert (text.rindex(key), 3, text.rindex(key) + len(key)) in spans and not any(a < len("see ") + len(url) + 5 for a, _, _ in spans)

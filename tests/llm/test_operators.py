@@ -294,6 +294,10 @@ def test_html_pages_without_marks(spark, sf_dir):
         (f"<div id=c><h1>Title</h1><div class=b><p>{LONG}</p><p>{LONG}</p><ul><li>One</li><li>Two</li></ul></div></div><div class=x><ul>{'<li><a href=1>Menu</a></li>' * 6}</ul></div><div><p>Small promo.</p></div>", ["Title", LONG, LONG, "One", "Two"]),
         (f'<article><p>{LONG}</p><p class="x>Raw, text.</p><p>{LONG}</p></article>', [LONG, "Raw, text.", LONG]),
         ("<div><a href=1>Home page</a> <a href=2>About us</a></div>", []),
+        (f'<body><form action=1><input type=hidden><header>Site</header><article><h1>T</h1><p>{LONG}</p></article><footer>me</footer></form></body>', ["T", LONG]),
+        (f'<body><form id="form1"><div class=c><p>{LONG}</p><p>{LONG}</p></div><div class=m><a href=1>Menu</a></div></form></body>', [LONG, LONG]),
+        (f'<article><p>{LONG}</p><form><p>Your name, please.</p></form><h2 id="search">Search</h2><p>{LONG}</p><section id="comments-on-method"><p>Short, too.</p></section></article>', [LONG, "Search", LONG, "Short, too."]),
+        (f'<article><p>{LONG}</p><div class="related-work"><p>Brief.</p></div><section id="comments"><p>{LONG}</p></section></article>', [LONG, "Brief."]),
         ("a < b, and c > d", ["a < b, and c > d"]),
         (f"<article><p>{LONG}</p>" + "<div>" * 5000 + "<nav>menu, one.</nav>" + "</div>" * 5000 + "</article>", [LONG]),
     ],
