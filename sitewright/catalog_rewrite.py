@@ -154,15 +154,16 @@ LAST_SQL = "(SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id
 UNION ALL SELECT 'c' || c_custkey, 0 FROM customer"""
 )
 def st1_stream_wal(spark: SparkSession, d: str) -> DataFrame:
-    """Events as change-log files over an index of customers, followed in batches of one file, with a
-    restart after half of the files; the last version of the index."""
+    """Events as change-log files over an index of customers, in four parts by their numbers, each
+    followed after a restart; the last version of the index."""
     base = scratch_path(spark, "wal")
     start = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"), F.lit(0).cast("long").alias("ctime"), F.lit(1).cast("long").alias("size"), F.lit("file").alias("type"))
-    log = _log(spark, d).withColumn("part", F.ntile(4).over(Window.orderBy("seq")))
-    for half in ((1, 2), (3, 4)):
-        for part in half:
-            log.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").json(f"{base}/log")
-        jobs.stream_wal(spark, f"{base}/log", start, f"{base}/index", f"{base}/checkpoint", files_a_batch=1).awaitTermination()
+    log = _log(spark, d)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    parted = log.withColumn("part", F.floor((F.col("seq") - low) * 4 / (high - low + 1)))
+    for part in range(4):
+        parted.where(F.col("part") == part).drop("part").write.mode("append").json(f"{base}/log")
+        jobs.stream_wal(spark, f"{base}/log", start, f"{base}/index", f"{base}/checkpoint").awaitTermination()
     return jobs.read_followed(spark, f"{base}/index").select("path", "ctime")
 
 
@@ -191,6 +192,22 @@ def st2_stream_latest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("key").agg(F.max_by(F.struct("seq", "deleted"), "n").alias("s")).select("key", "s.seq", "s.deleted")
 
 
+@R.query("SELECT 'links' AS table_name, count(*) AS n_processed, count(*) FILTER (page_id % 3 > 0) AS n_changed FROM pages UNION ALL SELECT 'plain', count(*), 0 FROM pages")
+def a3_observed_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of a rewrite from the pass that writes it."""
+    rows = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, _text("at ", OLD, "/", F.col("page_id").cast("string"))).otherwise("none").alias("v"))
+    return changes.write_rewritten({"links": rows, "plain": rows}, {"links": ["v"]}, MAPPING, scratch_path(spark, "counted"))
+
+
+@R.query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'view' ELSE 'at https://new.test/' || event_type || CASE WHEN event_id % 50 = 0 THEN '/' || event_id ELSE '' END END AS v FROM events")
+def f11_rewrite_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Values of which most repeat: those are rewritten once and joined back."""
+    e = table(spark, d, "events")
+    own = F.when(F.col("event_id") % 50 == 0, _text("/", F.col("event_id").cast("string"))).otherwise("")
+    rows = e.select("event_id", F.when(F.col("event_type") == "view", "view").otherwise(_text("at ", OLD, "/", F.col("event_type"), own)).alias("v"))
+    return rewrite.rewrite_repeated(rows, "v", MAPPING)
+
+
 @R.query(PATHS_SQL + "SELECT page_id, 'at ' || u AS v FROM moved")
 def st3_stream_rewrite(spark: SparkSession, d: str) -> DataFrame:
     base = scratch_path(spark, "rewrite")

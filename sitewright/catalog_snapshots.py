@@ -74,6 +74,13 @@ def s4_table_catalog(spark: SparkSession, d: str) -> DataFrame:
     return _catalog(spark, d)
 
 
+@R.query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, count(*) > 0 AS stored FROM {t}" for t in CATALOG))
+def s4_stored_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Row counts and stored sizes by the files' footers alone."""
+    found = site.stored_catalog({t: table(spark, d, t) for t in CATALOG})
+    return found.select("name", "n_rows", (F.col("stored_bytes") > 0).alias("stored"))
+
+
 @R.query(f"SELECT count(*) AS n_tables, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(data_bytes) AS BIGINT) AS data_bytes FROM ({CATALOG_SQL})")
 def a2_catalog_totals(spark: SparkSession, d: str) -> DataFrame:
     return site.catalog_totals(_catalog(spark, d))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions.values import may_contain_url
 from sitewright.operators.tree import longest_prefix
+from sitewright.shared import materialize
 
 #: Nested calls, and nesting of serialized values, beyond which a value stays as it is.
 DEPTH, SERIAL_DEPTH = 16, 512
@@ -215,7 +216,10 @@ def tags_of(text: str) -> Iterator[tuple[int, int, str | None, re.Match | None]]
         at = m.end()
 
 
-CSS_URL = re.compile(r"url\(\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"')\s]*))\s*\)|@import\s+(?:\"([^\"]*)\"|'([^']*)')|image-set\(([^)]*)\)", re.IGNORECASE)
+CSS_URL = re.compile(r"url\(\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"')\s]*))\s*\)|@import\s+(?:\"([^\"]*)\"|'([^']*)')|(image-set\()", re.IGNORECASE)
+#: Within an image set: its candidates, and what opens or closes a bracket.
+CSS_CANDIDATE = re.compile(r"url\(\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"')\s]*))\s*\)|\"([^\"]*)\"|'([^']*)'|(\()|(\))", re.IGNORECASE)
+TYPED = re.compile(r"type\(\s*$", re.IGNORECASE)
 JSON_STRING = re.compile(r'"(?:[^"\\\x00-\x1f]|\\.)*"')
 COLON = re.compile(r"\s*:")
 BLOCK = re.compile(r"(\s*/?wp:[a-z][a-z0-9/_-]*\s+)(\{.*\})(\s*/?\s*)", re.DOTALL)
@@ -338,14 +342,29 @@ class Rewriter:
         return url
 
     def css(self, text: str, depth: int = 0) -> str:
-        def one(m: re.Match) -> str:
-            whole = m[0]
-            if m[6] is not None:
-                return whole.replace(m[6], re.sub(r"\"([^\"]*)\"|'([^']*)'", lambda q: q[0].replace(q[1] or q[2] or "", self.url(q[1] or q[2] or "")) if (q[1] or q[2]) else q[0], m[6]))
-            url = next((g for g in m.groups()[:5] if g), "")
-            return whole if not url or url.lower().startswith("data:") else whole.replace(url, self.url(url) if "\\" not in url else self.text(url))
+        edits: list[tuple[int, int, str]] = []
 
-        return CSS_URL.sub(one, text)
+        def change(m: re.Match, groups: range) -> None:
+            k = next((g for g in groups if m[g]), 0)
+            if k and not m[k].lower().startswith("data:"):
+                edits.append((m.start(k), m.end(k), self.url(m[k]) if "\\" not in m[k] else self.text(m[k])))
+
+        at = 0
+        while (m := CSS_URL.search(text, at)) is not None:
+            at = m.end()
+            if m[6] is None:
+                change(m, range(1, 6))
+                continue
+            open_ = 1  # brackets of an image set; its strings and url()s are its candidates
+            while open_ and (c := CSS_CANDIDATE.search(text, at)) is not None:
+                typed = c[4] is not None or c[5] is not None
+                if not (typed and TYPED.search(text, max(0, c.start() - 16), c.start())):
+                    change(c, range(1, 6))
+                open_ += (c[6] is not None) - (c[7] is not None)
+                at = c.end()
+            if open_:
+                break  # it never ends
+        return spliced(text, edits)
 
     def json(self, text: str, depth: int = 0, dumps: Callable[[str], str] = json.dumps, hint: str | None = None) -> str:
         """String values (not keys) of a JSON document, each by the hint; malformed text stays."""
@@ -572,6 +591,37 @@ def rewritten(value: Column, mapping: dict[str, str], *, hint: str | None = None
     return F.when(test, change(F.when(test, value))).otherwise(value)
 
 
+#: Repeated values that a column's cache holds, the sketch's counters, and bytes up to which it is broadcast.
+CACHED, COUNTERS, CACHE_BYTES = 1000, 10_000, 32 << 20
+
+
+def rewrite_repeated(df: DataFrame, column: str, mapping: dict[str, str], **how) -> DataFrame:
+    """``df`` with ``column`` rewritten, each of its most repeated values once.
+
+    A sketch of frequent items (over hashes, merged from all tasks) finds up to CACHED values
+    that occur again and again; they are rewritten once, broadcast after their bytes are
+    counted, and joined back by value; only the other rows reach Python in place. What the
+    sketch misses is rewritten row by row, to the same result.
+    """
+    value, spark = F.col(f"`{column}`"), df.sparkSession
+    found = df.where(value.isNotNull()).select(F.xxhash64(value).alias("h")).agg(F.expr(f"approx_top_k(h, {CACHED}, {COUNTERS})").alias("t")).first()["t"] or []
+    heavy = [x["item"] for x in found if x["count"] > 1]
+    if not heavy:
+        return rewrite_column(df, column, mapping, **how)
+    hashes = spark.createDataFrame([(h,) for h in heavy], "h long")
+    values = df.select(value.alias("old"), F.xxhash64(value).alias("h")).join(F.broadcast(hashes), "h").select("old").distinct()
+    # Written, so that each is rewritten once, whatever reads them.
+    cache = materialize(values.select("old", rewritten(F.col("old"), mapping, **how).alias("new")), "cache")
+    size = cache.agg(F.sum(F.octet_length("old") + F.octet_length("new"))).first()[0] or 0
+    if size > CACHE_BYTES:
+        return rewrite_column(df, column, mapping, **how)
+    known = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), value.alias("__value"))
+    met = known.join(F.broadcast(cache), F.col("__value") == F.col("old"), "left")
+    rest = rewritten(F.when(F.col("old").isNull(), F.col("__value")), mapping, **how)
+    met = met.select("__row", F.when(F.col("old").isNull(), rest).otherwise(F.col("new")).alias("__value"))
+    return met.select(*(F.col("__value").alias(c) if c == column else F.col(f"__row.`{c}`").alias(c) for c in df.columns))
+
+
 def rewrite_column(df: DataFrame, column: str, mapping: dict[str, str], *, out: str | None = None, **how) -> DataFrame:
     """``df`` with ``column`` rewritten (into ``out`` if given), as ``rewritten`` does it."""
     return df.withColumn(out or column, rewritten(F.col(f"`{column}`"), mapping, **how))

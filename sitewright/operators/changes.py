@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitewright.functions.rewrite import rewritten
@@ -51,3 +51,30 @@ def rewrite_stats(rows: DataFrame, changes: DataFrame) -> DataFrame:
     seen = rows.groupBy("table_name").agg(F.count("*").alias("n_processed"))
     hit = changes.groupBy("table_name").agg(F.countDistinct("id").alias("n_changed"))
     return seen.join(hit, "table_name", "left").select("table_name", "n_processed", F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+
+
+def counted(df: DataFrame, columns: list[str], mapping: dict[str, str], name: str | Observation, *, hints: dict[str, str] | None = None, **how) -> DataFrame:
+    """``df`` with ``columns`` rewritten, whose writing counts its rows by the way.
+
+    ``n_processed`` and ``n_changed`` come from the pass that writes the result, under the
+    observation's name, so no row is read or rewritten a second time for them.
+    """
+    hints = hints or {}
+    new = [F.struct(F.col(f"`{c}`").alias("old"), rewritten(F.col(f"`{c}`"), mapping, hint=hints.get(c), **how).alias("new")).alias(f"__{c}") for c in columns]
+    both = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *new)
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(f"`__{c}`.old").eqNullSafe(F.col(f"`__{c}`.new"))
+    seen = both.observe(name, F.count(F.lit(1)).alias("n_processed"), F.count_if(changed).alias("n_changed"))
+    return seen.select(*(F.col(f"`__{c}`.new").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
+
+
+def write_rewritten(tables: dict[str, DataFrame], columns: dict[str, list[str]], mapping: dict[str, str], target: str, **how) -> DataFrame:
+    """Write each table below ``target`` with its ``columns`` rewritten; ``table_name, n_processed, n_changed``, a row a table."""
+    rows = []
+    for name, df in tables.items():
+        seen = Observation()
+        counted(df, columns.get(name, []), mapping, seen, **how).write.parquet(f"{target}/{name}")
+        rows.append((name, seen.get["n_processed"], seen.get["n_changed"]))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, n_processed long, n_changed long")

@@ -196,6 +196,21 @@ def table_catalog(tables: dict[str, DataFrame], internal_ending: str = INTERNAL_
     return reduce(DataFrame.unionByName, listed).orderBy("name")
 
 
+def stored_catalog(tables: dict[str, DataFrame], internal_ending: str = INTERNAL_ENDING) -> DataFrame:
+    """``name, n_rows, stored_bytes`` of each table of files by name, without internal ones.
+
+    No column is read: row counts come from the files' footers, and bytes are the files' sizes
+    as stored, compressed and with all columns (``table_catalog`` measures the values).
+    """
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        files = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).groupBy("file", "size").agg(F.count("*").alias("n"))
+        return files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("stored_bytes")).select(F.lit(name).alias("name"), "n_rows", "stored_bytes")
+
+    listed = [one(n, df) for n, df in sorted(tables.items()) if not n.endswith(internal_ending)]
+    return reduce(DataFrame.unionByName, listed).orderBy("name")
+
+
 def catalog_totals(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count("*").alias("n_tables"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("data_bytes"), F.lit(0)).alias("data_bytes"))
 

@@ -7,118 +7,221 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from sitewright.functions.rewrite import rewrite_column
-from sitewright.operators.index import apply_wal
+from sitewright.operators.changes import counted
 from sitewright.shared import delete_path, names_in, read_small, write_once
 
-LOG = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType()), T.StructField("path", T.StringType()), T.StructField("ctime", T.LongType()), T.StructField("size", T.LongType()), T.StructField("type", T.StringType())])
+#: What a change log adds to an index's own columns.
+CHANGE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("op", T.StringType())])
+#: Runs of one size class that merge, rows of the lowest class, and versions that a vacuum leaves.
+FAN, SMALL, KEPT_VERSIONS = 4, 10_000, 2
 
 
-#: Parts of a followed index, by a hash of the path, and versions that a vacuum leaves.
-BUCKETS, KEPT_VERSIONS = 64, 2
+def size_class(rows: int) -> int:
+    level = 0
+    while rows > SMALL * FAN**level:
+        level += 1
+    return level
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+def merging(sizes: list[int]) -> int:
+    """Of runs from old to new, how many of the newest are merged: FAN or more that are no
+    larger in class than the FANth of them, with those that the merged run then equals."""
+    take = 0
+    while True:
+        total = sum(sizes[len(sizes) - take :])
+        least = size_class(total) if take else 0
+        more = take
+        while more < len(sizes) and size_class(sizes[-more - 1]) <= max(least, size_class(sizes[-1])):
+            more += 1
+        if more - take < (FAN if not take else 1) or more == take:
+            return take
+        take = more
 
 
-def _write_buckets(rows: DataFrame, out: str, version: int) -> None:
-    """Rows by bucket: one file a bucket, or several where the shuffle splits it."""
-    rows.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/data/v{version:012d}")
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    return [int(n[1:]) for n in names_in(spark, f"{out}/versions")]
 
 
-def _pointer(spark: SparkSession, out: str, version: int) -> dict[int, str]:
-    """Where each bucket of a version lies; a bucket without rows is absent."""
-    return {int(b): folder for b, folder in json.loads(read_small(spark, f"{out}/versions/v{version:012d}")).items()}
+def _pointer(spark: SparkSession, out: str, version: int) -> dict:
+    """A version's runs from old to new (folder and rows), and the index's schema."""
+    return json.loads(read_small(spark, f"{out}/versions/v{version:012d}"))
 
 
-def _bucket_names(spark: SparkSession, folder: str) -> dict[int, str]:
-    return {int(n.removeprefix("bucket=")): f"{folder}/{n}" for n in names_in(spark, folder) if n.startswith("bucket=")}
+def _run(spark: SparkSession, pointer: dict, which: slice) -> list[DataFrame]:
+    schema = T.StructType.fromJson(pointer["schema"]).add("op", "string").add("at", "long")
+    return [spark.read.schema(schema).parquet(r["folder"]) for r in pointer["runs"][which]]
 
 
-def read_followed(spark: SparkSession, out: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """A version of a followed index (the last one), or some of its buckets."""
-    last = max(int(n[1:]) for n in names_in(spark, f"{out}/versions")) if version is None else version
-    folders = [f for b, f in sorted(_pointer(spark, out, last).items()) if buckets is None or b in buckets]
-    schema = T.StructType([f for f in LOG if f.name not in ("seq", "op")])
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+def _last(runs: list[DataFrame]) -> DataFrame:
+    """The last change of each path in some runs."""
+    rows = reduce(DataFrame.unionByName, runs)
+    rest = [c for c in rows.columns if c != "path"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*rest), "at").alias("c")).select("path", "c.*")
+
+
+def _store(rows: DataFrame, folder: str) -> dict:
+    """A run: rows sorted by path within each file, so that readers of few paths skip most."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).sortWithinPartitions("path").write.mode("overwrite").parquet(folder)
+    return {"folder": folder, "rows": seen.get["rows"]}
+
+
+def read_followed(spark: SparkSession, out: str, version: int | None = None) -> DataFrame:
+    """A version of a followed index (the last one).
+
+    Runs are merged as they are read: the oldest one holds the index, of the others the last
+    change of each path counts.
+    """
+    pointer = _pointer(spark, out, max(_versions(spark, out)) if version is None else version)
+    (oldest,), later = _run(spark, pointer, slice(0, 1)), _run(spark, pointer, slice(1, None))
+    columns = [c for c in oldest.columns if c not in ("op", "at")]
+    if not later:
+        return oldest.select(*columns)
+    changed = _last(later)
+    return oldest.select(*columns).join(changed.select("path"), "path", "left_anti").select(*columns).unionByName(changed.where("op = '+'").select(*columns))
 
 
 def stream_wal(spark: SparkSession, folder: str, index: DataFrame, out: str, checkpoint: str, files_a_batch: int = 1000) -> StreamingQuery:
     """Follow change-log files into versions of the index below ``out`` (see ``read_followed``).
 
-    The index lies in BUCKETS parts. Batch n reads and writes the parts that its changes fall
-    into and makes version n + 1 by a pointer file that names each part's folder, so its cost
-    follows the log, not the index. A replayed batch writes the same again. Data that the last
+    The index has a string column ``path`` and any others; the log's JSON lines have them too,
+    with ``seq`` and ``op`` (+ or -). A version is a list of immutable sorted runs named by a
+    pointer file: the index as it was, then the changes of batches. Batch n adds one run with
+    the last change of each of its paths and makes version n + 1; the newest runs that have
+    come to one size class are merged to one, so each change is rewritten once a class, as
+    a log-structured index does, and what is written follows the log, not the index. Deletes
+    stay until they meet the oldest run. A replayed batch changes nothing. Data that the last
     KEPT_VERSIONS versions do not name is deleted.
     """
-    columns = [f.name for f in LOG if f.name not in ("seq", "op")]
+    own = T.StructType([f for f in index.schema if f.name not in ("op", "seq", "at")])
+    columns = own.fieldNames()
     if not names_in(spark, f"{out}/versions"):
-        _write_buckets(index.select(*columns), out, 0)
-        write_once(spark, f"{out}/versions/v{0:012d}", json.dumps(_bucket_names(spark, f"{out}/data/v{0:012d}")))
+        start = _store(index.select(*columns, F.lit("+").alias("op"), F.lit(-1).cast("long").alias("at")), f"{out}/data/v{0:012d}")
+        write_once(spark, f"{out}/versions/v{0:012d}", json.dumps({"schema": own.jsonValue(), "runs": [start]}))
 
     def fold(batch: DataFrame, n: int) -> None:
-        own = batch.sparkSession
-        touched = [r["bucket"] for r in batch.select(_bucket().alias("bucket")).distinct().collect()]  # BUCKETS at most
-        before = _pointer(own, out, n)
-        _write_buckets(apply_wal(read_followed(own, out, n, touched), batch), out, n + 1)
-        after = {b: f for b, f in before.items() if b not in touched} | _bucket_names(own, f"{out}/data/v{n + 1:012d}")
-        write_once(own, f"{out}/versions/v{n + 1:012d}", json.dumps(after))
-        _vacuum(own, out, n + 1)
-
-    log = spark.readStream.schema(LOG).option("maxFilesPerTrigger", files_a_batch).json(folder)
+        spark = batch.sparkSession
+        if n + 1 in _versions(spark, out):
+            return
+        pointer, fields = _pointer(spark, out, n), [c for c in columns if c != "path"]
+        last = batch.groupBy("path").agg(F.max_by(F.struct("op", *fields), "seq").alias("c"))
+        data = f"{out}/data/v{n + 1:012d}"
+        runs = [*pointer["runs"], _store(last.select("path", *(F.col(f"c.`{f}`").alias(f) for f in fields), "c.op", F.lit(n).cast("long").alias("at")), data)]
+        if take := merging([r["rows"] for r in runs]):
+            merged = _last(_run(spark, pointer | {"runs": runs}, slice(len(runs) - take, None)))
+            whole = take == len(runs)  # nothing older that a delete must still hide
+            runs = [*runs[: len(runs) - take], _store(merged.where("op = '+'") if whole else merged, f"{data}m")]
+        write_once(spark, f"{out}/versions/v{n + 1:012d}", json.dumps(pointer | {"runs": runs}))
+        _vacuum(spark, out, n + 1)
+
+    log = spark.readStream.schema(T.StructType([*CHANGE, *own])).option("maxFilesPerTrigger", files_a_batch).json(folder)
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _vacuum(spark: SparkSession, out: str, last: int) -> None:
-    """Delete versions before the last ones, and the buckets that those no longer name."""
+    """Delete versions before the last ones, and the runs that those no longer name."""
     kept = range(max(0, last - KEPT_VERSIONS + 1), last + 1)
-    named = {f for v in kept for f in _pointer(spark, out, v).values()}
-    for name in names_in(spark, f"{out}/versions"):
-        if int(name[1:]) < kept[0]:
-            stale = set(_pointer(spark, out, int(name[1:])).values()) - named
-            for path in (*sorted(stale), f"{out}/versions/{name}"):
-                delete_path(spark, path)
+    named = {r["folder"] for v in kept for r in _pointer(spark, out, v)["runs"]}
+    for v in _versions(spark, out):
+        if v < kept[0]:
+            delete_path(spark, f"{out}/versions/v{v:012d}")
+    for name in names_in(spark, f"{out}/data"):
+        if int(name[1:13]) <= last and f"{out}/data/{name}" not in named:
+            delete_path(spark, f"{out}/data/{name}")
 
 
 class LastChange(StatefulProcessor):
-    """The greatest sequence number of a key, and its value."""
+    """The row of a key with the greatest sequence number."""
+
+    def __init__(self, keys: tuple[str, ...], fields: T.StructType, ttl_ms: int | None) -> None:
+        self.keys, self.fields, self.names, self.ttl_ms = keys, fields, fields.fieldNames(), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "seq long, value double, deleted boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        best = self.state.get() if self.state.exists() else None
-        for pdf in rows:
-            top = pdf.loc[pdf["seq"].idxmax()]
-            if best is None or int(top["seq"]) > best[0]:
-                value = None if pd.isna(top["value"]) else float(top["value"])
-                best = (int(top["seq"]), value, bool(top["deleted"]))
-        self.state.update(best)
-        yield pd.DataFrame({"key": [key[0]], "seq": [best[0]], "value": [best[1]], "deleted": [best[2]]})
+        self.state = handle.getValueState("last", self.fields, self.ttl_ms)
+
+    def newer(self, rows: Iterator[Row]) -> bool:
+        """Take what is newer than the state; whether there was any."""
+        place, best, found = self.names.index("seq"), tuple(self.state.get()) if self.state.exists() else None, False
+        for row in rows:
+            if row["seq"] is not None and (best is None or row["seq"] > best[place]):
+                best, found = tuple(row[n] for n in self.names), True
+        if found:
+            self.state.update(best)
+        return found
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
+        self.newer(rows)
+        if self.state.exists():
+            yield Row(**dict(zip((*self.keys, *self.names), (*key, *self.state.get()), strict=True)))
+
+    def handleInitialState(self, key: tuple, initial: Row, timers: object) -> None:
+        self.newer([initial])
 
     def close(self) -> None:
         pass
 
 
-def stream_latest(changes: DataFrame) -> DataFrame:
-    """The last change of each key of a stream ``(key, seq, value, deleted)``, in update mode.
+def stream_latest(changes: DataFrame, keys: tuple[str, ...] = ("key",), *, ttl_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """The last change of each key of a stream that has ``seq`` and any other columns, in update mode.
 
-    Needs the RocksDB state store, which spills to disk.
+    Of rows with equal numbers the first that arrives counts, and rows without one do not.
+    ``initial`` is a snapshot of the same columns that the first batch starts from; a key
+    that has not changed for ``ttl_ms`` is forgotten. Needs the RocksDB state store, which
+    spills to disk; ``read_latest`` reads the state of a checkpoint.
     """
-    return changes.groupBy("key").transformWithStateInPandas(LastChange(), "key long, seq long, value double, deleted boolean", "Update", "None")
+    fields = T.StructType([f for f in changes.schema if f.name not in keys])
+    out = T.StructType([*(changes.schema[k] for k in keys), *fields])
+    start = None if initial is None else initial.select(*out.fieldNames()).groupBy(*keys)
+    processor, timing = LastChange(keys, fields, ttl_ms), "ProcessingTime" if ttl_ms else "None"
+    return changes.select(*out.fieldNames()).groupBy(*keys).transformWithState(processor, out, "Update", timing, start)
+
+
+def read_latest(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The keys and last changes that a stopped ``stream_latest`` holds in its checkpoint."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "last").load()
+    value = "value.value" if "value" in state.schema["value"].dataType.fieldNames() and len(state.schema["value"].dataType) == 2 and "ttlExpirationMs" in state.schema["value"].dataType.fieldNames() else "value"
+    return state.select("key.*", f"{value}.*")
+
+
+class RewriteStats(StreamingQueryListener):
+    """Totals of the metrics that streams report under given names, as their batches end."""
 
+    def __init__(self) -> None:
+        self.totals: dict[str, dict[str, int]] = {}
 
-def stream_rewrite(content: DataFrame, column: str, mapping: dict[str, str], hint: str | None = None) -> DataFrame:
-    """New content rewritten as it arrives: stateless, any sink."""
-    return rewrite_column(content, column, mapping, hint=hint)
+    def onQueryStarted(self, event: object) -> None:
+        pass
+
+    def onQueryProgress(self, event: object) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            found = self.totals.setdefault(name, {})
+            for metric, n in row.asDict().items():
+                found[metric] = found.get(metric, 0) + (n or 0)
+
+    def onQueryIdle(self, event: object) -> None:
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:
+        pass
+
+
+def stream_rewrite(content: DataFrame, column: str, mapping: dict[str, str], hint: str | None = None, stats: str | None = None) -> DataFrame:
+    """New content rewritten as it arrives: stateless, any sink.
+
+    With ``stats`` each batch reports ``n_processed`` and ``n_changed`` under that name, from
+    the pass that writes it (see ``RewriteStats``).
+    """
+    if stats is None:
+        return rewrite_column(content, column, mapping, hint=hint)
+    return counted(content, [column], mapping, stats, hints={column: hint} if hint else None)
 
 
 def stream_scan(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
@@ -37,19 +39,94 @@ def test_publishers_that_meet(spark):
     assert publish.read_live(spark, target, "t").agg(F.min("id")).first()[0] == last == publish.read_live(spark, target, "u").first()["k"]
 
 
-def test_followed_index_touches_its_buckets(spark):
-    """A batch rewrites the buckets of its changes, old data goes, and a replayed batch changes nothing."""
+def test_followed_index_is_log_structured(spark, monkeypatch):
+    """Random changes over many batches with small size classes: reads equal a dictionary's, old data
+    goes, a replay changes nothing, and what is written follows the log."""
     from sitewright.streaming import jobs
 
-    out = scratch_path(spark, "followed")
-    start = spark.range(1000).selectExpr("concat('p', id) AS path", "0L AS ctime", "id AS size", "'file' AS type")
-    for n in range(3):
-        spark.createDataFrame([(n, "+", f"p{n}", 7, 7, "file"), (n, "-", f"p{n + 500}", None, None, None)], jobs.LOG).coalesce(1).write.mode("append").json(f"{out}/log")
-        jobs.stream_wal(spark, f"{out}/log", start, f"{out}/index", f"{out}/checkpoint").awaitTermination()
-    assert names_in(spark, f"{out}/index/versions") == ["v000000000002", "v000000000003"]
-    assert len(names_in(spark, f"{out}/index/data/v000000000003")) <= 3  # its buckets and a mark
-    rows = {r["path"]: r["size"] for r in jobs.read_followed(spark, f"{out}/index").collect()}
-    assert len(rows) == 997 and all(rows[f"p{n}"] == 7 and f"p{n + 500}" not in rows for n in range(3))
+    monkeypatch.setattr(jobs, "SMALL", 8)
+    monkeypatch.setattr(jobs, "FAN", 2)
+    out, rng = scratch_path(spark, "followed"), random.Random(2)
+    start = spark.range(600).selectExpr("concat('p', id) AS path", "named_struct('size', id, 'note', CAST(NULL AS STRING)) AS meta")
+    want = {f"p{k}": (k, None) for k in range(600)}
+    written, store = [], jobs._store
+    monkeypatch.setattr(jobs, "_store", lambda rows, folder: written.append(store(rows, folder)) or written[-1])
+    schema = T.StructType([*jobs.CHANGE, *start.schema])
+    follow = lambda: jobs.stream_wal(spark, f"{out}/log", start, f"{out}/index", f"{out}/checkpoint").awaitTermination()
+    for n in range(9):
+        changes = [(100 * n + k, rng.choice("++-"), f"p{rng.randrange(640)}", {"size": n, "note": str(k)}) for k in range(6)]
+        for _, op, path, meta in changes:
+            want.pop(path, None)
+            if op == "+":
+                want[path] = (n, meta["note"])
+        spark.createDataFrame(changes, schema).coalesce(1).write.mode("append").json(f"{out}/log")
+        follow()
+        if n in (3, 8):
+            assert {r["path"]: tuple(r["meta"]) for r in jobs.read_followed(spark, f"{out}/index").collect()} == want
+    assert names_in(spark, f"{out}/index/versions") == ["v000000000008", "v000000000009"]
+    runs = [jobs._pointer(spark, f"{out}/index", v)["runs"] for v in (8, 9)]
+    assert {f"{out}/index/data/{n}" for n in names_in(spark, f"{out}/index/data")} == {r["folder"] for v in runs for r in v}
+    assert 2 <= len(runs[1]) <= 5 and written[0]["rows"] == 600 and sum(r["rows"] for r in written[1:]) < 54 * 5
+    before = len(written)
+    follow()
+    assert len(written) == before
+
+
+def test_runs_merge_by_size_class():
+    from sitewright.streaming import jobs
+
+    sizes, wrote = [1_000_000], 0
+    for _ in range(500):
+        sizes.append(1000)
+        wrote += 1000
+        if take := jobs.merging(sizes):
+            total = sum(sizes[len(sizes) - take :])
+            sizes, wrote = [*sizes[: len(sizes) - take], total], wrote + total
+        assert len(sizes) <= 4 * 5
+    assert sum(sizes) == 1_500_000 and wrote < 500_000 * 8
+
+
+def test_latest_of_any_columns(spark):
+    """Any value columns, a snapshot to start from, a restart, and the state read back."""
+    from sitewright.streaming import jobs
+
+    base, schema = scratch_path(spark, "latest"), "site string, k int, seq long, v struct<a:int,b:array<string>>, at timestamp"
+    initial = spark.createDataFrame([("x", 1, 5, (50, ["s"]), None), ("y", 2, 1, (10, []), None)], schema)
+    batches = [[("x", 1, 4, (40, None), None), ("y", 2, 3, (30, ["q"]), None), (None, 3, 1, (11, None), None)], [("y", 2, 2, (20, None), None), ("x", 1, 9, None, None), ("z", 9, None, (1, None), None)]]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+            got = jobs.stream_latest(spark.readStream.schema(schema).parquet(f"{base}/in"), ("site", "k"), initial=initial)
+            write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/n={n}")
+            got.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        state = {(r["site"], r["k"]): (r["seq"], r["v"] and tuple(r["v"])) for r in jobs.read_latest(spark, f"{base}/checkpoint").collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert state == {("x", 1): (9, None), ("y", 2): (3, (30, ["q"])), (None, 3): (1, (11, None))}
+    first = {(r["site"], r["k"]): r["seq"] for r in spark.read.parquet(f"{base}/out/n=0").collect()}
+    assert first[("x", 1)] == 5 and first[("y", 2)] == 3 and first[(None, 3)] == 1
+
+
+def test_streamed_rewrite_counts_as_it_writes(spark):
+    from sitewright.streaming import jobs
+
+    base, listener = scratch_path(spark, "stats"), jobs.RewriteStats()
+    rows = spark.range(40).selectExpr("id", "IF(id % 4 = 0, concat('https://old.com/', id), IF(id = 7, NULL, 'none')) AS v")
+    rows.write.parquet(f"{base}/in")
+    spark.streams.addListener(listener)
+    try:
+        done = jobs.stream_rewrite(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), "v", {"https://old.com": "https://new.com"}, stats="pages")
+        done.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+        for _ in range(50):
+            if listener.totals.get("pages", {}).get("n_processed") == 40:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert listener.totals["pages"] == {"n_processed": 40, "n_changed": 10}
+    assert spark.read.parquet(f"{base}/out").where("v LIKE 'https://new.com/%'").count() == 10
 
 
 def test_chunks_keep_any_bytes(spark):

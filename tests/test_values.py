@@ -328,3 +328,32 @@ def test_malformed_serialized_values(raw):
 def test_json_values_move_and_keys_stay(tree, indent, ascii_only):
     text = lambda o: json.dumps(o, indent=indent, ensure_ascii=ascii_only)
     assert json.loads(Rewriter({"https://old.com": "https://new.example"}).json(text(tree))) == json.loads(text(moved(tree)))
+
+
+@pytest.mark.parametrize(
+    "css, want",
+    [
+        ("a{b:image-set('https://old.com/a' 1x, url(https://old.com/b) 2x, url( \"https://old.com/c\" ) type(\"image/png\") 3x)} c{d:url(https://old.com/d)}",) * 1
+        + ("a{b:image-set('https://new.com/a' 1x, url(https://new.com/b) 2x, url( \"https://new.com/c\" ) type(\"image/png\") 3x)} c{d:url(https://new.com/d)}",),
+        ("image-set(linear-gradient(red, blue) 1x, 'https://old.com/a' 2x) url('https://old.com/a')", "image-set(linear-gradient(red, blue) 1x, 'https://new.com/a' 2x) url('https://new.com/a')"),
+        ("url(old) url(https://old.com/old)", "url(old) url(https://new.com/old)"),
+        ("image-set('https://old.com/a' 1x", "image-set('https://new.com/a' 1x"),
+        ("url(data:image/png;base64,https://old.com)", "url(data:image/png;base64,https://old.com)"),
+    ],
+)
+def test_css_candidates(css, want):
+    assert Rewriter({"https://old.com": "https://new.com"}).css(css) == want
+
+
+def test_repeated_values_are_rewritten_once(spark, monkeypatch):
+    from sitewright.functions import rewrite
+
+    mapping = {"https://old.com": "https://new.com"}
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 100 = 0 THEN NULL WHEN id % 3 = 0 THEN concat('see https://old.com/', id % 30) WHEN id % 7 = 0 THEN concat('https://old.com/one/', id) ELSE 'nothing' END AS v", "1 AS __new")
+    got, want = rewrite.rewrite_repeated(df, "v", mapping), rewrite.rewrite_column(df, "v", mapping)
+    assert got.columns == df.columns and sorted(got.collect()) == sorted(want.collect())
+    monkeypatch.setattr(rewrite, "CACHE_BYTES", 10)
+    assert sorted(rewrite.rewrite_repeated(df, "v", mapping).collect()) == sorted(want.collect())
+    once = df.where("id % 7 = 0 AND id % 3 > 0 AND id % 100 > 0")
+    assert rewrite.rewrite_repeated(once, "v", mapping).where("v LIKE 'https://new%'").count() == once.count()
+    assert rewrite.rewrite_repeated(df.limit(0), "v", mapping).count() == 0
