@@ -55,8 +55,7 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, read back from the compacted store that they arrived in."""
     docs = table(spark, sf_dir, "documents")
     store = shards.ShardStore(spark, scratch_path(spark, "shards"), docs.schema)
-    for arrival in shards.arrivals(docs, "doc_id"):
-        store.append(arrival)
+    shards.arrive(store, docs, "doc_id")
     return store.read(store.compact_all()).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 

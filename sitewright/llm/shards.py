@@ -23,7 +23,7 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,8 @@ from sitewright.shared import names_in, read_small, write_once
 
 #: Bytes of a merged file, shards of a run, and the size below which all are one tier.
 TARGET_BYTES, FANOUT, SMALLEST = 128 << 20, 4, 1 << 20
-#: Files of a manifest at most.
-MANIFEST_FILES = 16
+#: Files of a manifest at most, and the column that numbers the arrivals of one write.
+MANIFEST_FILES, PART = 16, "__arrival"
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("bytes", T.LongType()), T.StructField("rows", T.LongType()), T.StructField("tier", T.IntegerType())])
 
@@ -101,11 +101,26 @@ class ShardStore:
         found = self.spark.read.schema(self.schema).parquet(folder).groupBy(file["file_name"].alias("name"), file["file_size"].alias("size")).agg(F.count("*").alias("rows"))
         return [Shard(f"{folder}/{r['name']}", r["size"], r["rows"], tier_of(r["size"])) for r in found.collect()]
 
+    def append_parts(self, df: DataFrame, part: Column) -> int:
+        """Write ``df`` in one pass, its rows as shards of the arrivals that ``part`` numbers, and
+        commit these one after the other, each as a version of its own."""
+        folder = f"{self.path}/data/arrival-{uuid.uuid4().hex}"
+        df.select(*(F.col(f"`{f.name}`") for f in self.schema), part.alias(PART)).write.partitionBy(PART).parquet(folder)
+        file = F.col("_metadata")
+        place = F.regexp_extract(file["file_path"], rf"({PART}=([^/]+)/[^/]+)$", 1)
+        found = self.spark.read.schema(self.schema).parquet(folder).groupBy(place.alias("name"), file["file_size"].alias("size")).agg(F.count("*").alias("rows"))
+        arrived: dict[int, list[Shard]] = {}
+        for r in found.collect():  # a row a file of this write
+            arrived.setdefault(int(r["name"].split("/")[0].split("=")[1]), []).append(Shard(f"{folder}/{r['name']}", r["size"], r["rows"], tier_of(r["size"])))
+        return max((self._commit_next(added) for _, added in sorted(arrived.items())), default=self.latest())
+
     def append(self, df: DataFrame) -> int:
         """Write ``df``'s partitions as shards and commit them, after whoever was faster."""
         folder = f"{self.path}/data/arrival-{uuid.uuid4().hex}"
         df.select(*(F.col(f"`{f.name}`") for f in self.schema)).write.parquet(folder)
-        added = self._written(folder)
+        return self._commit_next(self._written(folder))
+
+    def _commit_next(self, added: list[Shard]) -> int:
         while True:
             try:
                 return self.commit(self.latest(), added)
@@ -164,8 +179,11 @@ class ShardStore:
         gone = 0
         for folder in fs.listStatus(data) if fs.exists(data) else []:
             name = folder.getPath().getName()
-            files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
-            stale = [f for f in files if f"{self.path}/data/{name}/{f.getName()}" not in named]
+            found, files = fs.listFiles(folder.getPath(), True), []
+            while found.hasNext():
+                files.append(found.next().getPath())
+            files = [f for f in files if f.getName().endswith(".parquet")]
+            stale = [f for f in files if f"{self.path}/data/{name}/" + f.toString().split(f"/data/{name}/", 1)[1] not in named]
             for f in stale:
                 fs.delete(f, False)
             gone += len(stale)
@@ -189,16 +207,18 @@ class ShardStore:
 ARRIVALS = (1, 1, 1, 1, 2, 2, 2, 2, 4, 4, 8, 8)
 
 
-def arrivals(df: DataFrame, key: str, parts: tuple[int, ...] = ARRIVALS) -> list[DataFrame]:
+def arrive(store: ShardStore, df: DataFrame, key: str, parts: tuple[int, ...] = ARRIVALS) -> None:
     """A file-backed table as arrivals of several sizes.
 
     A table of many files arrives by whole files, so each is read once; one of fewer files
-    than parts by a hash of ``key``, each row in one arrival.
+    than parts by a hash of ``key``, each row in one arrival, all written in one pass.
     """
     edges = [sum(parts[:k]) for k in range(len(parts) + 1)]
     files = sorted(df.inputFiles())
     if len(files) >= len(parts):
         cuts = sorted({len(files) * e // edges[-1] for e in edges})
-        return [df.sparkSession.read.schema(df.schema).parquet(*files[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    place = F.pmod(F.xxhash64(key), F.lit(edges[-1]))
-    return [df.where((place >= a) & (place < b)) for a, b in zip(edges, edges[1:], strict=False)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            store.append(df.sparkSession.read.schema(df.schema).parquet(*files[a:b]))
+        return
+    owner = [k for k, n in enumerate(parts) for _ in range(n)]
+    store.append_parts(df, F.get(F.array(*map(F.lit, owner)), F.pmod(F.xxhash64(key), F.lit(edges[-1])).cast("int")))

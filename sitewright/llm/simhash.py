@@ -101,14 +101,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of ``(a, b)``: the least node that it reaches.
 
     Alternating large-star and small-star steps over DataFrames, each written to the shared
-    folder; the number of steps grows with the logarithm of the longest chain.
+    folder; the number of steps grows with the logarithm of the longest chain. Least
+    neighbours are combined before they shuffle and written too, so that the edges join a
+    plain table: adaptive execution splits the edges of a node that very many share.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "simhash-edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "simhash-least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "simhash-edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = materialize(small, "simhash-edges")

@@ -369,9 +369,12 @@ def test_shards_lose_no_writer(spark, monkeypatch):
 def test_op5_merges_a_table_of_one_file(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = shards.ShardStore(spark, scratch_path(spark, "test-op5"), docs.schema)
-    for arrival in shards.arrivals(docs, "doc_id"):
-        store.append(arrival)
-    assert len(store.manifest()) == 12 and len(store.manifest(store.compact_all())) == 1
+    shards.arrive(store, docs, "doc_id")
+    ids = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    held = lambda: sorted(r["doc_id"] for r in store.read().select("doc_id").collect())
+    assert store.versions() == list(range(1, 13)) and len(store.manifest()) == 12 and store.read().columns == docs.columns
+    assert store.vacuum(keep=1) == 0 and held() == ids
+    assert len(store.manifest(store.compact_all())) == 1 and store.vacuum(keep=1) == 12 and held() == ids
 
 
 def test_tiers_merge_similar_sizes():
