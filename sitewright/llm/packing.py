@@ -37,8 +37,8 @@ WINDOW, SHARD_DOCS, DENSE = 1024, 1024, 24
 DIRECTIONS, LEAF_SAMPLE, MOST_LEAVES = 64, 32, 1024
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Units (a word with the space before it) that a worker keeps; then it starts anew.
-CACHE_UNITS = 1_000_000
+#: Units (a word with the space before it) that a worker keeps: those of late, and those before them.
+CACHE_UNITS = 300_000
 #: The id that ends a document.
 END = 0
 
@@ -54,11 +54,16 @@ class Units(dict):
     def __init__(self, tokenizer, special: list[str]):
         self.tokenizer, self.special = tokenizer, special
         self.ranked = _ranked(tokenizer)
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) > CACHE_UNITS:
+        if 2 * len(self) >= CACHE_UNITS:
+            self.before = dict(self)
             self.clear()
-        got = self[unit] = array("I", self.ranked(" " + unit)).tobytes()
+        got = self.before.pop(unit, None)
+        if got is None:
+            got = array("I", self.ranked(" " + unit)).tobytes()
+        self[unit] = got
         return got
 
     def ids(self, text: str) -> bytes:
@@ -145,6 +150,7 @@ def tokenize(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
                 ids = part.column(0).take(pa.array(doc, pa.int64()))
                 columns = [ids, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(kept, pa.binary()), pa.array(key, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "shard_key"])
+        pa.default_memory_pool().release_unused()
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -41,6 +41,8 @@ IDENTIFIER = re.compile(r"(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12
 ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,15}://|(?<![a-zA-Z0-9-])(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,6}/|(?<![a-zA-Z0-9-])(?:[a-z0-9-]{1,63}\.){2,8}[a-z]{2,6}(?=:|\Z)")
 MAILED = re.compile(r"@[A-Za-z0-9-]+\.[A-Za-z]")
 BREAKS = re.compile(r"[\s\"'`<>(){}\[\],;|?&#]")
+#: Rows that are masked at once.
+SLICE = 256
 #: The byte-level vocabularies' split (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -150,8 +152,11 @@ def redact(df: DataFrame, vocabulary: str, *, text_col: str = "text", mask: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
-            texts = pa.array([masked(t.as_py(), vocabulary, mask) for t in batch.column(k)], batch.schema.field(k).type)
-            yield batch.set_column(k, batch.schema.field(k), texts)
+            place = batch.schema.get_field_index(text_col)
+            for at in range(0, batch.num_rows, SLICE):  # so that a worker holds few texts beside a batch
+                part = batch.slice(at, SLICE)
+                texts = pa.array([masked(t.as_py(), vocabulary, mask) for t in part.column(place)], batch.schema.field(place).type)
+                yield part.set_column(place, batch.schema.field(place), texts)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)
