@@ -37,8 +37,9 @@ WINDOW, SHARD_DOCS, DENSE = 1024, 1024, 24
 DIRECTIONS, LEAF_SAMPLE, MOST_LEAVES = 64, 32, 1024
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Units (a word with the space before it) that a worker keeps: those of late, and those before them.
-CACHE_UNITS = 300_000
+#: Units (a word with the space before it) that a worker keeps: those of late, and those before
+#: them. More save time, fewer memory where executors also hold other jobs' workers.
+CACHE_UNITS = 1_000_000
 #: The id that ends a document.
 END = 0
 
@@ -51,13 +52,13 @@ ODD_OTHER = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, ra
 class Units(dict):
     """Token ids, as bytes, of a unit: what follows a single space up to the next."""
 
-    def __init__(self, tokenizer, special: list[str]):
-        self.tokenizer, self.special = tokenizer, special
+    def __init__(self, tokenizer, special: list[str], keep: int = CACHE_UNITS):
+        self.tokenizer, self.special, self.keep = tokenizer, special, keep
         self.ranked = _ranked(tokenizer)
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        if 2 * len(self) >= CACHE_UNITS:
+        if 2 * len(self) >= self.keep:
             self.before = dict(self)
             self.clear()
         got = self.before.pop(unit, None)
@@ -111,24 +112,24 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @lru_cache(maxsize=2)
-def units(path: str) -> Units:
+def units(path: str, keep: int = CACHE_UNITS) -> Units:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return Units(tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
+    return Units(tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], keep)
 
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def tokenize(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def tokenize(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Full windows (``ids`` null) and remainders (with ``ids``) of each row's whole text."""
     schema = PIECE.format(id=df.schema[id_col].dataType.simpleString()) + ", ids binary, shard_key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = units(vocabulary)
+        u = units(vocabulary, cache_units)
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -318,14 +319,15 @@ def order_by_neighbours(tokens: list[np.ndarray], weight_of: np.ndarray, mean: f
         sequence += 1
 
 
-def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Tokens are written once to the shared folder; full windows never shuffle, remainders
-    shuffle once, by shard. The driver holds document frequencies only.
+    shuffle once, by shard. The driver holds document frequencies only; each worker keeps the
+    tokens of ``cache_units`` units.
     """
     spark = df.sparkSession
-    pieces = materialize(tokenize(df, vocabulary, id_col=id_col, text_col=text_col, window=window).withColumn("row", F.monotonically_increasing_id()), "packing-tokens")
+    pieces = materialize(tokenize(df, vocabulary, id_col=id_col, text_col=text_col, window=window, cache_units=cache_units).withColumn("row", F.monotonically_increasing_id()), "packing-tokens")
     rests = pieces.where("ids is not null")
     n, mean, frequency = token_statistics(rests)
     weights = spark.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))
