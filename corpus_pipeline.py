@@ -36,8 +36,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces that fill the training sequences."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    """The pieces that fill the training sequences.
+
+    Workers keep fewer units here, as executors still hold what the stages before have left.
+    """
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), cache_units=300_000)
 
 
 STAGES = [("quality", quality), ("rules", quality_rules), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", pack)]
