@@ -18,14 +18,16 @@ are not carried.
 
 from __future__ import annotations
 
+import json
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +39,8 @@ WINDOW, SHARD_DOCS, DENSE = 1024, 1024, 24
 DIRECTIONS, LEAF_SAMPLE, MOST_LEAVES = 64, 32, 1024
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
-#: Units (a word with the space before it) that a worker keeps: those of late, and those before
-#: them. More save time, fewer memory where executors also hold other jobs' workers.
-CACHE_UNITS = 1_000_000
+#: Bytes of the texts (about) whose units are encoded together; a longer text goes by itself.
+TOGETHER = 8 << 20
 #: The id that ends a document.
 END = 0
 
@@ -49,62 +50,66 @@ ODD_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
 ODD_OTHER = "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
-class Units(dict):
-    """Token ids, as bytes, of a unit: what follows a single space up to the next."""
+class Encoder:
+    """A byte-level vocabulary's token ids, as bytes, of texts: equal to the library's."""
 
-    def __init__(self, tokenizer, special: list[str], keep: int = CACHE_UNITS):
-        self.tokenizer, self.special, self.keep = tokenizer, special, keep
-        self.ranked = _ranked(tokenizer)
-        self.before: dict[str, bytes] = {}
+    def __init__(self, tokenizer):
+        import tiktoken
 
-    def __missing__(self, unit: str) -> bytes:
-        if 2 * len(self) >= self.keep:
-            self.before = dict(self)
-            self.clear()
-        got = self.before.pop(unit, None)
-        if got is None:
-            got = array("I", self.ranked(" " + unit)).tobytes()
-        self[unit] = got
-        return got
+        from sitewright.llm.bpe import byte_alphabet
+
+        self.tokenizer = tokenizer
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        back = {c: b for b, c in byte_alphabet().items()}
+        vocabulary = json.loads(tokenizer.to_str())["model"]["vocab"]
+        ranks = {bytes(back[c] for c in t): i for t, i in vocabulary.items() if all(c in back for c in t)}
+        self.opens = np.zeros(max(ranks.values(), default=0) + 1, dtype=bool)  # ids that start with a space
+        self.opens[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
+        self.encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def ids(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self.whole(text)
-        first, *units = text.split(" ")
-        # A unit stands alone unless it is empty or starts or ends with white space.
-        odd = "  " in text or "\n " in text or " \n" in text or text.endswith(" ") or any(c in text for c in ODD_ASCII)
-        if odd or not text.isascii() and any(c in text for c in ODD_OTHER):
-            return self.joined(first, units)
-        return array("I", self.ranked(first)).tobytes() + b"".join(map(self.__getitem__, units))
-
-    def joined(self, first: str, units: list[str]) -> bytes:
-        """As ``ids``, with units that touch white space encoded together with the next."""
-        out, run = [], first
-        for u in units:
-            if u and not u[0].isspace() and not run[-1:].isspace() and run:
-                out.append(run)
-                run = " " + u
-            else:
-                run += " " + u
-        out.append(run)
-        return b"".join(self[r[1:]] if k and r[0] == " " and r[1:] and not r[1:].isspace() and not r[1].isspace() else np.array(self.ranked(r), dtype="<u4").tobytes() for k, r in enumerate(out))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.encode(text).astype("<u4").tobytes()
 
-def _ranked(tokenizer):
-    """The vocabulary's encoder for a text without special tokens."""
-    import json
-
-    import tiktoken
-
-    from sitewright.llm.bpe import byte_alphabet
-
-    model = json.loads(tokenizer.to_str())["model"]
-    back = {c: b for b, c in byte_alphabet().items()}
-    ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if all(c in back for c in t)}
-    return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def parts(self, text: str) -> bool:
+        """Whether all units of the text (what follows a single space up to the next) stand alone:
+        none is empty or starts or ends with white space."""
+        if any(s in text for s in self.special):
+            return False
+        odd = "  " in text or "\n " in text or " \n" in text or text.endswith(" ") or any(c in text for c in ODD_ASCII)
+        return not odd and (text.isascii() or not any(c in text for c in ODD_OTHER))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. The distinct units of a batch are encoded once, as one text: a
+        unit's first token is its only one that starts with a space, so the units' ids part there."""
+        out = [None if self.parts(t) else self.ids(t) for t in texts]
+        plain = [k for k, ids in enumerate(out) if ids is None]
+        if not plain:
+            return out
+        # Each text's first unit has no space before it and is encoded by itself.
+        lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+        firsts, flat = lists.offsets.to_numpy()[:-1], lists.values
+        heads = [self.encode(t) for t in flat.take(pa.array(firsts)).to_pylist()]
+        later = np.ones(len(flat), dtype=bool)
+        later[firsts] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        distinct = len(coded.dictionary)
+        ids = self.encode("".join((" " + coded.dictionary.to_numpy(zero_copy_only=False)) if distinct else []))
+        begin = np.flatnonzero(self.opens[ids]) if distinct else np.zeros(0, dtype=np.int64)
+        sizes = np.diff(begin, append=len(ids)) if distinct else begin
+        own = np.array([len(h) for h in heads])
+        ids, begin = np.concatenate([ids, *heads]).astype("<u4"), np.concatenate([begin, len(ids) + np.cumsum(own) - own])
+        sizes = np.concatenate([sizes, own])
+        unit = np.empty(len(flat), dtype=np.int64)
+        unit[later], unit[firsts] = coded.indices.to_numpy(), np.arange(distinct, distinct + len(heads))
+        begin, sizes = begin[unit], sizes[unit]
+        end = np.cumsum(sizes)
+        raw = ids[np.arange(end[-1]) + np.repeat(begin - end + sizes, sizes)].tobytes()
+        to = (4 * end[np.append(firsts[1:], len(flat)) - 1]).tolist()
+        for k, at, stop in zip(plain, [0, *to[:-1]], to, strict=True):
+            out[k] = raw[at:stop]
+        return out
 
 
 #: The byte-level vocabularies' split (fixed by the vocabulary).
@@ -112,31 +117,33 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @lru_cache(maxsize=2)
-def units(path: str, keep: int = CACHE_UNITS) -> Units:
+def encoder(path: str) -> Encoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return Units(tokenizer, [t.content for t in tokenizer.get_added_tokens_decoder().values()], keep)
+    return Encoder(tokenizer)
 
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def tokenize(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cache_units: int = CACHE_UNITS) -> DataFrame:
+def tokenize(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Full windows (``ids`` null) and remainders (with ``ids``) of each row's whole text."""
     schema = PIECE.format(id=df.schema[id_col].dataType.simpleString()) + ", ids binary, shard_key long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = units(vocabulary, cache_units)
+        u = encoder(vocabulary)
         end = np.array([END], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            chunk = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)) // TOGETHER
+            bounds = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows]
+            for at, to in pairwise(bounds):
+                part = batch.slice(at, to - at)
                 doc, start, length, crc, total, kept, key = [], [], [], [], [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
-                    raw = u.ids(text or "") + end
+                for k, raw in enumerate(u.batch([t or "" for t in part.column(1).to_pylist()])):
+                    raw += end
                     n = len(raw) // 4
                     for s in range(0, n, window):
                         own = raw[4 * s : 4 * (s + window)]
@@ -146,7 +153,8 @@ def tokenize(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
                         length.append(len(own) // 4)
                         crc.append(zlib.crc32(own))
                         total.append(n)
-                        kept.append(None if full else np.frombuffer(own, "<u4").astype("<u2" if max(own[2::4]) == 0 == max(own[3::4]) else "<u4").tobytes())
+                        numbers = None if full else np.frombuffer(own, "<u4")
+                        kept.append(None if full else numbers.astype("<u2" if numbers.max() < 1 << 16 else "<u4").tobytes())
                         key.append(zlib.crc32(own, 1))
                 ids = part.column(0).take(pa.array(doc, pa.int64()))
                 columns = [ids, *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(kept, pa.binary()), pa.array(key, pa.int64())]
@@ -319,15 +327,14 @@ def order_by_neighbours(tokens: list[np.ndarray], weight_of: np.ndarray, mean: f
         sequence += 1
 
 
-def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cache_units: int = CACHE_UNITS) -> DataFrame:
+def pack(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Tokens are written once to the shared folder; full windows never shuffle, remainders
-    shuffle once, by shard. The driver holds document frequencies only; each worker keeps the
-    tokens of ``cache_units`` units.
+    shuffle once, by shard. The driver holds document frequencies only.
     """
     spark = df.sparkSession
-    pieces = materialize(tokenize(df, vocabulary, id_col=id_col, text_col=text_col, window=window, cache_units=cache_units).withColumn("row", F.monotonically_increasing_id()), "packing-tokens")
+    pieces = materialize(tokenize(df, vocabulary, id_col=id_col, text_col=text_col, window=window).withColumn("row", F.monotonically_increasing_id()), "packing-tokens")
     rests = pieces.where("ids is not null")
     n, mean, frequency = token_statistics(rests)
     weights = spark.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))

@@ -529,10 +529,15 @@ def test_packing_is_whole(spark, sf_dir, odd, empty, docs):
     assert len(twice) == 2 and packing.pack(odd, BYTE_BPE).where("doc_id is null").count() >= 1 and packing.pack(empty, BYTE_BPE).count() == 0
 
 
-def test_units_equal_library():
-    u, t = packing.units(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
-    for _, x in ODD:
-        assert np.frombuffer(u.ids(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+def test_encoder_equals_library():
+    u, t = packing.encoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    rng = np.random.default_rng(5)
+    parts = ["a", "b", "The", " ", " ", " ", "\n", "\t", "  ", "\u3000", "\x85", "é", "中文", "'s", "don't", "<|endoftext|>", "12", "!!", "\r\n", "\x1f", "x\n", "\u200b"]
+    plain = ["a", "The", " ", " ", "é", "中文", "'s", "12", "!!", "x\ny"]
+    made = ["".join(rng.choice(p, rng.integers(0, 14))) for p in (parts, plain) for _ in range(3000)]
+    for texts in ([], [""], ["", ""], ["word"], [" "], [x or "" for _, x in ODD], *(made[k : k + 40] for k in range(0, len(made), 40))):
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in u.batch(texts)]
+        assert got == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_neighbours_share_a_window():
