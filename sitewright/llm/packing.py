@@ -40,7 +40,7 @@ DIRECTIONS, LEAF_SAMPLE, MOST_LEAVES = 64, 32, 1024
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 #: Bytes of the texts (about) whose units are encoded together; a longer text goes by itself.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: The id that ends a document.
 END = 0
 
