@@ -57,11 +57,12 @@ def path_neighbours(diff: DataFrame, buckets: int | None = None) -> DataFrame:
 def apply_mutations(index: DataFrame, mutations: DataFrame) -> DataFrame:
     """Upserts (+) and deletes (-) by path; what stood at or below a mutated path goes.
 
-    Mutations do not cancel each other: an upsert below a deleted path stays.
+    Mutations do not cancel each other: an upsert below a deleted path stays. One root may take
+    the whole index along, so what goes is never broadcast.
     """
     gone = below_any(index, mutations)
     upserts = mutations.where("op = '+'").select(*index.columns)
-    return index.join(gone, "path", "left_anti").unionByName(upserts)
+    return index.join(gone.hint("merge"), "path", "left_anti").unionByName(upserts)
 
 
 def apply_wal(index: DataFrame, log: DataFrame) -> DataFrame:

@@ -19,19 +19,21 @@ def below_any(paths: DataFrame, roots: DataFrame, proper: bool = False) -> DataF
     an ancestor, so the exploded rows only shuffle where that is bounded: few roots are
     broadcast; of many, those that are an ancestor at all are found among distinct ancestors
     (combined before they shuffle) and broadcast if these are few; else each root is joined
-    in SALTS parts.
+    in SALTS parts. The joins of uncounted or many roots are merge joins by hint: the optimizer
+    sees the size of their files, not of their rows (nor of SALTS copies of these), and would
+    broadcast them through the driver.
     """
     chain = paths.select("path").select(F.col("path").alias("own"), F.explode((ancestors if proper else with_self)(F.col("path"))).alias("path"))
     roots = materialize(roots.select("path").where("path is not null").distinct(), "roots")
     if _few(roots):
         hit = chain.join(F.broadcast(roots), "path", "left_semi")
     else:
-        found = materialize(chain.select("path").distinct().join(roots, "path", "left_semi"), "roots")
+        found = materialize(chain.select("path").distinct().join(roots.hint("merge"), "path", "left_semi"), "roots")
         if _few(found):
             hit = chain.join(F.broadcast(found), "path", "left_semi")
         else:
             salted = found.select("path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            hit = chain.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int")).join(salted, ["path", "salt"], "left_semi")
+            hit = chain.withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["path", "salt"], "left_semi")
     return hit.select(F.col("own").alias("path")).distinct()
 
 

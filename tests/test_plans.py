@@ -144,6 +144,33 @@ def test_a_snapshot_under_one_root_is_no_task(spark):
     assert done.count() == sum(k % 3 != 1 for k in range(5000))
 
 
+def test_many_mutations_are_not_broadcast(spark, monkeypatch):
+    """More roots than may be broadcast, in files under the optimizer's limit: no join broadcasts them."""
+    from sitewright.operators import tree as t
+
+    monkeypatch.setattr(t, "BROADCAST_ROOTS", 10)
+    start = spark.range(3000).selectExpr("concat('root/d', id % 3, '/f', id) AS path", "id AS ctime", "id AS size", "'file' AS type")
+    some = spark.range(0, 3000, 3).where("id % 2 = 0").selectExpr("id AS seq", "if(id % 4 = 0, '-', '+') AS op", "concat('root/d0/f', id) AS path", "id AS ctime", "id + 7 AS size", "'file' AS type")
+    muts = some.union(spark.sql("SELECT 3000L, '-', 'root/d1', NULL, NULL, NULL"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")  # any broadcast is an error
+    try:
+        done = {r["path"]: r["size"] for r in index.apply_mutations(start, muts).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    stays = {f"root/d{k % 3}/f{k}": k for k in range(3000) if k % 3 == 2 or k % 6 == 3}
+    assert done == stays | {f"root/d0/f{k}": k + 7 for k in range(0, 3000, 6) if k % 4}
+
+
+def test_what_goes_is_not_broadcast(spark):
+    """One root takes the whole index along: that is not broadcast, however small the index's files."""
+    start = spark.range(5000).selectExpr("concat('root/d', id % 3, '/f', id) AS path", "id AS size")
+    muts = spark.sql("SELECT '-' AS op, 'root' AS path, 0L AS size").union(spark.sql("SELECT '+', 'new', 7L"))
+    done = index.apply_mutations(start, muts)
+    assert [tuple(r) for r in done.collect()] == [("new", 7)]
+    joins = [line for line in done._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftAnti" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_changes_of_one_cell(spark):
     """Two changes of a cell make no rows; the one whose old value stands is applied."""
     from sitewright.operators import changes
